@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,22 @@ BLANKS_RE = "[ \\t\\n\\x0B\\f\\r]+"
 SALTS = 16
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per session; on a cluster it isn't installed there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_seqloom_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as at:
+            whole = Path(at) / "seqloom.zip"
+            with zipfile.ZipFile(whole, "w") as z:
+                for f in sorted(package.rglob("*.py")):
+                    z.write(f, f.relative_to(package.parent))
+            kept = Path(SparkFiles.getRootDirectory()) / f"seqloom-{uuid.uuid4().hex[:8]}.zip"
+            kept.write_bytes(whole.read_bytes())
+        sc.addPyFile(str(kept))
+        sc._seqloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,6 +91,33 @@ def salted(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", s
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+#: Bloom filter: bits for each row, and the bound on 64-bit words that are broadcast (a row of two longs each).
+BITS_PER_ROW = 16
+MAX_WORDS = 1 << 20
+
+
+def bloom_words(rows: int) -> int:
+    return min(MAX_WORDS, 1 << max(10, (rows * BITS_PER_ROW // 64).bit_length()))
+
+
+def signed(df: DataFrame, hashed: Column, words: int) -> DataFrame:
+    """Adds word and mask: 40 bits of the hash choose a word of the filter, four times six others the bits in it."""
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__h, {k}) & 63 as int))")
+    return df.withColumn("__h", hashed).withColumn("word", F.expr(f"shiftrightunsigned(__h, 24) % {words}L")).withColumn("mask", bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))).drop("__h")
+
+
+def bloom_of(df: DataFrame, hashed: Column, words: int, least: int = 1) -> DataFrame:
+    """(word, bits) of the hashes met at least ``least`` times: at most MAX_WORDS rows."""
+    seen = signed(df, hashed, words).groupBy("word", "mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return keep(seen.groupBy("word").agg(F.expr("bit_or(mask)").alias("bits")), "bloom")
+
+
+def in_bloom(df: DataFrame, hashed: Column, bloom: DataFrame, words: int) -> DataFrame:
+    """``df`` with a column maybe, false only where the hash isn't in the filter; no shuffle."""
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
+    return signed(df, hashed, words).join(F.broadcast(bloom), "word", "left").withColumn("maybe", hit).drop("word", "mask", "bits")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, comp) for the ends of ``edges`` (a, b): comp is the least node that can be reached.
 

@@ -2,7 +2,7 @@
 
 Pass 1 hashes each text to a signature (a 64-bit word of the filter and four bits in it), counts
 signatures with map-side combining and sets the bits of those met at least twice. The filter is
-broadcast; its size is bounded by MAX_WORDS, whatever the input, and past that only the share of
+broadcast; its size is bounded by common.MAX_WORDS, whatever the input, and past that only the share of
 false positives grows. Pass 2 tests each row against it: rows whose bits aren't all set can't have
 an equal, so they pass straight through; the others shuffle on SHA-256 and are judged exactly.
 
@@ -16,35 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, salted, text_of
-
-#: Filter bits for each row, and the bound on 64-bit words that are broadcast (a row of two longs each).
-BITS_PER_ROW = 16
-MAX_WORDS = 1 << 20
-
-
-def n_words(rows: int) -> int:
-    return min(MAX_WORDS, 1 << max(10, (rows * BITS_PER_ROW // 64).bit_length()))
-
-
-def _signed(df: DataFrame, words: int) -> DataFrame:
-    """Adds word and mask: 40 bits of the hash choose the word, four times six others the bits."""
-    h = F.xxhash64("txt")
-    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 as int))")
-    return df.withColumn("h", h).withColumn("word", F.expr(f"shiftrightunsigned(h, 24) % {words}L")).withColumn("mask", bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))).drop("h")
+from .common import bloom_of, bloom_words, in_bloom, keep, salted, text_of
 
 
 def repeats(df: DataFrame) -> tuple[DataFrame, int]:
-    """Pass 1: the filter over column txt, (word, bits), at most MAX_WORDS rows, and its words in all."""
-    words = n_words(df.count())
-    twice = _signed(df.select("txt"), words).groupBy("word", "mask").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keep(twice.groupBy("word").agg(F.expr("bit_or(mask)").alias("bits")), "bloom"), words
+    """Pass 1: the filter of the texts (column txt) met at least twice, and its words."""
+    words = bloom_words(df.count())
+    return bloom_of(df.select("txt"), F.xxhash64("txt"), words, least=2), words
 
 
 def mark(df: DataFrame, bloom: DataFrame, words: int) -> DataFrame:
     """Pass 2: ``df`` with a column maybe, false only where no other row has an equal txt."""
-    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    return _signed(df, words).join(F.broadcast(bloom), "word", "left").withColumn("maybe", hit).drop("word", "mask", "bits")
+    return in_bloom(df, F.xxhash64("txt"), bloom, words)
 
 
 def label(docs: DataFrame) -> DataFrame:
