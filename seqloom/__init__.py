@@ -1 +1 @@
-
+"""A sequence-lake analytics engine on PySpark DataFrames."""
