@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def filter_read(seq: Column, qual: Column, min_len: int = 15, max_len: int = 0, qual_q: int = 15, max_unq_pct: int = 40, max_n: int = 5, min_avg_q: int = 0) -> Column:
     """(passed, fail_reason, length, n_bases, low_qual_bases, mean_quality); reasons in the order length, n_base, quality, too_long. 0 switches a bound off."""
@@ -64,6 +66,7 @@ def overlap(seq1: bytes, seq2: bytes, least: int = 30, most: int = 5, percent: i
 
 def trim_lengths(reads: DataFrame, adapters: list[str], poly_g: bool = False) -> DataFrame:
     """``reads`` (sequence1, sequence2 or null) with kept1 and kept2, the bases that stay at the 5' end."""
+    ship(reads.sparkSession)
     raw = [a.encode() for a in adapters]
 
     @F.pandas_udf("kept1 int, kept2 int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .reference import dense_numbers
 
 
@@ -38,6 +39,7 @@ def parts_by_budget(rows: DataFrame, key: str, cost: str, budget: int) -> DataFr
     Greedy packing is sequential, so it runs in key order over partitions that hold whole ranges: each
     range begins a part of its own, which keeps it parallel and every part within the budget.
     """
+    ship(rows.sparkSession)
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.groupBy(key).agg(F.sum(cost).cast("long").alias("cost")).repartitionByRange(n, key).sortWithinPartitions(key)
     kind = rows.schema[key].dataType.simpleString()

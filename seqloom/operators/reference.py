@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ def ranks(taxonomy: DataFrame, text: str = "taxonomy", separator: str = r";\s*")
     parts = F.split(F.col(text), separator)
     out = taxonomy
     for prefix, name in RANKS.items():
-        own = F.get(F.filter(parts, lambda x, p=prefix: F.startswith(x, F.lit(p + "__"))), F.lit(0))
+        mark = F.lit(prefix + "__")
+        own = F.get(F.filter(parts, lambda x: F.startswith(x, mark)), F.lit(0))  # noqa: B023 - used at once
         out = out.withColumn(name, F.nullif(F.substring(own, 4, 1 << 20), F.lit("")))
     return out
 
@@ -39,8 +42,7 @@ def first_by(rows: DataFrame, by: list, order: list) -> DataFrame:
 
 def orphans(own: list[DataFrame], others: list[DataFrame]) -> DataFrame:
     """Keys listed by any of ``own`` and none of ``others``."""
-    union = lambda parts: __import__("functools").reduce(DataFrame.union, parts)
-    return union(own).subtract(union(others))
+    return reduce(DataFrame.union, own).subtract(reduce(DataFrame.union, others))
 
 
 def resolved_exclusion(direct: DataFrame, genomes: DataFrame, membership: DataFrame, feature: str, genome: str) -> DataFrame:
