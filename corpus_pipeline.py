@@ -1,20 +1,39 @@
 """The corpus pipeline: each stage takes what the one before kept.
 
-Near duplicates keep one document of each group; mixing repeats or leaves out documents by source.
+1. Documents that a quality rule rejects go. 2. Of equal texts one stays. 3. Of near-equal texts one
+stays. 4. Sources are drawn to their target weights: a document may come several times, or not at
+all. 5. Each drawn document is encoded; the result has one row per draw.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import exact_dedup, mixing, quality_rules
+from seqloom.llm import bpe, exact_dedup, mixing, ngram_jaccard, quality_rules
 from seqloom.llm.common import keep
 
-STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality_rules.apply(docs)),
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.dedup(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.apply(docs)),
-]
+
+def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.apply(docs)
+
+
+def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(docs)
+
+
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.dedup(docs)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply(docs)
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, bpe.vocabulary())
+
+
+STAGES = [("quality rules", _rules), ("exact dedup", _exact), ("near dedup", _near), ("mixing", _mix), ("encoding", _encode)]
 
 #: The near-duplicate stage and the encoder have no SQL form.
 ORACLE_SQL = None
@@ -22,6 +41,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), "stage")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

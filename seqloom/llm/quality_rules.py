@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, let, text_of, words_of
 
 WINDOW = 8
-#: Rows on which costs and selectivities are estimated; they only set the order.
-SAMPLE_ROWS = 500
+#: Rows, and bytes of each at most, on which costs and selectivities are estimated; they only set the order.
+SAMPLE_ROWS, SAMPLE_BYTES = 300, 1 << 18
 SYMBOLS_RE = "[#*$%&|<>]"
 CAPITALS_RE = "[A-ZÀ-ÖØ-Þ]"
 
@@ -83,7 +83,9 @@ def _rejects(rule: str) -> Column:
 
 def plan(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> list[tuple[str, float, float]]:
     """(rule, cost in seconds, share rejected), by rejection per cost; ties and an empty sample keep the given order."""
-    sample = _prepared(docs).select("txt", "words").limit(SAMPLE_ROWS).persist()
+    # taken by the driver, which stops at the first partitions that have enough: a limit would shuffle so many rows of every partition
+    taken = docs.select(text_of().alias("txt")).where(F.octet_length("txt") <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    sample = docs.sparkSession.createDataFrame(taken, "txt string").withColumn("words", words_of(F.col("txt"))).repartition(1).persist()
     try:
         rows = sample.count()
         found = []
