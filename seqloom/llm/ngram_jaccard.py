@@ -85,7 +85,7 @@ def _keyed(batches):
     import pyarrow as pa
 
     from .textnum import batches as parts
-    from .textnum import column_bytes
+    from .textnum import column_bytes, release
 
     for batch in batches:
         texts = column_bytes(batch["txt"])
@@ -95,6 +95,7 @@ def _keyed(batches):
             keys = band_keys(values[some])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a).take(pa.array(some)), lists], ["node", "keys"])
+    release()
 
 
 def similar_pairs(left: np.ndarray, right: np.ndarray | None, values: np.ndarray, sets: list[np.ndarray], least: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +171,7 @@ def _judged(batches):
     """Rows (comp, a, b, block, node, txt) sorted by comp, a, b to (node, links, low); a unit may span batches."""
     import pyarrow as pa
 
-    from .textnum import column_bytes
+    from .textnum import column_bytes, release
 
     least = least_agreeing()
     unit, nodes, blocks, texts = None, [], [], []
@@ -193,6 +194,7 @@ def _judged(batches):
             texts.append(txt)
     if len(nodes) > 1:
         yield result()
+    release()
 
 
 def stars(keyed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 #: Texts are taken together up to so many bytes; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +106,19 @@ def batches(texts: list, size: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def release() -> None:
+    """Hand freed memory back to the system at the end of a task; an idle worker would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def column_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null is empty."""
     import pyarrow as pa
