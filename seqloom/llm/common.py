@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401 - the operators take it from here
+
 #: Code points that part words: blank and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANKS_RE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -18,22 +17,6 @@ BLANKS_RE = "[ \\t\\n\\x0B\\f\\r]+"
 SALTS = 16
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per session; on a cluster it isn't installed there."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_seqloom_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as at:
-            whole = Path(at) / "seqloom.zip"
-            with zipfile.ZipFile(whole, "w") as z:
-                for f in sorted(package.rglob("*.py")):
-                    z.write(f, f.relative_to(package.parent))
-            kept = Path(SparkFiles.getRootDirectory()) / f"seqloom-{uuid.uuid4().hex[:8]}.zip"
-            kept.write_bytes(whole.read_bytes())
-        sc.addPyFile(str(kept))
-        sc._seqloom_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,9 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def keep(df: DataFrame, what: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage and outlives executors."""
+#: Rows in a file of a small table.
+FILE_ROWS = 250_000
+
+
+def keep(df: DataFrame, what: str = "t", most: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage and outlives executors.
+
+    ``most``: how many rows it has at most, if that is known; a small table is then few files.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(8, most // FILE_ROWS))
     at = f"{shared_dir(spark)}/seqloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
@@ -109,7 +101,7 @@ def signed(df: DataFrame, hashed: Column, words: int) -> DataFrame:
 def bloom_of(df: DataFrame, hashed: Column, words: int, least: int = 1) -> DataFrame:
     """(word, bits) of the hashes met at least ``least`` times: at most MAX_WORDS rows."""
     seen = signed(df, hashed, words).groupBy("word", "mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return keep(seen.groupBy("word").agg(F.expr("bit_or(mask)").alias("bits")), "bloom")
+    return keep(seen.groupBy("word").agg(F.expr("bit_or(mask)").alias("bits")), "bloom", words)
 
 
 def in_bloom(df: DataFrame, hashed: Column, bloom: DataFrame, words: int) -> DataFrame:
@@ -126,14 +118,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     minima are combined before each shuffle and a node with many edges is dealt out by salt.
     """
     both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
+    most = both.count()  # from the files' footers; no more nodes than that
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels", most)
     for _ in range(rounds):
         near = salted(both.withColumnRenamed("b", "node"), labels, ["node"], "inner", F.col("a")).groupBy("a").agg(F.min("comp").alias("low"))
         # the least label among the neighbours, handed to the node itself and to its present label
         told = near.join(labels.withColumnRenamed("node", "a"), "a").select("a", "comp", F.least("low", "comp").alias("low"))
         hooked = told.select(F.col("a").alias("node"), "low").union(told.select(F.col("comp").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
         jump = salted(hooked.withColumnRenamed("node", "own").withColumnRenamed("low", "node"), hooked.withColumnRenamed("low", "far"), ["node"], "left", F.col("own"))
-        fresh = keep(jump.select(F.col("own").alias("node"), F.least("node", F.coalesce("far", "node")).alias("comp")), "labels")
+        fresh = keep(jump.select(F.col("own").alias("node"), F.least("node", F.coalesce("far", "node")).alias("comp")), "labels", most)
         changed = fresh.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
         drop_kept(labels)
         labels = fresh

@@ -15,7 +15,7 @@ texts are told by a 64-bit hash and joined before all this.
 
 Defined cases: null text counts as empty; a text without words is similar only to its equals; one
 of fewer than five words has a single shingle of them all; rows that share doc_id and text count as
-copies; null doc_id sorts above the others; an empty table gives no rows; other columns are left alone.
+copies (they stay or go together); null doc_id sorts above the others; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 24, 1e-6
 #: A block holds about so many texts and bytes of text; a unit is two blocks.
-BLOCK_TEXTS, BLOCK_BYTES = 400, 1 << 22
+BLOCK_TEXTS, BLOCK_BYTES = 200, 1 << 21
 _ODD = np.random.RandomState(7).randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)  # multipliers of the permutations
 
 
@@ -223,27 +223,36 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, components(told.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links (other texts of similarity 0.8 or more), n_copies (rows of the same text) of each row."""
+def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as (doc_id, node), and of each text: node, low (its least doc_id), class_id, winner (the class's text that has it), n_links, n_copies."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("txt")).withColumn("node", F.xxhash64("txt"))
     links, comps = linked(rows.select("node", "txt"))
     per_text = rows.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_copies"))
     per_text = per_text.join(comps, "node", "left").join(links, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per_class = per_text.groupBy("comp").agg(F.min("low").alias("class_id"))
-    told = keep(salted(per_text, per_class, ["comp"], "left", F.col("node")).select("node", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "texts")
-    return salted(rows.select("doc_id", "node"), told, ["node"], "left", F.col("doc_id")).select("doc_id", "class_id", "n_links", "n_copies")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node"))
+    per_class = per_text.groupBy("comp").agg(first.alias("first")).select("comp", F.col("first.low").alias("class_id"), F.col("first.node").alias("winner"))
+    told = salted(per_text, per_class, ["comp"], "left", F.col("node")).select("node", "low", "class_id", "winner", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    return rows.select("doc_id", "node"), keep(told, "texts")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), n_links (other texts of similarity 0.8 or more), n_copies (rows of the same text) of each row."""
+    rows, told = _told(docs)
+    return salted(rows, told, ["node"], "left", F.col("doc_id")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each class the one with the least doc_id.
+    """The rows of ``docs`` that stay, with their columns: of each class the document with the least doc_id.
 
-    Only rows whose text may be in a class with others shuffle; the rest pass straight through.
+    Only rows that may have to go shuffle; the rest pass straight through.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_of().alias("txt")).withColumn("node", F.xxhash64("txt"))
-    told = keep(classes(docs).where("not (doc_id <=> class_id)").select("doc_id"), "gone")
-    words = bloom_words(told.count())
-    bloom = bloom_of(told.distinct(), F.xxhash64("doc_id"), words)
-    marked = in_bloom(rows.select("row", "id"), F.xxhash64("id"), bloom, words)
-    gone = told.distinct().withColumnRenamed("doc_id", "out")
-    left = marked.where("maybe").join(gone, F.col("id").eqNullSafe(F.col("out")), "left_anti")
+    narrow, told = _told(docs)
+    stays = (F.col("node") == F.col("winner")) & F.col("doc_id").eqNullSafe(F.col("low"))
+    some = told.where("n_copies > 1 or node <> winner")
+    gone = keep(salted(narrow, some, ["node"], "inner", F.col("doc_id")).where(~stays).select("doc_id", "node").distinct(), "gone")
+    words = bloom_words(gone.count())
+    bloom = bloom_of(gone, F.xxhash64("doc_id", "node"), words)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("own"))
+    marked = in_bloom(rows, F.xxhash64("id", "own"), bloom, words)
+    left = marked.where("maybe").join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("node")), "left_anti")
     return marked.where("not maybe").select("row.*").unionByName(left.select("row.*"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, let
 
 #: (host, path, verdict): fixed values of the query's contract.
 RULES = [
@@ -26,7 +26,7 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 ORDER = 5
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # as many as four hex digits name
 #: Weight of the next shorter context, in characters seen.
 PRIOR = 2.0
 #: Characters that the shortest context takes as equally likely.
@@ -64,42 +64,52 @@ def marked() -> Column:
     return F.concat(F.lower(F.concat("host", "path")), F.lit("\n"))
 
 
-def cell(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS))
+def hashed(text: Column, digits: int) -> Column:
+    """The first hex digits of the MD5: a hash that SQL engines share."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def cells(s: Column) -> Column:
+    """For each place in ``s`` the cells of the runs of 1, 2, … ORDER characters that end there."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ORDER), i)), lambda k: hashed(F.substring(s, i - k + 1, k), 4).cast("int")))
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """One row (allow, block): for each class BUCKETS counts of hashed runs of 1 to ORDER characters, then the characters in all."""
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ORDER), i)), lambda k: F.substring(F.col("s"), i - k + 1, k))))
-    each = rows.select("ruled", F.explode(grams).alias("gram"))
-    cells = each.groupBy(cell(F.col("gram")).alias("cell"), "ruled").count()
-    totals = rows.groupBy("ruled").agg(F.sum(F.length("s")).alias("count")).select(F.lit(BUCKETS).cast("long").alias("cell"), "ruled", "count")
-    wide = cells.unionByName(totals).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("ruled") == v, F.col("count"))), F.lit(0)).alias(v) for v in ("allow", "block")])
-    every = rows.sparkSession.range(BUCKETS + 1, numPartitions=1).withColumnRenamed("id", "cell").join(wide, "cell", "left")
+    """One row (allow, block): for each class the counts of BUCKETS cells, then the characters in all. ``rows``: ruled and s."""
+    each = rows.select("ruled", F.explode(F.flatten(cells(F.col("s")))).alias("cell")).groupBy("cell", "ruled").count()
+    totals = rows.groupBy("ruled").agg(F.sum(F.length("s")).alias("count")).select(F.lit(BUCKETS).alias("cell"), "ruled", "count")
+    wide = each.unionByName(totals).groupBy("cell").agg(*[F.coalesce(F.sum(F.when(F.col("ruled") == v, F.col("count"))), F.lit(0)).alias(v) for v in ("allow", "block")])
+    every = rows.sparkSession.range(BUCKETS + 1, numPartitions=1).select(F.col("id").cast("int").alias("cell")).join(wide, "cell", "left")
     gathered = every.groupBy(F.lit(1)).agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("allow", F.lit(0)).alias("allow"), F.coalesce("block", F.lit(0)).alias("block")))).alias("all"))
     return gathered.select(F.transform("all", lambda x: x["allow"]).alias("allow"), F.transform("all", lambda x: x["block"]).alias("block"))
 
 
 def difference(s: Column, allow: Column, block: Column) -> Column:
-    """Log-likelihood under allow less that under block, per character of ``s``, in whole UNITs."""
-    def at(i: Column) -> Column:
-        flat = F.struct(F.lit(1.0 / ALPHABET).alias("a"), F.lit(1.0 / ALPHABET).alias("b"))
+    """Log-likelihood under allow less that under block, per character of ``s``, in UNITs (each character's whole).
 
+    A run's probability is its count and PRIOR times that of the next shorter run, over its context's
+    count and PRIOR. The context of a run is the one that is shorter by a character and ends a place before.
+    """
+    flat = F.struct(F.lit(1.0 / ALPHABET).alias("a"), F.lit(1.0 / ALPHABET).alias("b"))
+
+    def at(runs: Column, before: Column) -> Column:
         def longer(p: Column, k: Column) -> Column:
-            run, context = F.substring(s, i - k + 1, k), F.substring(s, i - k + 1, k - 1)
-            totals = lambda m: F.when(k == 1, F.get(m, F.lit(BUCKETS))).otherwise(F.get(m, cell(context).cast("int")))
-            one = lambda p, m: (F.get(m, cell(run).cast("int")) + PRIOR * p) / (F.greatest(totals(m), F.get(m, cell(run).cast("int"))) + PRIOR)
+            run, context = F.get(runs, k - 1), F.when(k == 1, F.lit(BUCKETS)).otherwise(F.get(before, k - 2))
+            one = lambda p, m: (F.get(m, run) + PRIOR * p) / (F.greatest(F.get(m, context), F.get(m, run)) + PRIOR)
             return F.struct(one(p["a"], allow).alias("a"), one(p["b"], block).alias("b"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(ORDER), i)), flat, longer, lambda p: F.round(UNIT * (F.ln(p["a"]) - F.ln(p["b"]))).cast("long"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(runs)), flat, longer, lambda p: F.round(UNIT * (F.ln(p["a"]) - F.ln(p["b"]))).cast("long"))
+
+    def total(c: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(c)), F.lit(0).cast("long"), lambda a, i: a + at(F.get(c, i - 1), F.get(c, i - 2)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0).cast("long"), lambda a, i: a + at(i)) / F.length(s)
+    return let(cells(s), total) / F.length(s)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log-likelihood difference per character, null where a rule judges)."""
     rows = judged_by_rules(pages, rules).withColumn("s", marked())
-    fold = F.pmod(F.xxhash64("s", F.lit("fold")), F.lit(HELD_OUT))
+    fold = hashed(F.concat("s", F.lit("fold")), 8) % HELD_OUT
     ruled = rows.where("ruled is not null")
     model = keep(counts(ruled.where(fold != 0)), "url-model")
     # the two arrays come as a scalar subquery: BUCKETS + 1 numbers each, whatever the input
