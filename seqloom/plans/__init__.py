@@ -1 +1 @@
-
+from . import catalogue, relational  # noqa: F401 - both fill catalogue.QUERIES
