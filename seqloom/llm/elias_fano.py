@@ -43,11 +43,13 @@ class EliasFano:
         self.bytes = high.view(np.uint8).reshape(-1, 8)
 
     @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
+    def of(cls, values: np.ndarray, width: int | None = None) -> EliasFano:
+        """``width``: how many low bits are packed; by default what takes least space if the values are spread evenly."""
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        width = max(0, (top // max(n, 1)).bit_length() - 1) if n else 0
+        if width is None:
+            width = max(0, (top // max(n, 1)).bit_length() - 1)
         up = (values >> np.uint64(width)).astype(np.int64)
         place = up + np.arange(n)
         words = (int(place[-1]) if n else 0) // 64 + 2

@@ -1,16 +1,21 @@
-"""LM scoring with an Elias-Fano n-gram trie.
+"""LM scoring with an Elias-Fano n-gram trie of three levels.
 
-Learning: each task counts the word pairs of its texts in packed arrays and sends them to the shard
-of the first word; a shard merges its arrays and writes one trie file into the shared folder. Level 1
-holds the words' hashes, their counts and the pointers into level 2 (running sums, so both rise);
-level 2 holds, for each context, the fingerprints of its successors relative to the context, and
-their quantised smoothed probabilities. All rising sequences are Elias-Fano coded.
+Learning goes level by level. Each task counts its texts' word pairs in packed arrays and sends them
+to the shard of the first word; a shard merges its arrays and writes one trie file into the shared
+folder. A second pass looks the pairs up in those files and counts what follows the pairs met at
+least TWICE; it goes to the shard of the first word again, which writes the third level.
 
-Scoring: workers map the files into memory and look up whole batches: the word, then its successor
-within the context. P(w | v) = c(vw) / (c(v) + t(v)) + t(v) / (c(v) + t(v)) * P(w), t(v) being the
-distinct successors (Witten-Bell), and P(w) = (c(w) + 1) / (N + V + 1).
+Level 1 holds the words' hashes, counts and the pointers into level 2 (running sums, so both rise);
+levels 2 and 3 hold, for each context, its successors as numbers relative to the context, scaled so
+that they spread evenly over the level, and their quantised smoothed probabilities. All rising
+sequences are Elias-Fano coded.
 
-Where the shared folder isn't a file system, a worker copies a shard to an unlinked local file first.
+Scoring: workers map the files into memory and look up whole batches: the word, its successor within
+the context of one word, and the next within the context of that pair. With t(h) distinct successors
+of a context h, P(w | h) = c(hw) / (c(h) + t(h)) + t(h) / (c(h) + t(h)) * P(w | shorter h)
+(Witten-Bell), and P(w) = (c(w) + 1) / (N + V + 1).
+
+Where the shared folder isn't a file system, a worker copies a file to an unlinked local one first.
 
 Defined cases: null text counts as empty and has only the end; null doc_id counts as not held out;
 repeated rows are each learned from and each scored; an empty table gives no rows, and without
@@ -33,8 +38,12 @@ from .common import shared_dir, ship, text_of
 FOLDS, HELD_OUT = 7, 2
 #: Hashes of the marks before and after a text.
 START, END = np.uint64(0x5EED0000000000A1), np.uint64(0x5EED0000000000E2)
-#: Successors are told apart by so many bits of their hash, within a context.
-FINGERPRINT = 40
+#: Successors are told apart by so many bits of their hash, within a context; the lower ones are packed as they are.
+FINGERPRINT, LOW = 40, 28
+#: Pairs met so often have successors in level 3.
+TWICE = 2
+#: A level-3 context is its shard and its place in level 2, in so many bits.
+PLACE = 36
 #: Log10 probabilities are quantised to steps of 1 / STEPS.
 STEPS = 4096
 #: Word pairs that a task sorts at once.
@@ -68,13 +77,21 @@ def _merged(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[
     return first[new], second[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def _blocks(shards: int):
-    """Texts to rows (shard, contexts, lengths, successors, counts) of packed arrays."""
+def _pairs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    tokens, before, _ = chains(texts)
+    return before, tokens
+
+
+def _blocks(shards: int, pairs_of, owner):
+    """Texts to rows (shard, contexts, lengths, successors, counts) of packed arrays.
+
+    ``pairs_of``: texts to contexts and following words; ``owner``: contexts, sorted, to shards, which rise with them.
+    """
     def run(batches):
         import pyarrow as pa
 
         from .textnum import batches as parts
-        from .textnum import column_bytes
+        from .textnum import column_bytes, release
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -86,8 +103,7 @@ def _blocks(shards: int):
             begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
             lengths = np.diff(np.concatenate((begin, [len(first)])))
             contexts = first[begin]
-            of = shard_of(contexts, shards)
-            cuts = np.searchsorted(of, np.arange(shards + 1))
+            cuts = np.searchsorted(owner(contexts), np.arange(shards + 1))
             out = []
             for s in np.flatnonzero(np.diff(cuts)):
                 a, b = cuts[s], cuts[s + 1]
@@ -99,18 +115,31 @@ def _blocks(shards: int):
         for batch in batches:
             texts = column_bytes(batch["txt"])
             for a, b in parts(texts):
-                tokens, before, _ = chains(texts[a:b])
-                held.append((before, tokens))
-                size += len(tokens)
+                pair = pairs_of(texts[a:b])
+                if len(pair[0]):
+                    held.append(pair)
+                    size += len(pair[0])
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
+        release()
 
     return run
 
 
+def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's blocks, merged: sorted contexts of all pairs, successors, counts."""
+    first, second, counts = [], [], []
+    for a, b, c, d in zip(*([x.as_py() for x in table[n]] for n in ("contexts", "lengths", "successors", "counts")), strict=True):
+        first.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
+        n = len(first[-1])
+        second.append((np.frombuffer(c, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(c, np.uint8, n, 4 * n))
+        counts.append(np.frombuffer(d, np.uint32).astype(np.int64))
+    return _merged(np.concatenate(first), np.concatenate(second), np.concatenate(counts))
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """By the upper half of the hash, so shards follow the order of hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -122,46 +151,62 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def build(contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> tuple[dict, list[np.ndarray]]:
-    """The parts of a shard's trie: sorted contexts, successors of each (by lengths), counts of the pairs."""
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    totals = np.add.reduceat(counts.astype(np.int64), begin[:-1]) if len(contexts) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(contexts), dtype=np.int64), lengths)
-    relative = (owner.astype(np.uint64) << np.uint64(FINGERPRINT)) | successors
-    share = counts / (totals + lengths)[owner] if len(contexts) else np.zeros(0)
-    quantised = np.clip(np.round(-np.log10(share) * STEPS), 0, 65535).astype(np.uint16) if len(share) else np.zeros(0, np.uint16)
-    levels = {"words": contexts, "counts": np.concatenate(([0], np.cumsum(totals))), "pointers": begin, "successors": relative}
-    from .elias_fano import EliasFano
+def relative(begin: np.ndarray, types: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """A successor's number in its level: the context's first place and the fingerprint scaled to its number of successors, then LOW bits of the fingerprint."""
+    up = begin.astype(np.uint64) + (((prints >> np.uint64(FINGERPRINT - 32)) * types.astype(np.uint64)) >> np.uint64(32))
+    return (up << np.uint64(LOW)) | (prints & np.uint64((1 << LOW) - 1))
+
 
-    head, arrays = {}, []
-    for name, values in levels.items():
-        ef = EliasFano.of(values)
-        head[name] = [ef.n, ef.width, len(arrays)]
-        arrays += ef.parts()
-    head["share"] = len(arrays)
-    arrays.append(quantised)
-    return head, arrays
+def _quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-np.log10(p) * STEPS), 0, 65535).astype(np.uint16)
 
 
-def _write(at: str, shard: int, head: dict, arrays: list[np.ndarray]) -> str:
+def build(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> tuple[dict, dict]:
+    """Rising sequences and plain arrays of one level: keys (contexts), pointers, successors; share, backoff, often; and the counts of the contexts."""
+    begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.zeros(0, np.int64)
+    keys, pointers = first[begin], np.concatenate((begin, [len(first)]))
+    types = np.diff(pointers)
+    totals = np.add.reduceat(counts, begin) if len(begin) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(keys)), types)
+    number = relative(pointers[:-1][owner], types[owner], second)
+    order = np.argsort(number, kind="stable")
+    share = counts / (totals + types)[owner]
+    plain = {"share": _quantised(share[order]), "backoff": _quantised(types / np.maximum(totals + types, 1)), "often": np.packbits(counts[order] >= TWICE)}
+    return {"keys": (keys, None), "counts": (np.concatenate(([0], np.cumsum(totals))), None), "pointers": (pointers, None), "successors": (number[order], LOW)}, plain
+
+
+def _write(at: str, name: str, rising: dict, plain: dict) -> str:
     """One file: its parts 8 bytes aligned, then the head, then the head's length. Each attempt writes a file of its own."""
-    files, path = _files(f"{at}/shard-{shard:05d}-{uuid.uuid4().hex[:8]}")
+    from .elias_fano import EliasFano
+
+    files, path = _files(f"{at}/{name}-{uuid.uuid4().hex[:8]}")
     files.create_dir(os.path.dirname(path), recursive=True)
     with files.open_output_stream(path) as out:
-        where, done = [], 0
-        for a in arrays:
+        head, where, done = {}, [], 0
+
+        def put(a: np.ndarray) -> None:
+            nonlocal done
             raw = a.tobytes()
             raw += bytes(-len(raw) % 8)
             where.append([done, len(a), a.dtype.str])
             out.write(raw)
             done += len(raw)
+
+        for k, (values, width) in rising.items():
+            ef = EliasFano.of(values, width)
+            head[k] = [ef.n, ef.width, len(where)]
+            for a in ef.parts():
+                put(a)
+        for k, a in plain.items():
+            head[k] = len(where)
+            put(a)
         tail = json.dumps(head | {"arrays": where}).encode()
         out.write(tail + len(tail).to_bytes(8, "little"))
     return os.path.basename(path)
 
 
-class Shard:
-    """A trie file in memory-mapped form."""
+class Level:
+    """A level's file in memory-mapped form."""
 
     def __init__(self, uri: str):
         import pyarrow.fs as fs
@@ -179,106 +224,164 @@ class Shard:
                 raw = np.memmap(own.name, np.uint8, "r")  # the file is unlinked here; the mapping stays
         size = int.from_bytes(raw[-8:].tobytes(), "little")
         head = json.loads(raw[-8 - size : -8].tobytes())
-        part = lambda i: raw[head["arrays"][i][0] :][: head["arrays"][i][1] * np.dtype(head["arrays"][i][2]).itemsize].view(head["arrays"][i][2])
-        for name in ("words", "counts", "pointers", "successors"):
-            n, width, at = head[name]
-            setattr(self, name, EliasFano(n, width, part(at), part(at + 1), part(at + 2)))
-        self.share = part(head["share"])
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place (-1 if unknown), count and distinct successors of each word."""
-        place, hit = self.words.successor(words)
-        at = place[hit]
-        count, types = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        count[hit] = (self.counts.get(at + 1) - self.counts.get(at)).astype(np.int64)
-        types[hit] = (self.pointers.get(at + 1) - self.pointers.get(at)).astype(np.int64)
-        return np.where(hit, place, -1), count, types
-
-    def after(self, places: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """c(vw) / (c(v) + t(v)) of each word after the context at a place; 0 if never seen."""
-        key = (places.astype(np.uint64) << np.uint64(FINGERPRINT)) | (words >> np.uint64(64 - FINGERPRINT))
-        at, hit = self.successors.successor(key)
-        out = np.zeros(len(words))
-        out[hit] = 10.0 ** (-self.share[at[hit]].astype(float) / STEPS)
-        return out
+
+        def part(i: int) -> np.ndarray:
+            start, n, kind = head["arrays"][i]
+            return raw[start : start + n * np.dtype(kind).itemsize].view(kind)
+
+        for name in ("keys", "counts", "pointers", "successors"):
+            if name in head:
+                n, width, at = head[name]
+                setattr(self, name, EliasFano(n, width, part(at), part(at + 1), part(at + 2)))
+        self.share, self.backoff, self.often = (part(head[k]) for k in ("share", "backoff", "often"))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which contexts are known, and of those the place and the place of the first successor."""
+        place, hit = self.keys.successor(keys)
+        return hit, place[hit], self.pointers.get(place[hit]).astype(np.int64)
+
+    def count(self, places: np.ndarray) -> np.ndarray:
+        return (self.counts.get(places + 1) - self.counts.get(places)).astype(np.int64)
+
+    def types(self, places: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        return self.pointers.get(places + 1).astype(np.int64) - begin
+
+    def after(self, begin: np.ndarray, types: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Place of each word among the successors that begin there, -1 if it isn't among them."""
+        at, hit = self.successors.successor(relative(begin, types, words >> np.uint64(64 - FINGERPRINT)))
+        return np.where(hit, at, -1)
+
+    def shares(self, places: np.ndarray) -> np.ndarray:
+        return 10.0 ** (-self.share[places].astype(float) / STEPS)
+
+    def weights(self, places: np.ndarray) -> np.ndarray:
+        return 10.0 ** (-self.backoff[places].astype(float) / STEPS)
+
+    def is_often(self, places: np.ndarray) -> np.ndarray:
+        return (self.often[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 class Model:
-    """All shards of a trie; opened when first asked."""
+    """The files of a trie, one per shard and level, opened when first asked."""
 
-    def __init__(self, at: str, names: dict[int, str], shards: int, tokens: int, types: int, texts: int):
-        self.at, self.names, self.shards, self.tokens, self.types, self.texts = at, names, shards, tokens, types, texts
+    def __init__(self, at: str, shards: int, names: dict[int, str], tokens: int, types: int, texts: int):
+        self.at, self.shards, self.names, self.upper = at, shards, names, {}
+        self.tokens, self.types, self.texts = tokens, types, texts
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "open"}
 
-    def _shard(self, s: int) -> Shard | None:
+    def _level(self, names: dict[int, str], s: int) -> Level | None:
         cache = self.__dict__.setdefault("open", {})
-        if s not in cache:
-            cache[s] = Shard(f"{self.at}/{self.names[s]}") if s in self.names else None
-        return cache[s]
-
-    def _by_shard(self, hashes: np.ndarray):
-        of = shard_of(hashes, self.shards)
-        order = np.argsort(of, kind="stable")
+        if s not in names:
+            return None
+        if names[s] not in cache:
+            cache[names[s]] = Level(f"{self.at}/{names[s]}")
+        return cache[names[s]]
+
+    def _by_shard(self, names: dict[int, str], of: np.ndarray):
+        order = np.argsort(of.astype(np.uint16) if self.shards < 65536 else of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            if (shard := self._shard(int(s))) is not None:
-                yield shard, order[cuts[s] : cuts[s + 1]]
+            if (level := self._level(names, int(s))) is not None:
+                yield level, order[cuts[s] : cuts[s + 1]]
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, known tokens, base score and score (log10) of each text."""
+    def looked_up(self, texts: list[bytes]) -> dict:
+        """Tokens of the texts and what levels 1 and 2 have: count of each token; count and distinct successors of the one before; its shard, and the pair's place there (-1 if never seen), share and whether it was met often."""
         tokens, before, off = chains(texts)
         words, of_token = np.unique(np.concatenate((tokens, [START])), return_inverse=True)
-        place, count, types = np.full(len(words), -1), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for shard, on in self._by_shard(words):
-            place[on], count[on], types[on] = shard.find(words[on])
+        count, types, begin = (np.zeros(len(words), np.int64) for _ in range(3))
+        shard = shard_of(words, self.shards)
+        for level, on in self._by_shard(self.names, shard):
+            hit, place, first = level.find(words[on])
+            on = on[hit]
+            count[on], begin[on] = level.count(place), first
+            types[on] = level.types(place, first)
         count[words == END] = self.texts
-        start = of_token[-1]
-        of_token = of_token[:-1]
+        start, of_token = of_token[-1], of_token[:-1]
         of_before = np.empty_like(of_token)
         of_before[1:] = of_token[:-1]
         of_before[off[:-1]] = start
-        base = ((count + 1) / (self.tokens + self.types + 1))[of_token]
-        c, t = count[of_before], types[of_before]
-        p = np.where(c + t > 0, t / np.maximum(c + t, 1), 1.0) * base
-        seen = np.flatnonzero((place[of_before] >= 0) & (count[of_token] > 0))
-        for shard, on in self._by_shard(before[seen]):
+        place, share, often = np.full(len(tokens), -1), np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        seen = np.flatnonzero((types[of_before] > 0) & (count[of_token] > 0))
+        for level, on in self._by_shard(self.names, shard[of_before[seen]]):
             on = seen[on]
-            p[on] += shard.after(place[of_before[on]], tokens[on])
+            at = level.after(begin[of_before[on]], types[of_before[on]], tokens[on])
+            on, at = on[at >= 0], at[at >= 0]
+            place[on], share[on], often[on] = at, level.shares(at), level.is_often(at)
+        return {"tokens": tokens, "off": off, "count": count[of_token], "c": count[of_before], "t": types[of_before], "shard": shard[of_before], "place": place, "share": share, "often": often}
+
+    def pair_contexts(self, x: dict) -> np.ndarray:
+        """Tokens whose two words before form a pair that was met often."""
+        ok = np.zeros(len(x["tokens"]), bool)
+        ok[1:] = x["often"][:-1]
+        ok[x["off"][:-1]] = False
+        return np.flatnonzero(ok)
+
+    def triples(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Level-3 contexts and the words that follow them."""
+        x = self.looked_up(texts)
+        at = self.pair_contexts(x)
+        return (x["shard"][at - 1].astype(np.uint64) << np.uint64(PLACE)) | x["place"][at - 1].astype(np.uint64), x["tokens"][at]
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, known tokens, base score and score (log10) of each text."""
+        x = self.looked_up(texts)
+        off, c, t = x["off"], x["c"], x["t"]
+        base = (x["count"] + 1) / (self.tokens + self.types + 1)
+        p = np.where(c + t > 0, t / np.maximum(c + t, 1), 1.0) * base + x["share"]
+        at = self.pair_contexts(x)
+        for level, on in self._by_shard(self.upper, x["shard"][at - 1]):
+            on = at[on]
+            hit, place, begin = level.find(x["place"][on - 1].astype(np.uint64))
+            on = on[hit]
+            found = level.after(begin, level.types(place, begin), x["tokens"][on])
+            own = np.where(found >= 0, level.shares(np.maximum(found, 0)), 0.0)
+            p[on] = own + level.weights(place) * p[on]
         at = off[:-1]
-        known = np.add.reduceat((count[of_token] > 0).astype(np.int64), at)
+        known = np.add.reduceat((x["count"] > 0).astype(np.int64), at)
         return np.diff(off), known, np.add.reduceat(np.log10(base), at), np.add.reduceat(np.log10(np.minimum(p, 1.0)), at)
 
 
+BLOCKS = "shard int, contexts binary, lengths binary, successors binary, counts binary"
+
+
 def learn(docs: DataFrame) -> Model:
     """The trie of the texts (column txt) of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = f"{shared_dir(spark)}/seqloom-trie-{uuid.uuid4().hex}"
-    blocks = docs.select("txt").mapInArrow(_blocks(shards), "shard int, contexts binary, lengths binary, successors binary, counts binary")
 
-    def build_shard(table):
+    def pairs(table):
         import pyarrow as pa
 
         shard = table["shard"][0].as_py()
-        contexts, lengths, successors, counts = ([x.as_py() for x in table[c]] for c in ("contexts", "lengths", "successors", "counts"))
-        first, second = [], []
-        for a, b, c in zip(contexts, lengths, successors, strict=True):
-            first.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
-            n = len(first[-1])
-            second.append((np.frombuffer(c, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(c, np.uint8, n, 4 * n))
-        first, second, number = _merged(np.concatenate(first), np.concatenate(second), np.concatenate([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64))
-        begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        words, lengths = first[begin], np.diff(np.concatenate((begin, [len(first)])))
-        texts = int(number[first == START].sum())
-        name = _write(at, shard, *build(words, lengths, second, number))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "tokens": pa.array([int(number.sum()) - texts], pa.int64()), "types": pa.array([len(words) - (START in words)], pa.int64()), "texts": pa.array([texts], pa.int64())})
-
-    told = blocks.groupBy("shard").applyInArrow(build_shard, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
+        first, second, counts = _unpacked(table)
+        rising, plain = build(first, second, counts)
+        texts = int(counts[first == START].sum())
+        name = _write(at, f"pairs-{shard:05d}", rising, plain)
+        words = rising["keys"][0]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "tokens": pa.array([int(counts.sum()) - texts], pa.int64()), "types": pa.array([len(words) - (START in words)], pa.int64()), "texts": pa.array([texts], pa.int64())})
+
+    blocks = docs.select("txt").mapInArrow(_blocks(shards, _pairs_of, lambda contexts: shard_of(contexts, shards)), BLOCKS)
+    told = blocks.groupBy("shard").applyInArrow(pairs, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
     texts = sum(r["texts"] for r in told)
-    return Model(at, {r["shard"]: r["name"] for r in told}, shards, sum(r["tokens"] for r in told) + texts, sum(r["types"] for r in told) + (texts > 0), texts)
+    model = Model(at, shards, {r["shard"]: r["name"] for r in told}, sum(r["tokens"] for r in told) + texts, sum(r["types"] for r in told) + (texts > 0), texts)
+    lower = spark.sparkContext.broadcast(model)  # the names of the files, not their content
+
+    def triples(table):
+        import pyarrow as pa
+
+        shard = table["shard"][0].as_py()
+        first, second, counts = _unpacked(table)
+        rising, plain = build(first & np.uint64((1 << PLACE) - 1), second, counts)
+        del rising["counts"]
+        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [_write(at, f"triples-{shard:05d}", rising, plain)]})
+
+    blocks = docs.select("txt").mapInArrow(_blocks(shards, lambda texts: lower.value.triples(texts), lambda contexts: (contexts >> np.uint64(PLACE)).astype(np.int64)), BLOCKS)
+    model.upper = {r["shard"]: r["name"] for r in blocks.groupBy("shard").applyInArrow(triples, "shard int, name string").collect()}
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -69,6 +69,10 @@ def test_trie_against_counting(spark):
     types, total = collections.Counter(a for a, _ in two), collections.Counter()
     for (a, _), n in two.items():
         total[a] += n
+    three = collections.Counter(p for x in learned for p in zip(["<s>", *x], x, x[1:]))
+    types3, total3 = collections.Counter((a, b) for a, b, _ in three), collections.Counter()
+    for (a, b, _), k in three.items():
+        total3[a, b] += k
     n, v = sum(one.values()), len(one)
     for i, x in enumerate(texts):
         w = tokens(x)
@@ -77,6 +81,9 @@ def test_trie_against_counting(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[t] > 0 for t in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((one[t] + 1) / (n + v + 1)) for t in w), rel=1e-9)
         p = [(two[a, b] + types[a] * (one[b] + 1) / (n + v + 1)) / (total[a] + types[a]) if total[a] else (one[b] + 1) / (n + v + 1) for a, b in zip(["<s>", *w], w)]
+        for k, (h, a, b) in enumerate(zip(["<s>", *w], w, w[1:]), 1):
+            if two[h, a] >= lm_trie.TWICE:
+                p[k] = (three[h, a, b] + types3[h, a] * p[k]) / (total3[h, a] + types3[h, a])
         assert r["score"] == pytest.approx(sum(map(math.log10, p)), abs=len(w) / lm_trie.STEPS)
     none = docs.where("false")
     assert lm_trie.apply(none).count() == 0
