@@ -20,6 +20,20 @@ def parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def parquet_sizes(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(file, rows, bytes once unpacked) of each file, from its footer alone; for sizing batches."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for file in spark.read.parquet(path).inputFiles():
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        try:
+            groups = list(reader.getFooter().getBlocks())
+            out.append((file, sum(g.getRowCount() for g in groups), sum(g.getTotalByteSize() for g in groups)))
+        finally:
+            reader.close()
+    return out
+
+
 def column_names(df: DataFrame) -> list[str]:
     """A schema probe: no job runs."""
     return df.columns

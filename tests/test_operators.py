@@ -209,3 +209,10 @@ def test_mutations(spark):
     assert [r[0] for r in m.select(mutations.merged_map(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "3"}, {"c": "4"}]
     left = mutations.cascade(t.where("k = 1"), "k", {"child": (spark.createDataFrame([(1, 7), (2, 8)], "fk long, x long"), "fk")})
     assert rows(left["child"]) == [(2, 8)]
+
+
+def test_alignment_slice(spark):
+    data = [(1, 10, 20, "10=", "t"), (2, 10, 20, "2S10=", "t"), (3, 95, 105, "5=2I5=3S", "t"), (4, 200, 210, "10=", "t"), (5, 10, 22, "4=2D6=", "t"), (6, 14, 18, "4=", "t")]
+    df = spark.createDataFrame(data, "k long, position long, stop_position long, cigar string, tag_md string")
+    got = {r["k"]: tuple(r)[1:] for r in aln.sliced(df, 14, 100, ["tag_md"]).collect()}
+    assert got == {1: (14, 20, "4H6=", None), 2: (14, 20, "6H6=", None), 3: (95, 100, "5=10H", None), 5: (16, 22, "4H6=", None), 6: (14, 18, "4=", "t")}

@@ -110,3 +110,9 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(ingest.read_files(spark, src, "k long, v string"), out, check, ["k"]).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_parquet_sizes(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "p"))
+    sizes = readers.parquet_sizes(spark, str(tmp_path / "p"))
+    assert len(sizes) == 3 and sum(r for _, r, _ in sizes) == 1000 and all(b > 0 for _, _, b in sizes)
