@@ -39,7 +39,7 @@ def with_precedence(reads: DataFrame, ordered: list[tuple[DataFrame, str]], key:
 
 def inferred_trim(original: Column, cut: Column) -> Column:
     """(left, right): where the trimmed string lies in the original; both null where it is missing, an error where it doesn't occur."""
-    at = F.locate_column(cut, original) if hasattr(F, "locate_column") else F.instr(original, cut)
+    at = F.instr(original, cut)
     wrong = F.raise_error(F.lit("the trimmed sequence is not part of the original"))
     left = F.when(cut.isNull(), F.lit(None).cast("int")).when(at > 0, at - 1).otherwise(wrong.cast("int"))
     return F.struct(left.alias("left_trim"), (F.length(original) - left - F.length(cut)).alias("right_trim"))
