@@ -56,6 +56,7 @@ FIGURES: dict[str, Callable[[], Column]] = {
     "n_dup_lines": lambda: let(lines_of(F.col("txt")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     "n_lines": lambda: F.size(lines_of(F.col("txt"))).cast("long"),
     "n_capitals": lambda: F.regexp_count("txt", F.lit(CAPITALS_RE)).cast("long"),
+    "n_echo_words": lambda: let(F.col("words"), lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i) == F.get(w, i - 1)))).cast("long"),
     "n_repeat_words": lambda: n_repeat_words(F.col("words")),
 }
 
@@ -65,7 +66,8 @@ RULES: dict[str, tuple[tuple[str, ...], Callable]] = {
     "repeats": (("n_words", "n_repeat_words"), lambda v: 100 * v["n_repeat_words"] > 30 * v["n_words"]),
     "symbols": (("n_words", "n_symbols"), lambda v: 100 * v["n_symbols"] > 30 * v["n_words"]),
     "word_length": (("n_words", "word_chars"), lambda v: (v["word_chars"] > 15 * v["n_words"]) | (v["word_chars"] < 2 * v["n_words"])),
-    "same_lines": (("n_lines", "n_dup_lines"), lambda v: 100 * v["n_dup_lines"] > 30 * v["n_lines"]),
+    "same_lines": (("n_lines", "n_dup_lines"), lambda v: (v["n_dup_lines"] >= 3) & (100 * v["n_dup_lines"] > 30 * v["n_lines"])),
+    "echoes": (("n_words", "n_echo_words"), lambda v: 100 * v["n_echo_words"] > 30 * v["n_words"]),
     "capitals": (("word_chars", "n_capitals"), lambda v: 100 * v["n_capitals"] > 30 * v["word_chars"]),
 }
 BASE = ("short", "repeats")
