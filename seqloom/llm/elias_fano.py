@@ -10,6 +10,8 @@ for _i in range(256):
     for _j, _at in enumerate([b for b in range(8) if _i >> b & 1]):
         _SELECT[_i, _j] = _at
 _ONE = np.uint64(1)
+#: Values with one high part that are looked at in turn; of more the right one is found by halving.
+_STEPS = 12
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,10 +75,11 @@ class EliasFano:
             word = np.searchsorted(self.zeros, j, side="right") - 1
             left = j - self.zeros[word].astype(np.int64)
             raw = ~self.bytes[word]
-        cum = _POP[raw].cumsum(1, dtype=np.int64)
-        byte = (cum <= left[:, None]).sum(1)
+        cum = _POP[raw].cumsum(1, dtype=np.uint8)  # 64 at most
+        left = left.astype(np.uint8)
+        byte = (cum <= left[:, None]).sum(1, dtype=np.int64)
         rows = np.arange(len(j))
-        left = left - np.where(byte > 0, cum[rows, np.maximum(byte - 1, 0)], 0)
+        left = left - np.where(byte > 0, cum[rows, np.maximum(byte - 1, 0)], np.uint8(0))
         return word * 64 + byte * 8 + _SELECT[raw[rows, byte], left]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
@@ -99,24 +102,34 @@ class EliasFano:
         keys = keys.astype(np.uint64)
         place, equal = np.full(len(keys), self.n, np.int64), np.zeros(len(keys), bool)
         up = keys >> np.uint64(self.width)
-        zeros = len(self.high) * 64 - self.n
-        todo = np.flatnonzero(up < np.uint64(zeros)) if self.n else np.zeros(0, np.int64)
-        want = up[todo].astype(np.int64)
-        end = self._select(want, False) - want  # values of high part up to this one's
-        start = np.zeros(len(want), np.int64)
-        some = want > 0
-        start[some] = self._select(want[some] - 1, False) - (want[some] - 1)
-        low = keys[todo] & np.uint64((1 << self.width) - 1)
-        place[todo] = end  # until one is found within the high part
-        lo, hi = start, end.copy()
-        live = np.flatnonzero(lo < hi)
-        while len(live):  # binary search among the few values that share the high part
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._lows(mid) < low[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        place[todo] = lo
-        inside = np.flatnonzero(lo < end)
-        equal[todo[inside]] = self._lows(lo[inside]) == low[inside]
+        todo = np.flatnonzero(up < np.uint64(len(self.high) * 64 - self.n)) if self.n else np.zeros(0, np.int64)
+        want, low = up[todo].astype(np.int64), keys[todo] & np.uint64((1 << self.width) - 1)
+        bit = self._select(want, False)  # the zero that ends the values of this high part
+        at, same = bit - want, np.zeros(len(todo), bool)
+        flat, live = self.bytes.reshape(-1), np.arange(len(todo))
+        for _ in range(_STEPS):  # back over the values that share the high part while they aren't below the key
+            on = bit[live] - 1
+            live = live[(on >= 0) & ((flat[np.maximum(on, 0) >> 3] >> (on & 7).astype(np.uint8)) & 1).astype(bool)]
+            value = self._lows(at[live] - 1)
+            enough = value >= low[live]
+            live, value = live[enough], value[enough]
+            if not len(live):
+                break
+            at[live] -= 1
+            bit[live] -= 1
+            same[live] = value == low[live]
+        if len(live):  # many share it: by halving
+            first, hi = np.zeros(len(live), np.int64), at[live]
+            some = want[live] > 0
+            first[some] = self._select(want[live][some] - 1, False) - (want[live][some] - 1)
+            lo, key = first, low[live]
+            split = np.flatnonzero(lo < hi)
+            while len(split):
+                mid = (lo[split] + hi[split]) >> 1
+                less = self._lows(mid) < key[split]
+                lo[split] = np.where(less, mid + 1, lo[split])
+                hi[split] = np.where(less, hi[split], mid)
+                split = split[lo[split] < hi[split]]
+            at[live], same[live] = lo, self._lows(lo) == key
+        place[todo], equal[todo] = at, same
         return place, equal

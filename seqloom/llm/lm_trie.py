@@ -46,8 +46,8 @@ TWICE = 2
 PLACE = 36
 #: Log10 probabilities are quantised to steps of 1 / STEPS.
 STEPS = 4096
-#: Word pairs that a task sorts at once.
-FLUSH = 1 << 21
+#: Word pairs that a task sorts at once, and bytes of text that are looked up at once.
+FLUSH, LOOKUP_BYTES = 1 << 21, 1 << 22
 
 
 def chains(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def _blocks(shards: int, pairs_of, owner):
 
         for batch in batches:
             texts = column_bytes(batch["txt"])
-            for a, b in parts(texts):
+            for a, b in parts(texts, LOOKUP_BYTES):
                 pair = pairs_of(texts[a:b])
                 if len(pair[0]):
                     held.append(pair)
@@ -222,6 +222,7 @@ class Level:
                     own.write(piece)
                 own.flush()
                 raw = np.memmap(own.name, np.uint8, "r")  # the file is unlinked here; the mapping stays
+        raw = raw.view(np.ndarray)  # the mapping without its class, whose slices cost more
         size = int.from_bytes(raw[-8:].tobytes(), "little")
         head = json.loads(raw[-8 - size : -8].tobytes())
 
@@ -397,7 +398,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             texts = column_bytes(batch["txt"])
-            for a, b in parts(texts):
+            for a, b in parts(texts, LOOKUP_BYTES):
                 n, known, base, own = shared.value.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["held_out"].slice(a, b - a), pa.array(n), pa.array(known), pa.array(np.full(b - a, shared.value.tokens)), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
