@@ -11,7 +11,8 @@ BIN = 1 << 20
 
 def islands(rows: DataFrame, by: list[str]) -> DataFrame:
     """The merged intervals: by, position, stop_position. Touching intervals merge; null ends are dropped."""
-    clean = rows.where("position is not null and stop_position is not null and position < stop_position").select(*by, "position", "stop_position").distinct()
+    clean = rows.where("position is not null and stop_position is not null and position < stop_position")
+    clean = clean.groupBy(*by, "position").agg(F.max("stop_position").alias("stop_position"))  # of equal starts the longest; a bin has at most a row per position
     w = Window.partitionBy(*by).orderBy("position", "stop_position")
     opened = clean.withColumn("__top", F.max("stop_position").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__new", F.when(F.col("__top").isNull() | (F.col("position") > F.col("__top")), 1).otherwise(0))
     numbered = opened.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coverage import covered
@@ -21,9 +21,11 @@ def breadth(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def fractional(hits: DataFrame) -> DataFrame:
     """prep_sample_idx, genome_idx, value: a read gives 1/k to each of its k different genomes."""
-    each = hits.select("prep_sample_idx", "sequence_idx", "genome_idx").distinct()
-    k = each.groupBy("prep_sample_idx", "sequence_idx").agg(F.count(F.lit(1)).alias("k"))
-    return each.join(k, ["prep_sample_idx", "sequence_idx"]).groupBy("prep_sample_idx", "genome_idx").agg(F.sum(1 / F.col("k")).alias("value"))
+    read = ["prep_sample_idx", "sequence_idx"]
+    # one shuffle by read serves the distinct, the count and the partial sums
+    each = hits.select(*read, "genome_idx").repartition(*read).dropDuplicates()
+    counted = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*read)))
+    return counted.groupBy("prep_sample_idx", "genome_idx").agg(F.sum(1 / F.col("k")).alias("value"))
 
 
 def feature_table(alignment: DataFrame, exclusion: DataFrame, contigs: DataFrame, threshold: float) -> DataFrame:
