@@ -48,16 +48,16 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
 
-#: The figures the rules use, from columns txt and words.
-FIGURES: dict[str, Callable[[], Column]] = {
-    "n_words": lambda: F.size("words").cast("long"),
-    "word_chars": lambda: F.length(F.array_join("words", "")).cast("long"),
-    "n_symbols": lambda: F.regexp_count("txt", F.lit(SYMBOLS_RE)).cast("long"),
-    "n_dup_lines": lambda: let(lines_of(F.col("txt")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-    "n_lines": lambda: F.size(lines_of(F.col("txt"))).cast("long"),
-    "n_capitals": lambda: F.regexp_count("txt", F.lit(CAPITALS_RE)).cast("long"),
-    "n_echo_words": lambda: let(F.col("words"), lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i) == F.get(w, i - 1)))).cast("long"),
-    "n_repeat_words": lambda: n_repeat_words(F.col("words")),
+#: The figures the rules use, from a text and its words.
+FIGURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda t, w: F.regexp_count(t, F.lit(SYMBOLS_RE)).cast("long"),
+    "n_dup_lines": lambda t, w: let(lines_of(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_lines": lambda t, w: F.size(lines_of(t)).cast("long"),
+    "n_capitals": lambda t, w: F.regexp_count(t, F.lit(CAPITALS_RE)).cast("long"),
+    "n_echo_words": lambda t, w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i) == F.get(w, i - 1))).cast("long"),
+    "n_repeat_words": lambda t, w: n_repeat_words(w),
 }
 
 #: Each rule: the figures it needs and when it rejects. The first two are the base rules.
@@ -77,10 +77,10 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), text_of().alias("txt")).withColumn("words", words_of(F.col("txt")))
 
 
-def _rejects(rule: str) -> Column:
-    """The rule as one expression over txt and words."""
+def _rejects(rule: str, text: Column, words: Column) -> Column:
+    """The rule as one expression."""
     needs, when = RULES[rule]
-    return let(F.struct(*[FIGURES[n]().alias(n) for n in needs]), when)
+    return let(F.struct(*[FIGURES[n](text, words).alias(n) for n in needs]), when)
 
 
 def plan(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> list[tuple[str, float, float]]:
@@ -95,7 +95,7 @@ def plan(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> list[tuple[s
             seconds = []
             for _ in range(2):  # the first run also compiles
                 began = time.monotonic()
-                hit = sample.agg(F.count_if(_rejects(rule)).alias("n")).first()["n"]
+                hit = sample.agg(F.count_if(_rejects(rule, F.col("txt"), F.col("words"))).alias("n")).first()["n"]
                 seconds.append(time.monotonic() - began)
             found.append((rule, max(min(seconds), 1e-6), hit / rows))
     finally:
@@ -104,11 +104,15 @@ def plan(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> list[tuple[s
 
 
 def cascade(order: list[str]) -> Column:
-    """The name of the first rule in ``order`` that rejects, else null; later rules aren't evaluated."""
-    out = None
-    for rule in order:
-        out = F.when(_rejects(rule), rule) if out is None else out.when(_rejects(rule), rule)
-    return out
+    """The name of the first rule in ``order`` that rejects, else null; later rules aren't evaluated, and the words are parted once for all."""
+    def chain(words: Column) -> Column:
+        out = None
+        for rule in order:
+            hit = _rejects(rule, F.col("txt"), words)
+            out = F.when(hit, rule) if out is None else out.when(hit, rule)
+        return out
+
+    return let(F.col("words"), chain)
 
 
 def apply(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES)) -> DataFrame:
@@ -121,7 +125,7 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, the figures, base_failed and kept of each row."""
     order = [r for r, _, _ in plan(docs, tuple(r for r in RULES if r not in BASE))]
     rows = docs.select("doc_id", text_of().alias("txt")).withColumn("words", words_of(F.col("txt")))
-    rows = rows.select("doc_id", *[f().alias(n) for n, f in FIGURES.items()])
+    rows = rows.select("doc_id", *[f(F.col("txt"), F.col("words")).alias(n) for n, f in FIGURES.items()])
     told = {n: F.col(n) for n in FIGURES}
     failed = RULES[BASE[0]][1](told) | RULES[BASE[1]][1](told)
     passed = F.lit(True)
