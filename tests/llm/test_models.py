@@ -135,6 +135,16 @@ def test_shards_add_up(spark):
     assert parted == pytest.approx(whole)
 
 
+def test_shards_keep_every_row(spark):
+    texts = ["abcd efgh", "abcd abcd", "hgfe dcba", "hgfe dcba", ""]
+    docs = spark.createDataFrame([("en" if i < 4 else None, t) for i, t in enumerate(texts)], "lang string, txt string")
+    model = kn_quality.estimate(kn_quality.count_runs(docs.select("txt")))
+    whole, parts = kn_quality.shards(model), kn_quality.shards(model, 20)
+    assert len(whole) == 1 and len(parts) > 1
+    bits = lambda m: sorted((r["lang"] or "", r["bytes"], round(r["bits"], 9)) for r in kn_quality.log_perplexity(docs, m).collect())
+    assert bits(parts) == bits(whole) and len(bits(parts)) == len(texts)
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert list(np.interp([1, 2, 3, 4, 5], x, y)) == [0, 0.5, 0.5, 1, 1]
