@@ -145,6 +145,32 @@ def test_shards_keep_every_row(spark):
     assert bits(parts) == bits(whole) and len(bits(parts)) == len(texts)
 
 
+def test_limits_over_all_trusted_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(kn_quality, "MAX_TRUSTED_ROWS", 40)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcd " if i % 8 else "wxyz ") for _ in range(rng.randint(20, 60))) for i in range(400)]
+    docs = spark.createDataFrame([(i, x, "en" if i % 8 else "de") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    draw = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 20))).collect()}
+    trained = {i for i, d in draw.items() if d < (1 << 20) // 10 and d % 2 == 0}
+    got = kn_quality.classify(docs, labels).collect()
+    assert len(got) == 400 and 0 < len(trained) < 40
+    for lang in ("en", "de"):
+        over = [r["bits"] for r in got if r["lang"] == lang and r["doc_id"] not in trained]
+        assert all(r["limit"] == pytest.approx(np.quantile(over, kn_quality.QUANTILE)) for r in got if r["lang"] == lang)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(8)
+    values = {"one": [rng.random() for _ in range(500)], "two": [1.5] * 300 + [1.5 + rng.random() / kn_quality.CELLS for _ in range(7)], "few": [3.25], "pair": [0.1, 7.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        got = {r["k"]: (r["limit"], r["n"]) for r in kn_quality.quantiles(df, "k", "x", q).collect()}
+        assert got == {k: (pytest.approx(np.quantile(xs, q)), len(xs)) for k, xs in values.items()}
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]))
     assert list(np.interp([1, 2, 3, 4, 5], x, y)) == [0, 0.5, 0.5, 1, 1]
