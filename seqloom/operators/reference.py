@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -78,11 +80,30 @@ def descendants(edges: DataFrame, root: int, node: str = "node_index", parent: s
         SELECT DISTINCT node FROM clade""")
 
 
-def closure(edges: DataFrame, node: str, parent: str, levels: int) -> DataFrame:
-    """(ancestor, descendant, distance) up to ``levels``, each node at distance 0 to itself; of several paths the shortest."""
+def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None) -> DataFrame:
+    """(ancestor, descendant, distance) up to ``levels``, each node at distance 0 to itself; of several paths the shortest.
+
+    Without ``levels`` it goes on until a step adds no pair; each step is written to the shared folder. Circles end too.
+    """
     e = edges.select(F.col(node).alias("descendant"), F.col(parent).alias("ancestor")).where("descendant <> ancestor").distinct()
     out = e.select("descendant").union(e.select("ancestor")).distinct().select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("distance"))
     step = e.select("ancestor", "descendant", F.lit(1).alias("distance"))
+    if levels is None:
+        spark = edges.sparkSession
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+        at, n = f"{base}/closure-{uuid.uuid4().hex}", 0
+
+        def kept(df: DataFrame, what: str) -> DataFrame:
+            df.write.parquet(f"{at}/{what}")
+            return spark.read.schema(df.schema).parquet(f"{at}/{what}")
+
+        e, out = kept(e, "edges"), kept(out, "pairs/n=0")
+        step = kept(step, "pairs/n=1")
+        while not step.isEmpty():
+            out, n = out.unionByName(step), n + 1
+            further = step.withColumnRenamed("ancestor", "via").join(e.select(F.col("descendant").alias("via"), "ancestor"), "via").select("ancestor", "descendant").distinct()
+            step = kept(further.join(out, ["ancestor", "descendant"], "left_anti").withColumn("distance", F.lit(n + 1)), f"pairs/n={n + 1}")
+        return out
     out = out.unionByName(step)
     for _ in range(levels - 1):
         step = step.withColumnRenamed("ancestor", "via").join(e.select(F.col("descendant").alias("via"), "ancestor"), "via").select("ancestor", "descendant", (F.col("distance") + 1).alias("distance"))

@@ -231,6 +231,12 @@ def closure_distance(spark, sf):
     return reference.closure(_tree(spark, sf).where("node_index <= 2000"), "node_index", "parent_index", 4)
 
 
+@query()
+def closure_distance_whole(spark, sf):
+    """Every node and every level; ``closure_distance`` is the part of it that its SQL has."""
+    return reference.closure(_tree(spark, sf), "node_index", "parent_index")
+
+
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linenumber FROM (
             SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1""")
 def annotation_dedup(spark, sf):

@@ -7,6 +7,7 @@ from seqloom import schemas
 from seqloom.functions import alignment as aln
 from seqloom.functions import metadata, qc, sequence
 from seqloom.operators import alignment, coverage, features, masks, mutations, planning, readmodels, reference, slices
+from seqloom.plans import catalogue
 
 
 def rows(df, *cols):
@@ -166,6 +167,25 @@ def test_tree(spark):
     assert (1, 5, 3) in rows(reference.closure(e, "n", "p", 3), "ancestor", "descendant", "distance")
 
 
+def test_whole_closure(spark, tmp_path):
+    orders = [*range(1, 80), 3000, 1500, 750, 375, 187, 93, 46, 2**40, 2**39]
+    spark.createDataFrame([(i,) for i in orders], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    up = {i: i // 2 for i in orders}
+    want = set()
+    for i in up.keys() | set(up.values()):
+        a, k = i, 0
+        want.add((a, i, k))
+        while up.get(a, a) != a:
+            a, k = up[a], k + 1
+            want.add((a, i, k))
+    got = rows(catalogue.QUERIES["closure_distance_whole"](spark, str(tmp_path)), "ancestor", "descendant", "distance")
+    assert got == sorted(want) and max(k for *_, k in want) > 10
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 1), (5, 3)], "n long, p long")
+    pairs = {(a, d): k for a, d, k in rows(reference.closure(circle, "n", "p"), "ancestor", "descendant", "distance")}
+    assert pairs == {(a, d): (a - d) % 3 for a in (1, 2, 3) for d in (1, 2, 3)} | {(5, 5): 0, (1, 5): 1, (3, 5): 1, (2, 5): 2}
+    assert reference.closure(circle.where("false"), "n", "p").count() == 0
+
+
 def test_planners(spark):
     for n, shards in ((7, 3), (2, 5), (50, 7), (0, 4)):
         got = [r["shard"] for r in planning.even_shards(spark.range(n), ["id"], shards).orderBy("id").collect()]
