@@ -33,11 +33,17 @@ def _mismatches(a: np.ndarray, b: np.ndarray) -> int:
 def adapter_start(seq: bytes, adapter: bytes, least: int = 4) -> int:
     """Where ``adapter`` begins in the 3' part of ``seq``: one mismatch for each 8 bases is allowed; the length if nowhere."""
     s, a = np.frombuffer(seq, np.uint8), np.frombuffer(adapter, np.uint8)
-    for at in range(len(s) - least + 1):
-        n = min(len(a), len(s) - at)
-        if _mismatches(s[at : at + n], a[:n]) <= n // 8:
-            return at
-    return len(s)
+    if len(s) < least:
+        return len(s)
+    starts = len(s) - least + 1
+    off = np.zeros(starts, np.int32)  # mismatches of the bases that a start has
+    for k, base in enumerate(a):
+        on = min(starts, len(s) - k)
+        if on <= 0:
+            break
+        off[:on] += s[k : k + on] != base
+    hit = np.flatnonzero(off <= np.minimum(len(a), len(s) - np.arange(starts)) // 8)
+    return int(hit[0]) if len(hit) else len(s)
 
 
 def poly_g_start(seq: bytes, least: int = 10, mismatch_per: int = 8, most: int = 5) -> int:
@@ -56,11 +62,18 @@ def overlap(seq1: bytes, seq2: bytes, least: int = 30, most: int = 5, percent: i
     """Insert length of a pair whose mates read past each other, by the overlap of mate 1 and the reverse complement of mate 2."""
     turn = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
     a, b = np.frombuffer(seq1, np.uint8), np.frombuffer(seq2.translate(turn)[::-1], np.uint8)
-    for insert in range(min(len(a), len(b)), least - 1, -1):
+    longest = min(len(a), len(b))
+    if longest < least:
+        return None
+    # mismatches of the first bases rule most inserts out at once
+    head = np.zeros(longest - least + 1, np.int32)
+    for k in range(least):
+        head += a[k] != b[len(b) - longest + k : len(b) - least + k + 1]
+    for insert in longest - np.flatnonzero(head <= most):
         x, y = a[:insert], b[len(b) - insert :]
         d = _mismatches(x, y)
         if d <= most and d * 100 <= percent * insert:
-            return insert
+            return int(insert)
     return None
 
 

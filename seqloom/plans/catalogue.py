@@ -444,9 +444,17 @@ def qc_filter(spark, sf):
 
 @query()
 def qc_trim_filter(spark, sf):
-    bases = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtacg")
-    reads = t(spark, sf, "documents").select("doc_id", F.upper(F.regexp_replace(F.substring(bases, 1, 150), "[^acgt]", "")).alias("sequence1"), F.lit(None).cast("string").alias("sequence2"))
-    return qc.trim_lengths(reads, ["AGATCGGAAGAGC"], poly_g=True).select("doc_id", "kept1", "kept2")
+    """Whole documents as reads; of three one has a mate that ends the insert halfway, one a mate that doesn't meet it. A pair passes if both mates do."""
+    bases = F.translate(F.lower(F.coalesce("text", F.lit(""))), "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtacg")
+    one = t(spark, sf, "documents").select("doc_id", F.upper(F.regexp_replace(bases, "[^acgt]", "")).alias("sequence1"))
+    half = F.floor(F.length("sequence1") / 2).cast("int")
+    mate = F.when(F.col("doc_id") % 3 == 0, F.concat(sequence.reverse_complement(F.substring("sequence1", F.lit(1), half)), F.substring("sequence1", F.lit(1), half))).when(F.col("doc_id") % 3 == 1, F.reverse("sequence1"))
+    cut = qc.trim_lengths(one.withColumn("sequence2", mate), ["AGATCGGAAGAGC"], poly_g=True)
+    none = F.lit(None).cast("array<short>")
+    first = qc.filter_read(F.substring("sequence1", F.lit(1), F.col("kept1")), none)
+    second = F.when(F.col("kept2").isNotNull(), qc.filter_read(F.substring("sequence2", F.lit(1), F.col("kept2")), none))
+    told = cut.select("doc_id", "kept1", "kept2", F.coalesce(first["fail_reason"], second["fail_reason"]).alias("fail_reason"))
+    return told.select("doc_id", "kept1", "kept2", F.col("fail_reason").isNull().alias("passed"), "fail_reason")
 
 
 @query()

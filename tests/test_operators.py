@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,48 @@ def test_trims(spark):
     assert got == [(35, None), (35, None), (20, None), (35, 35)]
 
 
+def brute_adapter(s, a):
+    for at in range(len(s) - 3):
+        n = min(len(a), len(s) - at)
+        if sum(x != y for x, y in zip(s[at : at + n], a)) <= n // 8:
+            return at
+    return len(s)
+
+
+def brute_overlap(a, b):
+    b = b.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    for insert in range(min(len(a), len(b)), 29, -1):
+        d = sum(x != y for x, y in zip(a[:insert], b[len(b) - insert :]))
+        if d <= 5 and d * 100 <= 20 * insert:
+            return insert
+    return None
+
+
+def test_trim_filter_reads_whole_texts(spark, tmp_path):
+    rng = random.Random(1)
+    adapter = "AGATCGGAAGAGC"
+    texts = ["".join(rng.choice("acgt") for _ in range(rng.choice([0, 3, 20, 70, 400]))) + rng.choice(["", adapter.lower() + "tc" * 9, adapter.lower()[:5], "g" * 30]) for _ in range(90)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    table = str.maketrans("bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtacg")
+    want = []
+    for i, x in enumerate(texts):
+        one = "".join(c for c in (x or "").translate(table) if c in "acgt").upper()
+        half = one[: len(one) // 2]
+        two = (half.translate(str.maketrans("ACGT", "TGCA"))[::-1] + half, one[::-1], None)[i % 3]
+        insert = brute_overlap(one, two) if two else None
+        kept = []
+        for s in (one, two):
+            if s:
+                end = min(brute_adapter(s, adapter), len(s) if insert is None else insert)
+                kept.append(min(end, qc.poly_g_start(s[:end].encode())))
+            else:
+                kept.append(None if kept else 0)  # an empty mate is none
+        want.append((i, *kept, all(k is None or k >= 15 for k in kept)))
+    got = rows(catalogue.QUERIES["qc_trim_filter"](spark, str(tmp_path)), "doc_id", "kept1", "kept2", "passed")
+    assert got == want
+    assert max(k for _, k, *_ in want) > 150
+
+
 def test_ranks_and_lineages(spark):
     df = spark.createDataFrame([("d__B; p__P; c__",), ("d__B; c__C",), ("",)], "taxonomy string")
     assert [tuple(r) for r in reference.ranks(df).select("domain", "phylum", "class").collect()] == [("B", "P", None), ("B", None, "C"), (None, None, None)]
