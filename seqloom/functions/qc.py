@@ -18,7 +18,7 @@ from ..session import ship
 def filter_read(seq: Column, qual: Column, min_len: int = 15, max_len: int = 0, qual_q: int = 15, max_unq_pct: int = 40, max_n: int = 5, min_avg_q: int = 0) -> Column:
     """(passed, fail_reason, length, n_bases, low_qual_bases, mean_quality); reasons in the order length, n_base, quality, too_long. 0 switches a bound off."""
     length = F.length(seq)
-    n = F.length(seq) - F.length(F.replace(F.upper(seq), F.lit("N"), F.lit("")))
+    n = F.length(seq) - F.length(F.translate(seq, "Nn", ""))  # upper() lengthens a sharp s
     low = F.coalesce(F.size(F.filter(qual, lambda q: q < qual_q)), F.lit(0))
     mean = F.try_divide(F.aggregate(qual, F.lit(0).cast("long"), lambda a, q: a + q).cast("double"), F.size(qual).cast("double"))
     bad_quality = (low * 100 > max_unq_pct * length) | (F.lit(min_avg_q > 0) & (F.coalesce(mean, F.lit(0.0)) < min_avg_q))

@@ -442,6 +442,15 @@ def qc_filter(spark, sf):
     return rows.select("doc_id", verdict.alias("v")).select("doc_id", "v.passed", "v.fail_reason")
 
 
+@query("""SELECT doc_id, length(text) >= 100 AND n <= 50 AND length(text) <= 5000 AS passed,
+                 CASE WHEN length(text) < 100 THEN 'length' WHEN n > 50 THEN 'n_base' WHEN length(text) > 5000 THEN 'too_long' END AS fail_reason
+          FROM (SELECT doc_id, text, length(text) - length(replace(replace(text, 'N', ''), 'n', '')) AS n FROM documents)""")
+def qc_filter_whole(spark, sf):
+    """Documents of every language; ``qc_filter`` and its SQL have the English ones."""
+    verdict = qc.filter_read(F.col("text"), F.lit(None).cast("array<short>"), min_len=100, max_len=5000, max_n=50)
+    return t(spark, sf, "documents").select("doc_id", verdict.alias("v")).select("doc_id", "v.passed", "v.fail_reason")
+
+
 @query()
 def qc_trim_filter(spark, sf):
     """Whole documents as reads; of three one has a mate that ends the insert halfway, one a mate that doesn't meet it. A pair passes if both mates do."""

@@ -134,6 +134,12 @@ def test_filter_read(spark):
     assert got == [None, "length", "n_base", "quality", "too_long"]
 
 
+def test_filter_read_counts_n_beside_sharp_s(spark):
+    df = spark.createDataFrame([("Nn" * 3 + "ß" * 3 + "ACGT" * 10,), ("Nn" * 2 + "n" + "ß" * 3 + "ACGT" * 10,)], "s string")
+    got = [tuple(r[0])[1:4] for r in df.select(qc.filter_read(F.col("s"), F.lit(None).cast("array<short>"))).collect()]
+    assert got == [("n_base", 49, 6), (None, 48, 5)]
+
+
 def test_trims(spark):
     adapter = "AGATCGGAAGAGC"
     insert = "ACGTTGCAAGGTCCATTGACCATGGCATTAGCAGT"
