@@ -20,7 +20,7 @@ def ranks(taxonomy: DataFrame, text: str = "taxonomy", separator: str = r";\s*")
     for prefix, name in RANKS.items():
         mark = F.lit(prefix + "__")
         own = F.get(F.filter(parts, lambda x: F.startswith(x, mark)), F.lit(0))  # noqa: B023 - used at once
-        out = out.withColumn(name, F.nullif(F.substring(own, 4, 1 << 20), F.lit("")))
+        out = out.withColumn(name, F.nullif(F.substr(own, F.lit(4)), F.lit("")))
     return out
 
 

@@ -118,7 +118,7 @@ def sam(spark: SparkSession, *paths: str) -> DataFrame:
     f = F.split("value", "\t")
     spans = F.regexp_extract_all(f[5], F.lit("([0-9]+)[MDN=X]"), F.lit(1))
     length = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.lower(F.substring(t, 1, 2)), F.substring(t, 6, 1 << 20))))
+    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.lower(F.substring(t, 1, 2)), F.substr(t, F.lit(6)))))
     return lines.select(
         f[0].alias("read_id"), f[1].cast("int").alias("flags"), F.nullif(f[2], F.lit("*")).alias("reference"), f[3].cast("long").alias("position"), (f[3].cast("long") + length).alias("stop_position"),
         f[4].cast("short").alias("mapq"), f[5].alias("cigar"), f[6].alias("mate_reference"), f[7].cast("long").alias("mate_position"), f[8].cast("long").alias("template_length"), F.nullif(f[9], F.lit("*")).alias("sequence"), F.nullif(f[10], F.lit("*")).alias("quality"), tags.alias("tags"))

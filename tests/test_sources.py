@@ -53,6 +53,12 @@ def test_jplace(spark, tmp_path):
     assert [(x["fragment"], x["edge_num"], x["likelihood"]) for x in r] == [("f1", 3, -1.5), ("f2", 3, -1.5), ("g", 4, -2.0)]
 
 
+def test_sam_tags_are_whole(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("r1\t0\tc\t10\t60\t2=\t*\t0\t0\tAC\tII\tMD:Z:" + "A" * ((1 << 20) + 9) + "\tNM:i:1\tCO:Z:\n")
+    tags = readers.sam(spark, str(tmp_path / "x.sam")).first()["tags"]
+    assert len(tags["md"]) == (1 << 20) + 9 and tags["nm"] == "1" and tags["co"] == ""
+
+
 def test_sam(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\nr1\t0\tc\t10\t60\t3=1I2=\t*\t0\t0\tACGTAC\tIIIIII\tNM:i:1\tAS:i:-3\n")
     r = readers.sam(spark, str(tmp_path / "x.sam")).first()
