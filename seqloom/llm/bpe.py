@@ -5,17 +5,19 @@ the lower of its children, the left one on a tie. The root is therefore the left
 rank. A merge changes three leaves, each in logarithmic time, until no pair is left that merges.
 Pieces recur, so each worker keeps the ids of pieces it has met, in two generations of bounded size.
 
-Defined cases: null text counts as empty and has no ids; repeated rows are each encoded; an empty
-table gives no rows; other columns are ignored. Texts are taken piece by piece, so very long ones
-need memory for their ids only.
+Defined cases: null text counts as empty and has no ids; null doc_id stays null; repeated rows and
+ties are each encoded; an empty table gives no rows; other columns, whatever their names, are
+ignored. Texts are taken piece by piece, so very long ones need memory for their ids only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from itertools import chain, islice
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ from .common import ship
 
 #: The pattern that parts a text before merging: a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept by a worker, in each of two generations.
-KEPT_PIECES = 400_000
+#: Pieces kept by a worker, in each of two generations: some 20 MB each, as a piece of over KEPT_LENGTH characters isn't kept.
+KEPT_PIECES, KEPT_LENGTH = 100_000, 64
+#: Rows are handed on once they hold so many ids.
+BATCH_IDS = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,8 +39,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-
-
 def vocabulary() -> str:
     """Path of the byte-level vocabulary that the queries use."""
     import public_tokenizers
@@ -113,6 +115,7 @@ class Codec:
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes_of = {i: bytes(back[c] for c in word) for word, i in vocab.items() if word not in self.specials}
         self.bytes_of |= {i: word.encode() for word, i in self.specials.items()}
+        self.name_of = {i: str(i) for i in self.bytes_of}
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.split = regex.compile(PATTERN)
         self.fresh: dict[str, tuple[int, ...]] = {}
@@ -122,7 +125,7 @@ class Codec:
         ids = self.old.get(piece)
         if ids is None:
             ids = tuple(merged([self.byte_ids[b] for b in piece.encode()], self.pairs))
-        if len(piece) <= 64:
+        if len(piece) <= KEPT_LENGTH:
             if len(self.fresh) >= KEPT_PIECES:
                 self.old, self.fresh = self.fresh, {}
             self.fresh[piece] = ids
@@ -183,22 +186,33 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool
     schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
+        from .textnum import release
+
         own = codec(spec.value)
-        names = {i: str(i) for i in own.bytes_of}
+
+        def result(batch, begin: int, counts: list[int], ids: array, digests: list[str], decoded: list[str]):
+            arrays = [batch["doc_id"].slice(begin, len(counts))]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.frombuffer(ids, np.int32))))
+            arrays += [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: dict[str, list] = {"doc_id": part["doc_id"], "ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-                for x in part["text"]:
-                    ids = own.encode(x.as_py() or "")
-                    out["n_tokens"].append(len(ids))
-                    out["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-                    if with_ids:
-                        out["ids"].append(ids)
-                arrays = [out["doc_id"].cast(pa.int64())] + [pa.array(out["ids"], pa.list_(pa.int32()))] * with_ids
-                arrays += [pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"]), pa.array(out["decoded_sha256"])]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+            begin, total, counts, held, digests, decoded = 0, 0, [], array("i"), [], []
+            for x in batch["text"]:
+                ids = own.encode(x.as_py() or "")
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(",".join(map(own.name_of.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    held.extend(ids)
+                total += len(ids)
+                if total >= BATCH_IDS:
+                    yield result(batch, begin, counts, held, digests, decoded)
+                    begin, total, counts, held, digests, decoded = begin + len(counts), 0, [], array("i"), [], []
+            if counts:
+                yield result(batch, begin, counts, held, digests, decoded)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
