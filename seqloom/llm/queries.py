@@ -135,6 +135,6 @@ SQL = {
                      CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words
               FROM w LEFT JOIN m ON m.doc_id = w.doc_id),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-        SELECT *, NOT (base_failed OR 100 * n_symbols > 30 * n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100 * n_symbols > 30 * n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
                        OR n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines OR 100 * n_echo_words > 30 * n_words OR 100 * n_capitals > 30 * word_chars) AS kept FROM b""",
 }

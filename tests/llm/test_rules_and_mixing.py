@@ -47,7 +47,21 @@ def test_cascade_order_does_not_change_the_verdict(spark):
     assert out.columns == d.columns and {r["doc_id"] for r in out.collect()} == kept and len(kept) == 5
     rows = quality_rules._prepared(d)
     for order in (list(quality_rules.RULES), list(quality_rules.RULES)[::-1]):
-        assert rows.where(quality_rules.cascade(order).isNull()).count() == 5
+        assert rows.where(quality_rules.cascade(order, F.col("words")).isNull()).count() == 5
+
+
+def test_cascade_skips_what_it_does_not_reach(spark, monkeypatch):
+    """A rule whose figure fails when it is worked out does no harm to rows that an earlier rule rejects, in the filter and in the report."""
+    loud = "THIS IS LOUD AND GOES ON FOR MORE THAN TWENTY WORDS WITHOUT SAYING ANY OF THEM TWICE SO ONLY ITS CAPITALS TELL IT APART"
+    d = docs(spark, ["short", loud])
+    trap = F.raise_error(F.lit("worked out")).cast("long")
+    monkeypatch.setitem(quality_rules.FIGURES, "n_echo_words", lambda t, w: trap)
+    with pytest.raises(Exception, match="worked out"):
+        quality_rules._prepared(d).where(quality_rules.cascade(["short", "echoes", "capitals"], F.col("words")).isNull()).collect()
+    assert quality_rules._prepared(d).where(quality_rules.cascade(["short", "capitals", "echoes"], F.col("words")).isNull()).count() == 0
+    others = [r for r in quality_rules.RULES if r not in (*quality_rules.BASE, "echoes", "capitals")]
+    monkeypatch.setattr(quality_rules, "plan", lambda *a: [(r, 1.0, 0.0) for r in ["capitals", "echoes", *others]])
+    assert [r["kept"] for r in quality_rules.report(d).collect()] == [False, False]
 
 
 def test_plan_puts_cheap_rejection_first(spark):
