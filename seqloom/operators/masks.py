@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.sequence import trimmed, trimmed_array
 
 KEYS = ["prep_sample_idx", "sequence_idx"]
+#: Reasons by bucket: fixed values. A reason in neither list counts as raw only.
+BIOLOGICAL, SPIKEIN = ("host_minimap2", "host_rype", "pass"), ("spikein_syndna",)
 
 
 def masked(reads: DataFrame, mask: DataFrame) -> DataFrame:
@@ -23,8 +25,13 @@ def metrics(mask: DataFrame, by: list[str] = ()) -> DataFrame:
     both = lambda p: (F.count_if(p) + F.count(F.when(p, F.col("right_trim2")))).cast("long")
     ok = F.col("reason") == "pass"
     return mask.groupBy(*by).agg(
-        both(F.lit(True)).alias("raw"), both(ok | F.startswith("reason", F.lit("host_"))).alias("biological"), both(ok).alias("quality_filtered"),
-        both(F.col("reason") == "spikein").alias("spikein"), F.count(F.lit(1)).alias("row_count"))
+        both(F.lit(True)).alias("raw"), both(F.col("reason").isin(*BIOLOGICAL)).alias("biological"), both(ok).alias("quality_filtered"),
+        both(F.col("reason").isin(*SPIKEIN)).alias("spikein"), F.count(F.lit(1)).alias("row_count"))
+
+
+def pass_count(mask: DataFrame, mask_idx: int, prep_sample_idx: int) -> DataFrame:
+    """One row, n: the rows of a sample that pass one mask; both bounds reach the scan."""
+    return mask.where((F.col("mask_idx") == mask_idx) & (F.col("prep_sample_idx") == prep_sample_idx) & (F.col("reason") == "pass")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_precedence(reads: DataFrame, ordered: list[tuple[DataFrame, str]], key: str, reason: str = "reason") -> DataFrame:

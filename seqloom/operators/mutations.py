@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` and those ``rows`` whose key it lacks; of rows with equal keys one is taken."""
-    fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
-    return table.unionByName(fresh)
+    """``table`` and those ``rows`` whose key it lacks; of rows with equal keys the least is taken (by its JSON, so that any columns will do)."""
+    own = F.struct(*rows.columns)
+    one = rows.groupBy(*keys).agg(F.min_by(own, F.to_json(own)).alias("__row")).select("__row.*")
+    return table.unionByName(one.join(table.select(*keys), keys, "left_anti").select(*rows.columns))
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

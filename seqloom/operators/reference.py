@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, written
+
 #: Rank prefixes of a lineage text, in order: fixed values of the format.
 RANKS = {"d": "domain", "p": "phylum", "c": "class", "o": "order", "f": "family", "g": "genus", "s": "species", "t": "strain"}
 
@@ -32,9 +33,15 @@ def bad_lineages(taxonomy: DataFrame, text: str = "taxonomy", separator: str = r
     return taxonomy.where((F.size(parts) > len(RANKS)) | wrong)
 
 
+def one_per_feature(taxonomy: DataFrame, key: str) -> DataFrame:
+    """A feature that is listed several times keeps its least row, so that joins don't multiply it."""
+    rest = [c for c in taxonomy.columns if c != key]
+    return taxonomy.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+
+
 def padded(features: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
     """One row for each feature; without taxonomy its ranks are null."""
-    return features.join(taxonomy, key, "left")
+    return features.join(one_per_feature(taxonomy, key), key, "left")
 
 
 def first_by(rows: DataFrame, by: list, order: list) -> DataFrame:
@@ -61,23 +68,38 @@ def minted(existing: DataFrame, wanted: DataFrame, key: str, ident: str) -> Data
     return existing.join(wanted.select(key).distinct(), key, "left_semi").select(key, ident).unionByName(placed)
 
 
-def dense_numbers(rows: DataFrame, key: str, name: str, partitions: int | None = None) -> DataFrame:
-    """1, 2, … in the order of a unique key, without one task that holds all rows: ranges are numbered apart and shifted by the sizes before them."""
+def running(rows: DataFrame, key: str, value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` with the running sum of ``value`` (a long) up to and with each row, in the order of a unique key.
+
+    No task sees all rows: ranges of the key are written with their number, so that their sizes and
+    their rows are read from one and the same cut, summed apart, and shifted by the sums before them.
+    """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, key).withColumn("__p", F.spark_partition_id())
-    within = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    sizes = within.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"))  # a row per partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(F.broadcast(before.drop("__size")), "__p").withColumn(name, F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")
+    ranged = written(rows.withColumn("__v", value).repartitionByRange(n, key).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("__p").agg(F.sum("__v").alias("__sum"))  # a row per range
+    before = sums.select("__p", F.coalesce(F.sum("__sum").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.sum("__v").over(Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__i", within).join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__before")).drop("__p", "__v", "__i", "__before")
+
+
+def dense_numbers(rows: DataFrame, key: str, name: str, partitions: int | None = None) -> DataFrame:
+    """1, 2, … in the order of a unique key."""
+    return running(rows, key, F.lit(1).cast("long"), name, partitions)
 
 
 def descendants(edges: DataFrame, root: int, node: str = "node_index", parent: str = "parent_index") -> DataFrame:
-    """Nodes under ``root``, itself included, by a recursive query."""
-    edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView("seqloom_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE clade(node) AS (
-          SELECT {int(root)}L UNION ALL SELECT e.node FROM seqloom_edges e JOIN clade c ON e.parent = c.node WHERE e.node <> e.parent)
-        SELECT DISTINCT node FROM clade""")
+    """Nodes under ``root``, itself included. Jumps double each round, so the rounds grow with the logarithm of the depth; circles end too."""
+    jump = written(edges.select(F.col(node).cast("long").alias("node"), F.col(parent).cast("long").alias("up")).where("up is not null and node <> up").distinct(), "jumps")
+    found = edges.sparkSession.createDataFrame([(int(root),)], "node long")
+    steps = jump.count()
+    while steps:
+        near = jump.join(found.withColumnRenamed("node", "up"), "up", "left_semi").select("node")
+        found = written(found.union(near).distinct(), "clade")
+        further = jump.withColumnRenamed("up", "via").join(jump.select(F.col("node").alias("via"), F.col("up")), "via").select("node", "up").distinct()
+        jump, steps = written(further, "jumps"), steps // 2
+        if jump.isEmpty():
+            break
+    return found
 
 
 def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None) -> DataFrame:
@@ -90,8 +112,7 @@ def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None)
     step = e.select("ancestor", "descendant", F.lit(1).alias("distance"))
     if levels is None:
         spark = edges.sparkSession
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        at, n = f"{base}/closure-{uuid.uuid4().hex}", 0
+        at, n = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}", 0
 
         def kept(df: DataFrame, what: str) -> DataFrame:
             df.write.parquet(f"{at}/{what}")

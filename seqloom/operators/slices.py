@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -71,10 +71,21 @@ def block(table: DataFrame, members: Sequence[tuple[int, int, int]], owner: str,
     if len(members) <= MAX_PREDICATE_MEMBERS:
         exact = reduce(Column.__or__, [(F.col(owner) == o) & F.col(at).between(a, b) for o, a, b in members])
         return table.where(F.col(owner).isin(owners) & coarse & exact)
-    listed = table.sparkSession.createDataFrame([tuple(m) for m in members], f"{owner} long, __first long, __last long")
+    listed = table.sparkSession.createDataFrame(merged_members(members), f"{owner} long, __first long, __last long")
     return block_join(table.where(coarse), listed, owner, at, "__first", "__last").drop("__first", "__last")
 
 
+def merged_members(members: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The members with those of an owner that overlap or touch as one, so that a join meets each row once."""
+    out: list[tuple[int, int, int]] = []
+    for owner, first, last in sorted(m for m in members if m[1] <= m[2]):
+        if out and out[-1][0] == owner and first <= out[-1][2] + 1:
+            out[-1] = (owner, out[-1][1], max(last, out[-1][2]))
+        else:
+            out.append((owner, first, last))
+    return out
+
+
 def block_join(table: DataFrame, members: DataFrame, owner: str, at: str, first: str, last: str) -> DataFrame:
     """Range join by owner: an equi-join with the bounds as a residual, so no nested loop. Members of one owner may not overlap."""
     return table.join(members, owner).where(F.col(at).between(F.col(first), F.col(last)))
@@ -83,3 +94,69 @@ def block_join(table: DataFrame, members: DataFrame, owner: str, at: str, first:
 def excluded(table: DataFrame, exclusion: DataFrame, key: str = "feature_idx") -> DataFrame:
     """Policy view: rows whose key isn't on the blocklist. Spark broadcasts the list if its size allows."""
     return table.join(exclusion.select(key).distinct(), key, "left_anti")
+
+
+# The read surfaces: fixed values of the data model -------------------------------------------------
+
+#: Columns that a request may filter on.
+FILTERS = ("feature_idx", "parent_feature_idx", "annotation_idx", "reference_idx", "node_index", "mask_idx", "prep_sample_idx", "alignment_idx")
+#: Columns of a read, and those of an alignment that coverage and feature tables need.
+READ_COLUMNS = ("prep_sample_idx", "sequence_idx", "read_id", "sequence1", "qual1", "sequence2", "qual2")
+ALIGNMENT_COLUMNS = ("prep_sample_idx", "sequence_idx", "feature_idx", "flags", "position", "stop_position")
+SURFACES = {
+    "reference_sequences": Surface(FILTERS),
+    "reference_sequence_chunks": Surface(FILTERS),
+    "reference_taxonomy_visible": Surface(FILTERS),
+    "reference_phylogeny": Surface(FILTERS),
+    "reference_placements": Surface(FILTERS),
+    "reference_annotation": Surface(FILTERS),
+    "read_masked": Surface(FILTERS, needs_filter=True),
+    "alignment_visible": Surface(FILTERS, ALIGNMENT_COLUMNS, needs_filter=True, single=("alignment_idx",)),
+    "read_block": Surface((), READ_COLUMNS),
+    "read_masked_block": Surface(("mask_idx",), READ_COLUMNS, needs_filter=True, single=("mask_idx",)),
+}
+#: Surfaces that are blocks: asked for by members only.
+BLOCKS = ("read_block", "read_masked_block")
+#: Tables without a reference_idx of their own; the membership table says whose their features are.
+BY_MEMBERSHIP = ("reference_sequences", "reference_sequence_chunks")
+
+Tables = Callable[[str], DataFrame]
+
+
+def relation(tables: Tables, surface: str) -> DataFrame:
+    """What a surface reads: a table, or the policy view over it."""
+    from .masks import masked
+
+    if surface == "reference_taxonomy_visible":
+        return excluded(tables("reference_taxonomy"), tables("reference_exclusion"))
+    if surface == "alignment_visible":
+        return excluded(tables("alignment"), tables("reference_exclusion"))
+    if surface in ("read_masked", "read_masked_block"):
+        return masked(tables("read"), tables("read_mask"))
+    return tables("read" if surface == "read_block" else surface)
+
+
+def fetch(tables: Tables, surface: str, where: Mapping[str, Sequence[int]] | None = None, members: Sequence[tuple[int, int, int]] = ()) -> DataFrame:
+    """The rows of a surface under ``column IN values`` filters, or of a block of members.
+
+    ``tables`` gives a lake table by name (``Lake.read`` does). Refused: unknown surfaces and filter
+    columns, members where there is no block, a block without members, reads or alignments without a
+    filter, alignments of several runs, a masked block without exactly one mask. A reference_idx of a
+    table that has none joins the membership; a feature in two of the references comes twice.
+    """
+    where = dict(where or {})
+    if surface not in SURFACES:
+        raise SliceError(f"{surface}: not a surface")
+    if surface in BLOCKS and not members:
+        raise SliceError(f"{surface}: no members")
+    if surface not in BLOCKS and members:
+        raise SliceError(f"{surface}: takes no members")
+    table = relation(tables, surface)
+    if surface in BLOCKS:
+        return build(block(table, members, "prep_sample_idx", "sequence_idx"), SURFACES[surface], where)
+    if surface in BY_MEMBERSHIP and "reference_idx" in where:
+        table = scoped(table, tables("reference_membership"), "feature_idx", "reference_idx", where.pop("reference_idx"))
+    for column in where:
+        if column in FILTERS and column not in table.columns:
+            raise SliceError(f"{surface}: has no {column}")
+    return build(table, SURFACES[surface], where)

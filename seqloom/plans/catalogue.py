@@ -6,12 +6,17 @@ order for a read, a part for a feature, and so on; each query says which.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as aln
 from ..functions import metadata, qc, sequence
 from ..operators import alignment, coverage, features, masks, mutations, planning, readmodels, reference, slices
+from ..schemas import schema
+from ..session import shared_dir
+from ..sources.lake import Lake
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,24 +137,20 @@ def delete_reference_counts(spark, sf):
 # metrics -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_shipmode AS sample, n + m AS raw, n1 + m1 AS biological, n2 + m2 AS quality_filtered, n3 + m3 AS spikein, n AS row_count FROM (
-            SELECT l_returnflag AS l_shipmode, count(*) AS n, count(x) AS m,
-                   count(*) FILTER (WHERE r IN ('pass', 'host_a')) AS n1, count(x) FILTER (WHERE r IN ('pass', 'host_a')) AS m1,
+@query("""SELECT l_returnflag AS sample, n + m AS raw, n1 + m1 AS biological, n2 + m2 AS quality_filtered, n3 + m3 AS spikein, n AS row_count FROM (
+            SELECT l_returnflag, count(*) AS n, count(x) AS m,
+                   count(*) FILTER (WHERE r IN ('host_minimap2', 'host_rype', 'pass')) AS n1, count(x) FILTER (WHERE r IN ('host_minimap2', 'host_rype', 'pass')) AS m1,
                    count(*) FILTER (WHERE r = 'pass') AS n2, count(x) FILTER (WHERE r = 'pass') AS m2,
-                   count(*) FILTER (WHERE r = 'spikein') AS n3, count(x) FILTER (WHERE r = 'spikein') AS m3
+                   count(*) FILTER (WHERE r = 'spikein_syndna') AS n3, count(x) FILTER (WHERE r = 'spikein_syndna') AS m3
             FROM (SELECT l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS x,
-                         CASE l_suppkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'host_a' WHEN 2 THEN 'spikein' ELSE 'qc_length' END AS r FROM lineitem) GROUP BY l_returnflag)""")
+                         CASE l_suppkey % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'host_minimap2' WHEN 2 THEN 'host_rype' WHEN 3 THEN 'spikein_syndna' WHEN 4 THEN 'twist_no_adaptor' ELSE 'qc_length' END AS r FROM lineitem) GROUP BY l_returnflag)""")
 def mask_metrics(spark, sf):
-    k = F.col("l_suppkey") % 4
-    mask = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("right_trim2"), F.when(k == 0, "pass").when(k == 1, "host_a").when(k == 2, "spikein").otherwise("qc_length").alias("reason"))
+    k = F.col("l_suppkey") % 6
+    reason = F.when(k == 0, "pass").when(k == 1, "host_minimap2").when(k == 2, "host_rype").when(k == 3, "spikein_syndna").when(k == 4, "twist_no_adaptor").otherwise("qc_length")
+    mask = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("right_trim2"), reason.alias("reason"))
     return masks.metrics(mask, ["sample"])
 
 
-@query("SELECT count(*) AS n FROM labels WHERE quality = 1 AND toxic = 0")
-def masked_count(spark, sf):
-    return t(spark, sf, "labels").where("quality = 1 and toxic = 0").agg(F.count(F.lit(1)).alias("n"))
-
-
 # sequences ---------------------------------------------------------------------------------------
 
 
@@ -175,7 +176,10 @@ def chunk_reassemble(spark, sf):
     return reassembled(t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.col("text").alias("chunk_data")), ["conv_id"])
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT doc_id, row_number() OVER w AS n, sum(n_chars) OVER w - n_chars AS a, sum(n_chars) OVER w AS e FROM documents WINDOW w AS (ORDER BY doc_id)),
+          x AS (SELECT i.n, min(j.n) AS m FROM i JOIN i j ON j.n > i.n AND j.e > i.a + 50000 GROUP BY i.n),
+          s(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT m FROM s JOIN x ON x.n = s.n)
+          SELECT doc_id, count(s.n) - 1 AS part FROM i JOIN s ON s.n <= i.n GROUP BY doc_id""")
 def bin_pack(spark, sf):
     return planning.parts_by_budget(t(spark, sf, "documents").withColumnRenamed("n_chars", "cost"), "doc_id", "cost", 50_000)
 
@@ -466,20 +470,15 @@ def qc_trim_filter(spark, sf):
     return told.select("doc_id", "kept1", "kept2", F.col("fail_reason").isNull().alias("passed"), "fail_reason")
 
 
-@query()
+@query("SELECT doc_id AS feature_idx, true AS same FROM documents")
 def format_roundtrip(spark, sf):
-    """Documents as FASTA records, written, read again and compared."""
-    import tempfile
-    import uuid
-
-    from ..sources import sinks
+    """Documents as FASTA records, written, read again by the reader and compared."""
+    from ..sources import readers, sinks
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    at = f"{base}/fasta-{uuid.uuid4().hex}"
-    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("feature_idx"), F.lit(None).cast("string").alias("accession"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+    at = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("feature_idx"), F.lit(None).cast("string").alias("accession"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("sequence"))
     sinks.fasta(rows, at)
-    lines = spark.read.text(at, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("v"))
-    back = lines.select(F.regexp_extract("v", r"^feature_(\d+)", 1).cast("long").alias("feature_idx"), F.md5(F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n", ""), "\n", "")).alias("digest"))
+    back = readers.fastx(spark, at).select(F.regexp_extract("read_id", r"^feature_(\d+)$", 1).cast("long").alias("feature_idx"), F.md5("sequence").alias("digest"))
     return rows.select("feature_idx", F.md5("sequence").alias("own")).join(back, "feature_idx").select("feature_idx", (F.col("own") == F.col("digest")).alias("same"))
 
 
@@ -576,13 +575,7 @@ def set_digest(spark, sf):
 
 
 def _lake(spark):
-    import tempfile
-    import uuid
-
-    from ..sources.lake import Lake
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    return Lake(spark, f"{base}/lake-{uuid.uuid4().hex}")
+    return Lake(spark, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
 
 
 @query("SELECT p_partkey AS feature_idx FROM part WHERE p_size = 1")
@@ -616,3 +609,146 @@ def insert_if_missing(spark, sf):
     part = t(spark, sf, "part")
     have = part.where("p_size < 10").groupBy(F.col("p_brand").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return mutations.insert_missing(have, part.select(F.col("p_brand").alias("k"), F.lit(0).cast("long").alias("n")).distinct(), ["k"])
+
+
+# the lake's tables and surfaces --------------------------------------------------------------------
+
+#: Stand-ins for the lake's tables, by DuckDB; ``_stand_ins`` has the same rows.
+_LAKE = """reference_membership AS (SELECT DISTINCT l_suppkey % 5 AS reference_idx, l_partkey AS feature_idx FROM lineitem WHERE l_linenumber < 3),
+  reference_sequences AS (SELECT p_partkey AS feature_idx, md5(p_name) AS sequence_hash, CAST(p_size AS BIGINT) AS sequence_length_bp FROM part),
+  reference_sequence_chunks AS (SELECT p_partkey AS feature_idx, CAST(i AS INT) AS chunk_index, CASE i WHEN 0 THEN p_name ELSE p_brand END AS chunk_data FROM part, (SELECT unnest([0, 1]) AS i)),
+  reference_exclusion AS (SELECT p_partkey AS feature_idx FROM part WHERE p_size = 1),
+  reference_taxonomy AS (SELECT p_size % 5 AS reference_idx, p_partkey AS feature_idx, p_type AS domain, p_brand AS phylum FROM part),
+  reference_phylogeny AS (SELECT o_orderkey % 5 AS reference_idx, o_orderkey AS node_index, o_orderkey // 2 AS parent_index, o_orderstatus = 'O' AS is_tip FROM orders),
+  reference_placements AS (SELECT l_suppkey % 5 AS reference_idx, l_partkey AS feature_idx, CAST(l_linenumber AS INT) AS edge_num, l_quantity AS likelihood FROM lineitem),
+  reference_annotation AS (SELECT l_orderkey * 10 + l_linenumber AS annotation_idx, l_suppkey % 5 AS reference_idx, l_partkey AS feature_idx, l_suppkey AS parent_feature_idx, l_returnflag AS source FROM lineitem),
+  "read" AS (SELECT o_custkey % 20 AS prep_sample_idx, o_orderkey AS sequence_idx, 'r' || o_orderkey AS read_id, o_orderpriority AS sequence1, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || 'ACGT' END AS sequence2 FROM orders),
+  read_mask AS (SELECT m AS mask_idx, prep_sample_idx, sequence_idx, CASE (sequence_idx + m) % 4 WHEN 0 THEN 'qc_length' WHEN 1 THEN 'host_rype' ELSE 'pass' END AS reason,
+                       sequence_idx % 3 AS left_trim1, sequence_idx % 2 AS right_trim1, CASE WHEN sequence2 IS NOT NULL THEN 1 END AS left_trim2, CASE WHEN sequence2 IS NOT NULL THEN 2 END AS right_trim2
+                FROM "read", (SELECT unnest([1, 2]) AS m)),
+  alignment AS (SELECT l_linenumber % 3 AS alignment_idx, l_suppkey % 20 AS prep_sample_idx, l_orderkey AS sequence_idx, l_partkey AS feature_idx, CAST(l_linenumber AS INT) AS flags, l_orderkey AS position, l_orderkey + 9 AS stop_position FROM lineitem),
+  read_masked AS (SELECT mask_idx, prep_sample_idx, sequence_idx, read_id, substr(sequence1, left_trim1 + 1, greatest(length(sequence1) - left_trim1 - right_trim1, 0)) AS sequence1,
+                         substr(sequence2, left_trim2 + 1, greatest(length(sequence2) - left_trim2 - right_trim2, 0)) AS sequence2
+                  FROM "read" JOIN read_mask USING (prep_sample_idx, sequence_idx) WHERE reason = 'pass')"""
+
+
+def _stand_ins(spark, sf):
+    """The lake's tables by name; what the driver's tables have no counterpart for is null."""
+    part, line, orders = (t(spark, sf, x) for x in ("part", "lineitem", "orders"))
+    c, long = F.col, lambda x: F.col(x).cast("long")
+    second = F.when(c("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit("ACGT")))
+    k = (c("sequence_idx") + c("mask_idx")) % 4
+    reads = orders.select((c("o_custkey") % 20).alias("prep_sample_idx"), c("o_orderkey").alias("sequence_idx"), F.concat(F.lit("r"), c("o_orderkey").cast("string")).alias("read_id"), c("o_orderpriority").alias("sequence1"), second.alias("sequence2"))
+    mated = c("sequence2").isNotNull()
+    made = {
+        "reference_membership": lambda: line.where("l_linenumber < 3").select((c("l_suppkey") % 5).alias("reference_idx"), c("l_partkey").alias("feature_idx")).distinct(),
+        "reference_sequences": lambda: part.select(c("p_partkey").alias("feature_idx"), F.md5("p_name").alias("sequence_hash"), long("p_size").alias("sequence_length_bp")),
+        "reference_sequence_chunks": lambda: part.select(c("p_partkey").alias("feature_idx"), F.posexplode(F.array("p_name", "p_brand")).alias("chunk_index", "chunk_data")),
+        "reference_exclusion": lambda: part.where("p_size = 1").select(c("p_partkey").alias("feature_idx")),
+        "reference_taxonomy": lambda: part.select((c("p_size") % 5).alias("reference_idx"), c("p_partkey").alias("feature_idx"), c("p_type").alias("domain"), c("p_brand").alias("phylum")),
+        "reference_phylogeny": lambda: orders.select((c("o_orderkey") % 5).alias("reference_idx"), c("o_orderkey").alias("node_index"), F.expr("o_orderkey div 2").alias("parent_index"), (c("o_orderstatus") == "O").alias("is_tip")),
+        "reference_placements": lambda: line.select((c("l_suppkey") % 5).alias("reference_idx"), c("l_partkey").alias("feature_idx"), c("l_linenumber").alias("edge_num"), c("l_quantity").alias("likelihood")),
+        "reference_annotation": lambda: line.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("annotation_idx"), (c("l_suppkey") % 5).alias("reference_idx"), c("l_partkey").alias("feature_idx"), c("l_suppkey").alias("parent_feature_idx"), c("l_returnflag").alias("source")),
+        "read": lambda: reads,
+        "read_mask": lambda: reads.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("mask_idx"), "prep_sample_idx", "sequence_idx", "sequence2").select("mask_idx", "prep_sample_idx", "sequence_idx", F.when(k == 0, "qc_length").when(k == 1, "host_rype").otherwise("pass").alias("reason"), (c("sequence_idx") % 3).alias("left_trim1"), (c("sequence_idx") % 2).alias("right_trim1"), F.when(mated, F.lit(1)).alias("left_trim2"), F.when(mated, F.lit(2)).alias("right_trim2")),
+        "alignment": lambda: line.select((c("l_linenumber") % 3).alias("alignment_idx"), (c("l_suppkey") % 20).alias("prep_sample_idx"), c("l_orderkey").alias("sequence_idx"), c("l_partkey").alias("feature_idx"), c("l_linenumber").alias("flags"), c("l_orderkey").alias("position"), (c("l_orderkey") + 9).alias("stop_position")),
+    }
+
+    def table(name: str) -> DataFrame:
+        df = made[name]()
+        return df.select([(c(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema(name)])
+
+    return table
+
+
+def _surface(name: str, columns: str, where: dict, members: list = (), sql: str | None = None):
+    """Registers a query over one surface; ``columns`` are those the stand-ins fill."""
+    terms = [f"{c} IN ({', '.join(map(str, v))})" for c, v in where.items()]
+    if members:
+        terms.append("(" + " OR ".join(f"(prep_sample_idx = {o} AND sequence_idx BETWEEN {a} AND {b})" for o, a, b in members) + ")")
+    source = {"read_block": '"read"', "read_masked_block": "read_masked", "reference_taxonomy_visible": "reference_taxonomy", "alignment_visible": "alignment"}.get(name, name)
+    terms += ["feature_idx NOT IN (SELECT feature_idx FROM reference_exclusion)"] * name.endswith("_visible")
+
+    def run(spark, sf):
+        return slices.fetch(_stand_ins(spark, sf), name, where, members).select(columns.split(", "))
+
+    QUERIES[f"surface_{name}"] = run
+    SQL[f"surface_{name}"] = f"WITH {_LAKE} " + (sql or f"SELECT {columns} FROM {source} WHERE {' AND '.join(terms)}")
+
+
+_IN_BLOCK = [(1, 1, 3000), (1, 2000, 5000), (4, 100, 9000), (7, 1, 60000)]
+_surface("reference_sequences", "feature_idx, sequence_hash, sequence_length_bp", {"reference_idx": [1, 3]}, sql="SELECT t.* FROM reference_sequences t JOIN reference_membership m ON t.feature_idx = m.feature_idx WHERE m.reference_idx IN (1, 3)")
+_surface("reference_sequence_chunks", "feature_idx, chunk_index, chunk_data", {"reference_idx": [2], "feature_idx": [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]}, sql="SELECT t.* FROM reference_sequence_chunks t JOIN reference_membership m ON t.feature_idx = m.feature_idx WHERE m.reference_idx IN (2) AND t.feature_idx IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)")
+_surface("reference_taxonomy_visible", "reference_idx, feature_idx, domain, phylum", {"reference_idx": [1, 2]})
+_surface("reference_phylogeny", "reference_idx, node_index, parent_index, is_tip", {"reference_idx": [0], "node_index": list(range(5, 4000, 35))})
+_surface("reference_placements", "reference_idx, feature_idx, edge_num, likelihood", {"reference_idx": [4]})
+_surface("reference_annotation", "annotation_idx, reference_idx, feature_idx, parent_feature_idx, source", {"reference_idx": [1], "parent_feature_idx": [1, 6]})
+_surface("read_masked", "mask_idx, prep_sample_idx, sequence_idx, read_id, sequence1, sequence2", {"mask_idx": [2], "prep_sample_idx": [3, 4]})
+_surface("alignment_visible", "prep_sample_idx, sequence_idx, feature_idx, flags, position, stop_position", {"alignment_idx": [1], "prep_sample_idx": [0, 5, 7]})
+_surface("read_block", "prep_sample_idx, sequence_idx, read_id, sequence1, sequence2", {}, _IN_BLOCK)
+_surface("read_masked_block", "prep_sample_idx, sequence_idx, read_id, sequence1, sequence2", {"mask_idx": [1]}, _IN_BLOCK)
+
+
+@query(f"WITH {_LAKE} SELECT count(*) AS n FROM read_mask WHERE mask_idx = 1 AND prep_sample_idx = 3 AND reason = 'pass'")
+def masked_count(spark, sf):
+    return masks.pass_count(_stand_ins(spark, sf)("read_mask"), 1, 3)
+
+
+def _filled(spark, sf, *names):
+    lake, tables = _lake(spark), _stand_ins(spark, sf)
+    lake.replace({n: tables(n) for n in names})
+    return lake
+
+
+def _counts(lake, deleted: dict[str, int]):
+    """Of each table the rows that went and those that are left."""
+    out = None
+    for name, n in sorted(deleted.items()):
+        row = lake.read(name).agg(F.count(F.lit(1)).alias("left_rows")).select(F.lit(name).alias("name"), F.lit(n).cast("long").alias("deleted"), "left_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_REFERENCE = ("reference_taxonomy", "reference_phylogeny", "reference_membership", "reference_placements", "reference_annotation")
+
+
+@query(f"""WITH {_LAKE},
+  mine AS (SELECT feature_idx FROM reference_membership WHERE reference_idx = 2 UNION SELECT feature_idx FROM reference_annotation WHERE reference_idx = 2),
+  rest AS (SELECT feature_idx FROM reference_membership WHERE reference_idx <> 2 UNION SELECT feature_idx FROM reference_annotation WHERE reference_idx <> 2),
+  orphan AS (SELECT feature_idx FROM mine EXCEPT SELECT feature_idx FROM rest)
+  """ + " UNION ALL ".join([f"SELECT '{x}' AS name, count(*) FILTER (WHERE reference_idx = 2) AS deleted, count(*) FILTER (WHERE reference_idx <> 2) AS left_rows FROM {x}" for x in _REFERENCE] + [f"SELECT '{x}', count(*) FILTER (WHERE feature_idx IN (FROM orphan)), count(*) FILTER (WHERE feature_idx NOT IN (FROM orphan)) FROM {x}" for x in ("reference_sequences", "reference_sequence_chunks")]))
+def lake_delete_reference(spark, sf):
+    lake = _filled(spark, sf, "reference_sequences", "reference_sequence_chunks", *_REFERENCE)
+    return _counts(lake, lake.delete_reference(2))
+
+
+@query(f"WITH {_LAKE} SELECT 'read_mask' AS name, count(*) FILTER (WHERE mask_idx = 1) AS deleted, count(*) FILTER (WHERE mask_idx <> 1) AS left_rows FROM read_mask")
+def lake_delete_mask(spark, sf):
+    lake = _filled(spark, sf, "read_mask")
+    return _counts(lake, {"read_mask": lake.delete_mask(1)})
+
+
+@query(f"WITH {_LAKE} " + " UNION ALL ".join(f"""SELECT '{x}' AS name, count(*) FILTER (WHERE prep_sample_idx IN (2, 3, 5)) AS deleted, count(*) FILTER (WHERE prep_sample_idx NOT IN (2, 3, 5)) AS left_rows FROM "{x}" """ for x in ("read", "read_mask")))
+def lake_delete_pool_reads(spark, sf):
+    lake = _filled(spark, sf, "read", "read_mask")
+    return _counts(lake, lake.delete_pool_reads([2, 3, 5]))
+
+
+_HIT = "(" + " OR ".join(f"(prep_sample_idx = {o} AND sequence_idx BETWEEN {a} AND {b})" for o, a, b in _IN_BLOCK) + ")"
+
+
+@query(f"""WITH {_LAKE} SELECT 'read_mask' AS name, count(*) FILTER (WHERE mask_idx = 2 AND {_HIT}) AS deleted, count(*) FILTER (WHERE NOT (mask_idx = 2 AND {_HIT})) AS left_rows FROM read_mask
+  UNION ALL SELECT 'alignment', count(*) FILTER (WHERE alignment_idx = 1 AND {_HIT}), count(*) FILTER (WHERE NOT (alignment_idx = 1 AND {_HIT})) FROM alignment""")
+def lake_delete_block(spark, sf):
+    lake = _filled(spark, sf, "read_mask", "alignment")
+    return _counts(lake, {"read_mask": lake.delete_block("read_mask", "mask_idx", 2, _IN_BLOCK), "alignment": lake.delete_block("alignment", "alignment_idx", 1, _IN_BLOCK)})
+
+
+@query(f"""WITH {_LAKE} SELECT prep_sample_idx, sequence_idx, read_id, sequence1, sequence2 FROM "read" WHERE prep_sample_idx = 6""")
+def sample_export(spark, sf):
+    """One sample's reads, exported and read back."""
+    from ..sources import sinks
+
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.export_sample(_stand_ins(spark, sf), 6, at)
+    return spark.read.parquet(at).drop("qual1", "qual2")

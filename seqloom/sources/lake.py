@@ -1,16 +1,23 @@
-"""A lake of snapshot directories: each change writes a new version, then a pointer file names it.
-
-Readers open the version that the pointer names, so they see all of a change or none. One writer at
-a time is assumed; a writer that finds another version than it began from gives up.
+"""A lake of Parquet files with numbered versions.
+
+A version is one small file that lists, for each table, the folders and files that make it up. A
+change writes new files, then publishes the next number by a rename that never replaces: of two
+writers one gets it, the other is told of the conflict. Readers take the highest number, which is
+always complete, so they see all of a change or none. Appending adds a folder to the list and
+deleting rewrites only the files that hold doomed rows; no change rewrites a table. ``vacuum``
+removes what the newest version doesn't list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.slices import SliceError, block, merged_members
 from ..schemas import DDL, empty
 
 
@@ -21,51 +28,93 @@ class Conflict(RuntimeError):
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str:
-        return f"{self.root}/CURRENT"
+    # versions ------------------------------------------------------------------------------------
 
-    def versions(self) -> dict[str, int]:
-        """Table to current version."""
-        if not self._fs.exists(self._path(self._pointer())):
+    def _listed(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [f.getPath().toString() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def version(self) -> int:
+        """The highest published number; 0 before the first."""
+        return max((int(p.rsplit("/", 1)[1]) for p in self._listed(f"{self.root}/_versions") if p.rsplit("/", 1)[1].isdigit()), default=0)
+
+    def contents(self, version: int | None = None) -> dict[str, list[str]]:
+        """Table to its folders and files."""
+        v = self.version() if version is None else version
+        if not v:
             return {}
-        lines = [r[0] for r in self.spark.read.text(self._pointer()).collect()]  # a line per table
-        return {a: int(b) for a, b in (x.split("\t") for x in lines)}
+        stream = self._fs.open(self._path(f"{self.root}/_versions/{v:020d}"))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        v = self.versions().get(table)
-        if v is None:
+    def versions(self) -> dict[str, int]:
+        """Table to the number of the lake's version, for those that it has."""
+        v = self.version()
+        return dict.fromkeys(self.contents(v), v)
+
+    def _publish(self, began: int, contents: dict[str, list[str]]) -> None:
+        jvm = self.spark._jvm
+        part = self._path(f"{self.root}/_versions/_{uuid.uuid4().hex}")
+        out = self._fs.create(part, False)
+        out.write(bytearray(json.dumps(contents).encode()))
+        out.close()
+        target = self._fs.makeQualified(self._path(f"{self.root}/_versions/{began + 1:020d}"))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.NONE
+        try:
+            context.rename(self._fs.makeQualified(part), target, options)
+        except Exception as e:
+            self._fs.delete(part, False)
+            if self._fs.exists(target):
+                raise Conflict("the lake changed meanwhile") from e
+            raise
+
+    def _written(self, table: str, df: DataFrame) -> tuple[str, int]:
+        at = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(at)
+        return at, self.spark.read.schema(df.schema).parquet(at).count()  # from the footers
+
+    # reading -------------------------------------------------------------------------------------
+
+    def _frame(self, table: str, paths: list[str]) -> DataFrame:
+        """The files as one table, each under its own schema (files that were taken in may differ in the order of columns)."""
+        if not paths:
             return empty(self.spark, table) if table in DDL else self.spark.createDataFrame([], "none int")
-        return self.spark.read.parquet(f"{self.root}/{table}/v{v}")
+        return self.spark.read.option("mergeSchema", len(paths) > 1 and table not in DDL).parquet(*paths)
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        return self._frame(table, self.contents(version).get(table, []))
+
+    # changing ------------------------------------------------------------------------------------
 
     def replace(self, tables: dict[str, DataFrame], began: dict[str, int] | None = None) -> dict[str, int]:
-        """Write new versions of all ``tables``, then point at them at once. Returns rows by table."""
-        now = self.versions()
-        if began is not None and began != now:
+        """New contents of all ``tables``, in one change. Returns rows by table. ``began``: what ``versions`` said when the caller read."""
+        v = self.version()
+        if began is not None and began != self.versions():
             raise Conflict("the lake changed meanwhile")
-        fresh, rows = dict(now), {}
+        contents, rows = self.contents(v), {}
         for name, df in tables.items():
-            fresh[name] = now.get(name, 0) + 1
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/v{fresh[name]}")
-            rows[name] = self.spark.read.parquet(f"{self.root}/{name}/v{fresh[name]}").count()
-        if self.versions() != now:
-            raise Conflict("the lake changed meanwhile")
-        part = self._path(self._pointer() + ".new")
-        out = self._fs.create(part, True)
-        out.write(bytearray("".join(f"{a}\t{b}\n" for a, b in sorted(fresh.items())), "utf-8"))
-        out.close()
-        self._fs.delete(self._path(self._pointer()), False)
-        if not self._fs.rename(part, self._path(self._pointer())):
-            raise Conflict("the pointer could not be set")
+            at, rows[name] = self._written(name, df)
+            contents[name] = [at]
+        self._publish(v, contents)
         return rows
 
     def append(self, parts: dict[str, DataFrame]) -> dict[str, int]:
-        """Register rows of several tables at once."""
-        began = self.versions()
-        return self.replace({t: self.read(t).unionByName(df) if t in began else df for t, df in parts.items()}, began)
+        """Add rows to several tables in one change; what they hold already stays where it is. Returns rows added."""
+        v = self.version()
+        contents, rows = self.contents(v), {}
+        for name, df in parts.items():
+            at, rows[name] = self._written(name, df)
+            contents[name] = [*contents.get(name, []), at]
+        self._publish(v, contents)
+        return rows
 
     def register(self, staged: dict[str, str]) -> dict[str, int]:
         """Take staged Parquet into its tables; paths that climb are refused."""
@@ -73,40 +122,110 @@ class Lake:
             raise ValueError("a staged path may not climb")
         return self.append({t: self.spark.read.parquet(p) for t, p in staged.items()})
 
+    def _files(self, paths: list[str]) -> list[str]:
+        """The data files of folders and files."""
+        out = []
+        for p in paths:
+            out += [f for f in self._listed(p) if f.endswith(".parquet")] if self._fs.getFileStatus(self._path(p)).isDirectory() else [p]
+        return out
+
+    def _delete(self, doomed: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, int]:
+        """Rows deleted by table, in one change. ``doomed`` gives of each table the rows to go, with all its columns.
+
+        Only files that hold such a row are rewritten; their names come to the driver, the rows don't.
+        """
+        v = self.version()
+        contents, counts, changed = self.contents(v), {}, False
+        for name, select in doomed.items():
+            paths = contents.get(name, [])
+            counts[name] = 0
+            if not paths:
+                continue
+            rows = self._frame(name, paths)
+            mark = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            gone = select(mark).select("__file", "__row").distinct()
+            hit = {r["__file"]: r["n"] for r in gone.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per file
+            if not hit:
+                continue
+            counts[name] = sum(hit.values())
+            plain = lambda p: self._fs.makeQualified(self._path(p)).toUri().getPath()
+            touched = {plain(f) for f in hit}
+            files = self._files(paths)
+            stays = [f for f in files if plain(f) not in touched]
+            old = self._frame(name, [f for f in files if plain(f) in touched])
+            left = old.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(gone, ["__file", "__row"], "left_anti").drop("__file", "__row")
+            at, _ = self._written(name, left)
+            contents[name] = [*stays, at]
+            changed = True
+        if changed:
+            self._publish(v, contents)
+        return counts
+
     def delete(self, table: str, doomed: Callable[[DataFrame], DataFrame], keys: list[str]) -> int:
         """Delete the rows whose keys ``doomed`` selects; how many. Repeating it deletes nothing."""
-        rows = self.read(table)
-        gone = doomed(rows).select(*keys).distinct()
-        n = rows.join(gone, keys, "left_semi").count()
-        if n:
-            self.replace({table: rows.join(gone, keys, "left_anti")})
-        return n
-
-    def delete_where(self, table: str, condition) -> int:
-        rows = self.read(table)
-        n = rows.where(condition).count()
-        if n:
-            self.replace({table: rows.where(~F.coalesce(condition, F.lit(False)))})
-        return n
+        pick = lambda rows: rows.join(doomed(rows).select(*keys).distinct(), keys, "left_semi")
+        return self._delete({table: pick})[table]
+
+    def delete_where(self, table: str, condition: Column) -> int:
+        """Delete the rows for which ``condition`` is true (null isn't)."""
+        return self._delete({table: lambda rows: rows.where(condition)})[table]
+
+    def delete_mask(self, mask_idx: int) -> int:
+        return self.delete_where("read_mask", F.col("mask_idx") == mask_idx)
+
+    def delete_alignment(self, alignment_idx: int) -> int:
+        return self.delete_where("alignment", F.col("alignment_idx") == alignment_idx)
+
+    def delete_pool_reads(self, prep_sample_idxs: Sequence[int]) -> dict[str, int]:
+        """Reads and masks of a pool's samples, in one change; no samples, no change."""
+        if not prep_sample_idxs:
+            return {"read": 0, "read_mask": 0}
+        of_pool = lambda rows: rows.where(F.col("prep_sample_idx").isin(list(prep_sample_idxs)))
+        return self._delete({"read": of_pool, "read_mask": of_pool})
+
+    def delete_block(self, table: str, column: str, value: int, members: Sequence[tuple[int, int, int]]) -> int:
+        """Rows of one mask or alignment within the members (sample, first, last): the footprint that a block read has. No members, no change."""
+        if table not in ("read_mask", "alignment"):
+            raise SliceError(f"{table}: has no blocks")
+        if not merged_members(members):
+            return 0
+        return self._delete({table: lambda rows: block(rows.where(F.col(column) == value), members, "prep_sample_idx", "sequence_idx")})[table]
 
     def delete_reference(self, reference_idx: int) -> dict[str, int]:
-        """Rows of a reference in its own tables, and sequences and chunks of features that nothing else lists; counts by table, in one change."""
-        own = lambda t: self.read(t).where(F.col("reference_idx") == reference_idx)
-        rest = lambda t: self.read(t).where(F.col("reference_idx") != reference_idx)
-        listed = ("reference_membership", "reference_annotation")
-        mine = own(listed[0]).select("feature_idx").union(own(listed[1]).select("feature_idx"))
-        others = rest(listed[0]).select("feature_idx").union(rest(listed[1]).select("feature_idx"))
-        orphan = mine.subtract(others)
-        began, changed, counts = self.versions(), {}, {}
-        for t in ("reference_sequences", "reference_sequence_chunks"):
-            rows = self.read(t)
-            counts[t] = rows.join(orphan, "feature_idx", "left_semi").count()
-            changed[t] = rows.join(orphan, "feature_idx", "left_anti")
-        for t in ("reference_taxonomy", "reference_phylogeny", "reference_membership", "reference_placements", "reference_annotation"):
-            counts[t] = own(t).count()
-            changed[t] = rest(t)
-        self.replace(changed, began)
-        return counts
+        """Rows of a reference in its own tables, and sequences and chunks of features that nothing else lists; counts by table, in one change.
+
+        Rows without a reference_idx stay and keep the features they list.
+        """
+        mine = lambda rows: rows.where(F.col("reference_idx") == reference_idx)
+        rest = lambda rows: rows.where(~F.col("reference_idx").eqNullSafe(reference_idx))
+        listed = [self.read(t) for t in ("reference_membership", "reference_annotation")]
+        features = lambda part: part(listed[0]).select("feature_idx").union(part(listed[1]).select("feature_idx"))
+        orphan = features(mine).subtract(features(rest))
+        of_orphan = lambda rows: rows.join(orphan, "feature_idx", "left_semi")
+        own = ("reference_taxonomy", "reference_phylogeny", "reference_membership", "reference_placements", "reference_annotation")
+        return self._delete({t: of_orphan for t in ("reference_sequences", "reference_sequence_chunks")} | {t: mine for t in own})
 
     def full_replace(self, table: str, rows: DataFrame) -> int:
         return self.replace({table: rows})[table]
+
+    # upkeep --------------------------------------------------------------------------------------
+
+    def vacuum(self) -> int:
+        """Remove data and version files that the newest version doesn't need; how many. Not while others read older versions."""
+        v = self.version()
+        if not v:
+            return 0
+        used = {self._fs.makeQualified(self._path(p)).toString() for paths in self.contents(v).values() for p in paths}
+        n = 0
+        for table in self._listed(self.root):
+            for folder in self._listed(table):
+                if "/_versions/" in folder:
+                    if not folder.endswith(f"{v:020d}"):
+                        n += self._fs.delete(self._path(folder), True)
+                    continue
+                for f in [folder, *self._listed(folder)]:
+                    if not any(u == f or u.startswith(f + "/") or f.startswith(u + "/") for u in used) and self._fs.exists(self._path(f)):
+                        n += self._fs.delete(self._path(f), True)
+        return n
+
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a row group, and of one that holds long chunks.
@@ -28,6 +28,15 @@ def fastq(df: DataFrame, path: str, mate: int = 1, gzip: bool = False) -> None:
     rows.write.option("compression", "gzip" if gzip else "none").text(path)
 
 
+def fastq_pair(df: DataFrame, path: str, gzip: bool = False) -> None:
+    """Both mates, each where ``{ORIENTATION}`` in ``path`` reads R1 or R2; without second mates there is no R2."""
+    if "{ORIENTATION}" not in path:
+        raise ValueError("the path needs {ORIENTATION}")
+    fastq(df, path.replace("{ORIENTATION}", "R1"), 1, gzip)
+    if not df.where("sequence2 is not null").isEmpty():
+        fastq(df, path.replace("{ORIENTATION}", "R2"), 2, gzip)
+
+
 def fasta(df: DataFrame, path: str, name: str = "accession", gzip: bool = False) -> None:
     """Columns feature_idx, sequence and ``name``; a record without a name is called feature_<index>."""
     record = F.concat(F.lit(">"), F.coalesce(F.col(name), F.concat(F.lit("feature_"), F.col("feature_idx").cast("string"))), F.lit("\n"), F.col("sequence"))
@@ -35,7 +44,7 @@ def fasta(df: DataFrame, path: str, name: str = "accession", gzip: bool = False)
 
 
 def sam(df: DataFrame, path: str) -> None:
-    """Tab-separated alignment lines, without a header, in reference and position order."""
+    """Tab-separated alignment lines in reference and position order; the header is a table of its own, ``sam_header``."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(d)) for c, d in (("read_id", "*"), ("flags", "0"), ("reference", "*"), ("position", "0"), ("mapq", "255"), ("cigar", "*"), ("mate_reference", "*"), ("mate_position", "0"), ("template_length", "0"), ("sequence", "*"), ("quality", "*"))]
     df.repartitionByRange("reference", "position").sortWithinPartitions("reference", "position").select(F.concat_ws("\t", *cols).alias("value")).write.text(path)
 
@@ -58,3 +67,47 @@ def upload(df: DataFrame, path: str, by: list[str]) -> DataFrame:
     parquet(df, path, sort=by)
     back = df.sparkSession.read.parquet(path)
     return back.agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def multi_part(df: DataFrame, path: str, key: str, cost: str, budget: int) -> None:
+    """A folder part=n for each part of keys that stays within ``budget``; the keys of a part follow each other."""
+    from ..operators.planning import parts_by_budget
+
+    parts = parts_by_budget(df.select(key, cost), key, cost, budget)
+    df.join(parts, key).repartition("part").sortWithinPartitions("part", key).write.partitionBy("part").option("compression", "zstd").parquet(path)
+
+
+def sam_header(lengths: DataFrame) -> DataFrame:
+    """Header lines of SAM from (reference, length), in name order after the first line."""
+    line = F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "reference"), F.concat(F.lit("LN:"), F.col("length").cast("string")))
+    first = lengths.sparkSession.createDataFrame([(0, "", "@HD\tVN:1.6\tSO:coordinate")], "k int, reference string, value string")
+    return first.unionByName(lengths.select(F.lit(1).alias("k"), "reference", line.alias("value"))).orderBy("k", "reference").select("value")
+
+
+def export_sample(tables, prep_sample_idx: int, path: str) -> int:
+    """The reads of one sample, in the seven columns of a read, under ``path``; how many. It is written beside ``path`` and renamed, so ``path`` is whole or absent; without reads nothing is left."""
+    from ..operators.slices import READ_COLUMNS
+
+    if ".." in path.split("/"):
+        raise ValueError("a path may not climb")
+    df = tables("read").where(F.col("prep_sample_idx") == prep_sample_idx).select(*READ_COLUMNS)
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    parquet(df, path + ".partial", mode="overwrite")
+    n = spark.read.parquet(path + ".partial").count()
+    files.delete(at(path), True)
+    if n:
+        if not files.rename(at(path + ".partial"), at(path)):
+            raise OSError(f"{path}: could not be published")
+    else:
+        files.delete(at(path + ".partial"), True)
+    return n
+
+
+def receipt(spark: SparkSession, path: str) -> DataFrame:
+    """row_count, bytes and sha256 of what was uploaded to ``path``: the digest of the sorted digests of its files, which are hashed apart."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("length", F.sha2("content", 256).alias("h"))
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("sha256"))  # a digest per file
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+    return rows.crossJoin(total)  # one row by one row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_files(spark: SparkSession, path: str, ddl: str, files_per_batch: int = 100) -> DataFrame:
@@ -11,9 +12,16 @@ def read_files(spark: SparkSession, path: str, ddl: str, files_per_batch: int =
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, keys: list[str]):
-    """Each batch overwrites a directory of its own, so a batch that is run again replaces itself."""
+    """Each batch overwrites a directory of its own, so a batch that is run again replaces itself; keys of earlier batches are left out."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(keys)
+        root = spark._jvm.org.apache.hadoop.fs.Path(out)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if number and files.exists(root):
+            known = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out).where(F.col("batch") < number)  # earlier batches only, their keys only
+            fresh = fresh.join(known.select(*keys), keys, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,7 @@
 import datetime
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,46 @@ def test_block_predicate_and_join_agree(spark):
         slices.block(t, [], "p", "s")
 
 
+def test_overlapping_members_give_a_row_once(spark):
+    t = spark.createDataFrame([(p, s) for p in range(3) for s in range(500)], "p long, s long")
+    for n in (20, 300):
+        members = [(p, 2 * k, 2 * k + 30) for p in range(2) for k in range(n)] + [(2, 5, 4)]
+        want = sorted((p, s) for p, s in rows(t) if any(o == p and a <= s <= b for o, a, b in members))
+        assert rows(slices.block(t, members, "p", "s"), "p", "s") == want
+    assert slices.merged_members([(1, 5, 9), (1, 10, 12), (1, 1, 2), (2, 3, 1)]) == [(1, 1, 2), (1, 5, 12)]
+
+
+def test_surfaces(spark):
+    data = {
+        "reference_membership": [(1, 10), (2, 10), (2, 11)], "reference_sequences": [(10, "h", 4), (11, "g", 5)], "reference_exclusion": [(11,)],
+        "alignment": [(1, 5, 7, 10, *[None] * 19), (1, 5, 8, 11, *[None] * 19), (2, 5, 7, 10, *[None] * 19)],
+        "read": [(5, 7, "a", "ACGT", None, None, None), (5, 9, "b", "ACGT", None, None, None), (6, 1, "c", "ACGT", None, None, None)],
+        "read_mask": [(3, 5, 7, "pass", 1, 1, None, None), (3, 5, 9, "host_rype", 0, 0, None, None), (4, 5, 7, "pass", 0, 0, None, None)],
+    }
+    tables = lambda n: spark.createDataFrame(data.get(n, []), schemas.schema(n))
+    fetch = lambda *a: slices.fetch(tables, *a)
+    assert rows(fetch("reference_sequences", {"reference_idx": [1, 2]}), "feature_idx") == [(10,), (10,), (11,)]
+    assert rows(fetch("reference_sequences", {"reference_idx": [2], "feature_idx": [11]}), "feature_idx") == [(11,)]
+    assert fetch("reference_sequences").count() == 2
+    a = fetch("alignment_visible", {"alignment_idx": [1]})
+    assert tuple(a.columns) == slices.ALIGNMENT_COLUMNS and rows(a, "feature_idx") == [(10,)]
+    assert rows(fetch("read_masked", {"mask_idx": [3]}), "read_id", "sequence1") == [("a", "CG")]
+    b = fetch("read_block", {}, [(5, 1, 8), (6, 1, 1)])
+    assert tuple(b.columns) == slices.READ_COLUMNS and rows(b, "read_id") == [("a",), ("c",)]
+    assert rows(fetch("read_masked_block", {"mask_idx": [4]}, [(5, 1, 100)]), "sequence1") == [("ACGT",)]
+    refused = [("read", {"mask_idx": [1]}), ("reference_taxonomy", {}), ("read_masked", {}), ("alignment_visible", {}), ("alignment_visible", {"alignment_idx": [1, 2]}), ("alignment_visible", {"prep_sample_idx": [5]}),
+               ("read_block", {}, []), ("read_block", {"mask_idx": [1]}, [(5, 1, 2)]), ("read_masked_block", {}, [(5, 1, 2)]), ("read_masked_block", {"mask_idx": [1, 2]}, [(5, 1, 2)]),
+               ("read_masked_block", {"mask_idx": [1], "prep_sample_idx": [5]}, [(5, 1, 2)]), ("read_masked", {"mask_idx": [3]}, [(5, 1, 2)]), ("read_masked", {"reason": [1]}), ("reference_phylogeny", {"mask_idx": [1]})]
+    for bad in refused:
+        with pytest.raises(slices.SliceError):
+            fetch(*bad)
+
+
+def test_mask_reasons(spark):
+    mask = spark.createDataFrame([(r, m) for r in ("pass", "host_minimap2", "host_rype", "spikein_syndna", "host_other", "qc_length", "twist_no_adaptor") for m in (None, 1)], "reason string, right_trim2 long")
+    assert tuple(masks.metrics(mask).first()) == (21, 9, 3, 3, 14)
+
+
 def test_block_bounds_reach_the_scan(spark, sf):
     plan = slices.block(spark.read.parquet(f"{sf}/lineitem.parquet"), [(1, 5, 9), (2, 7, 30)], "l_suppkey", "l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_orderkey,5)" in plan and "LessThanOrEqual(l_orderkey,30)" in plan and "In(l_suppkey" in plan
@@ -79,13 +121,18 @@ def test_canonical_hash_and_chunks(spark):
 
 
 def test_cigar_scores(spark):
-    # the fragments of the golden case, in two orders
-    parts = ["150=", "75=75X", "100=2I48=", "20=130S", "60=1D89="]
-    for order in (parts, parts[::-1]):
-        df = spark.createDataFrame([("".join(order),)], "c string")
-        i, c = df.select(aln.sequence_identity(F.col("c")), aln.query_coverage(F.col("c"))).first()
-        assert (round(i, 4), round(c, 4)) == (0.8742, 0.8238)
-    assert spark.createDataFrame([("10S",)], "c string").select(aln.sequence_identity(F.col("c"))).first()[0] is None
+    def by_hand(text):
+        n = dict.fromkeys("=XIDMSH", 0)
+        for size, op in re.findall(r"(\d+)(.)", text):
+            n[op] += int(size)
+        scored, query = n["="] + n["X"] + n["I"] + n["D"], sum(n[o] for o in "=XMISH")
+        return n["="] / scored if scored else None, (n["="] + n["X"] + n["M"]) / query if query else None
+
+    rng = random.Random(11)
+    texts = ["".join(f"{rng.randint(1, 90)}{rng.choice('=XIDMSH')}" for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["7S", "3D", "12=", "4H5X"]
+    df = spark.createDataFrame([(x,) for x in texts], "c string")
+    for x, i, c in df.select("c", aln.sequence_identity(F.col("c")), aln.query_coverage(F.col("c"))).collect():
+        assert (i, c) == pytest.approx(by_hand(x))
 
 
 def test_flags_and_mates(spark):
@@ -210,6 +257,37 @@ def test_dense_numbers(spark):
     assert rows(reference.dense_numbers(df, "k", "n"), "k", "n") == [(i, i + 1) for i in range(1000)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 16])
+def test_dense_numbers_with_payload(spark, n):
+    """Ranges are cut once: rows with other columns get 1 … n in key order, whatever the number of ranges."""
+    df = spark.range(100_000, numPartitions=5).select((F.col("id") * 7919 % 100_000).alias("k"), F.md5(F.col("id").cast("string")).alias("text"), F.rand(3).alias("x"))
+    got = reference.dense_numbers(df, "k", "n", n)
+    assert got.where("n <> k + 1").count() == 0 and got.count() == 100_000
+    sums = reference.running(df.where("k < 1000"), "k", F.col("k"), "s", n)
+    assert sums.where("s <> k * (k + 1) / 2").count() == 0
+
+
+def test_minting_many(spark):
+    want = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.col("id").alias("payload"))
+    have = reference.dense_numbers(want.where("payload % 3 = 0"), "k", "i").select("k", "i")
+    got = reference.minted(have, want, "k", "i").collect()
+    ids = {r["k"]: r["i"] for r in got}
+    assert sorted(ids.values()) == list(range(1, 20_001)) and all(ids[k] == i for k, i in rows(have))
+
+
+def test_deep_clade(spark):
+    chain = spark.range(1, 400).select(F.col("id").alias("n"), (F.col("id") - 1).alias("p"))
+    assert rows(reference.descendants(chain, 100, "n", "p")) == [(i,) for i in range(100, 400)]
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 9)], "n long, p long")
+    assert rows(reference.descendants(circle, 2, "n", "p")) == [(1,), (2,), (3,)] and rows(reference.descendants(circle, 9, "n", "p")) == [(9,)]
+
+
+def test_padding_keeps_one_row_per_feature(spark):
+    tax = spark.createDataFrame([(1, "b", None), (1, "a", "z"), (2, "c", "d")], "f long, domain string, phylum string")
+    got = rows(reference.padded(spark.createDataFrame([(1,), (2,), (3,)], "f long"), tax, "f").fillna("-"))
+    assert got == [(1, "a", "z"), (2, "c", "d"), (3, "-", "-")]
+
+
 def test_tree(spark):
     e = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (5, 4)], "n long, p long")
     assert rows(reference.descendants(e, 2, "n", "p")) == [(2,), (4,), (5,)]
@@ -243,6 +321,15 @@ def test_planners(spark):
         assert not sizes or max(sizes) - min(sizes) <= 1
     s = spark.createDataFrame([(1, 5), (2, 0), (3, 12)], "s long, n long")
     assert rows(planning.blocks(s, "s", "n", 8)) == [(1, 0, 1, 5), (3, 0, 1, 3), (3, 1, 4, 11), (3, 2, 12, 12)]
+    for costs, budget in (([3, 9, 1, 0, 0, 25, 25, 0, 4, 4, 4], 10), ([0, 0, 0], 5), ([50], 5), ([], 5), ([1] * 40, 7)):
+        df = spark.createDataFrame([(i, c) for i, c in enumerate(costs)], "k long, c long")
+        want, part, full = [], -1, None
+        for i, c in enumerate(costs):
+            if full is None or full + c > budget:
+                part, full = part + 1, 0
+            full += c
+            want.append((i, part))
+        assert rows(planning.parts_by_budget(df, "k", "c", budget)) == want
     packed = planning.parts_by_budget(spark.range(100).withColumn("c", F.col("id") % 10), "id", "c", 20)
     full = {}
     for k, p in rows(packed):
@@ -266,6 +353,22 @@ def test_metadata(spark):
     assert [g["error"] is not None for g in got] == [False, True, True, False, False, True, False]
 
 
+def test_metadata_keeps_every_number(spark):
+    long = "1" * 40 + "." + "2" * 30
+    cases = {"\u00a0\t12 \n": ("12", 12.0), long: (long, None), "0.1234567890123456789": ("0.1234567890123456789", None), "1.50000000000000000000": ("1.50000000000000000000", 1.5), "2e-3": ("2e-3", 0.002), "NaN": (None, None), "1,5": (None, None), "": (None, None)}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    for r in df.select("v", metadata.decoded(F.col("v"), F.lit("numeric")).alias("m")).collect():
+        exact, number = cases[r["v"]]
+        assert r["m"]["exact"] == exact and (r["m"]["number"] is None) == (number is None) and (r["m"]["error"] is None) == (exact is not None), r
+        assert number is None or float(r["m"]["number"]) == number
+
+
+def test_insert_takes_the_least_of_equal_keys(spark):
+    t = spark.createDataFrame([(1, "a")], "k long, v string")
+    fresh = spark.createDataFrame([(3, "z"), (3, "c"), (1, "b")], t.schema)
+    assert rows(mutations.insert_missing(t, fresh, ["k"])) == [(1, "a"), (3, "c")]
+
+
 def test_mutations(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     assert rows(mutations.insert_missing(t, spark.createDataFrame([(2, "z"), (3, "c")], t.schema), ["k"])) == [(1, "a"), (2, "b"), (3, "c")]

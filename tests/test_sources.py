@@ -1,8 +1,10 @@
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.schemas import schema
 from seqloom.sources import readers, sinks
 from seqloom.sources.lake import Conflict, Lake
 from seqloom.streaming import ingest
@@ -110,6 +112,79 @@ def test_lake(spark, tmp_path):
         lake.register({"reference_membership": str(tmp_path / "a" / ".." / "b")})
 
 
+def test_lake_changes_are_whole(spark, tmp_path):
+    """Readers between the steps of a commit see the old version, one of two writers wins, null keys stay, files without doomed rows aren't touched."""
+    lake = Lake(spark, "file://" + str(tmp_path / "lake"))
+    member = lambda *r: spark.createDataFrame(list(r), "reference_idx long, feature_idx long")
+    lake.replace({"reference_membership": member((1, 10), (None, 12), (2, 11))})
+    seen, publish = [], lake._publish
+
+    def watched(*a):
+        seen.append(sorted(map(tuple, Lake(spark, lake.root).read("reference_membership").collect()), key=str))
+        publish(*a)
+        seen.append(Lake(spark, lake.root).read("reference_membership").count())
+
+    lake._publish = watched
+    lake.append({"reference_membership": member((5, 50), (6, 60))})
+    assert [len(seen[0]), seen[1]] == [3, 5]
+    before = lake.contents()["reference_membership"]
+    # a second writer that began from the same version loses and leaves nothing in the lake
+    other = Lake(spark, lake.root)
+    v, contents = other.version(), other.contents()
+    lake.append({"reference_exclusion": spark.createDataFrame([(1,)], "feature_idx long")})
+    with pytest.raises(Conflict):
+        other._publish(v, contents)
+    assert lake.version() == v + 1
+    assert lake.delete_reference(1)["reference_membership"] == 1
+    left = sorted((tuple(r) for r in lake.read("reference_membership").collect()), key=str)
+    assert left == [(2, 11), (5, 50), (6, 60), (None, 12)]
+    after = lake.contents()["reference_membership"]
+    assert any(before[1].rsplit("/", 1)[1] in f for f in after)  # what was appended is still where it was
+    assert lake.delete_where("reference_membership", F.col("feature_idx") == 60) == 1 and lake.read("reference_membership").count() == 3
+    assert lake.read("reference_membership", v).count() == 5
+    assert lake.vacuum() > 0 and lake.read("reference_membership").count() == 3 and lake.vacuum() == 0
+
+
+def test_lake_named_deletes(spark, tmp_path):
+    lake = Lake(spark, "file://" + str(tmp_path / "lake"))
+    mask = [(m, p, s, "pass", 0, 0, None, None) for m in (1, 2) for p in (1, 2, 3) for s in range(10)]
+    reads = [(p, s, "r", "A", None, None, None) for p in (1, 2, 3) for s in range(10)]
+    lake.replace({"read_mask": spark.createDataFrame(mask, schema("read_mask")), "read": spark.createDataFrame(reads, schema("read"))})
+    assert lake.delete_block("read_mask", "mask_idx", 1, [(1, 2, 4), (1, 3, 5), (3, 9, 20)]) == 5 and lake.delete_block("read_mask", "mask_idx", 1, []) == 0
+    assert lake.delete_mask(2) == 30 and lake.delete_mask(2) == 0 and lake.read("read_mask").count() == 25
+    assert lake.delete_pool_reads([]) == {"read": 0, "read_mask": 0}
+    v = lake.version()
+    assert lake.delete_pool_reads([1, 9]) == {"read": 10, "read_mask": 6} and lake.version() == v + 1
+    assert sinks.export_sample(lake.read, 2, str(tmp_path / "x")) == 10 and sinks.export_sample(lake.read, 2, str(tmp_path / "x")) == 10
+    assert spark.read.parquet(str(tmp_path / "x")).columns == ["prep_sample_idx", "sequence_idx", "read_id", "sequence1", "qual1", "sequence2", "qual2"]
+    assert sinks.export_sample(lake.read, 1, str(tmp_path / "y")) == 0 and not (tmp_path / "y").exists() and not (tmp_path / "y.partial").exists()
+
+
+def test_parts_receipt_and_mates(spark, tmp_path):
+    df = spark.range(60).select("id", (F.col("id") % 7).alias("c"))
+    sinks.multi_part(df, str(tmp_path / "m"), "id", "c", 20)
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.count() == 60 and back.groupBy("part").agg(F.sum("c").alias("c")).where("c > 20").count() == 0
+    df.coalesce(1).write.parquet(str(tmp_path / "u"))
+    (file,) = (tmp_path / "u").glob("*.parquet")
+    got = sinks.receipt(spark, str(tmp_path / "u")).first()
+    want = hashlib.sha256(hashlib.sha256(file.read_bytes()).hexdigest().encode()).hexdigest()
+    assert (got["row_count"], got["bytes"], got["sha256"]) == (60, file.stat().st_size, want)
+    mates = spark.createDataFrame([("a", "AC", [40, 40], "GG", [30, 31])], "read_id string, sequence1 string, qual1 array<short>, sequence2 string, qual2 array<short>")
+    sinks.fastq_pair(mates, str(tmp_path / "s_{ORIENTATION}"))
+    text = lambda d: "".join(p.read_text() for p in (tmp_path / d).glob("part-*"))
+    assert text("s_R1") == "@a\nAC\n+\nII\n" and text("s_R2") == "@a\nGG\n+\n?@\n"
+    assert [r[0] for r in sinks.sam_header(spark.createDataFrame([("b", 5), ("a", 9)], "reference string, length long")).collect()] == ["@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:a\tLN:9", "@SQ\tSN:b\tLN:5"]
+
+
+def test_stream_drops_keys_of_earlier_batches(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for part in ([(1, "a"), (2, "b")], [(2, "b"), (3, "c")], [(1, "a")]):
+        spark.createDataFrame(part, "k long, v string").coalesce(1).write.mode("append").parquet(src)
+        ingest.ingest(ingest.read_files(spark, src, "k long, v string", 1), out, check, ["k"]).awaitTermination()
+    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
 def test_stream(spark, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string").write.parquet(src)
