@@ -7,7 +7,8 @@ by hash into blocks, each epoch orders a source's blocks by another hash, whole
 to the source's quota, and only the one block that crosses it is ordered row by row.
 
 Defined cases: null source is a source of its own, null or empty text has no tokens and comes once
-with each epoch of its block; equal rows each count; a source without any token is left out of the
+with each epoch of its block; equal rows and ties each count and share a block; very long texts count
+whole and may overshoot a quota by themselves; a source without any token is left out of the
 weights and its rows come once; an empty table gives no rows; other columns are left alone.
 """
 
@@ -25,6 +26,8 @@ BLOCK_TOKENS = 1 << 20
 #: Passes over a source in a budget as large as the corpus.
 MAX_REPEATS = 2.0
 STEPS = 60
+#: Exponents that one job sums when there are too many sources for the driver.
+GRID = 31
 
 
 def weights(tokens: list[int], a: float) -> list[float]:
@@ -68,14 +71,41 @@ def shares(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(F.size(words_of(text_of()))).alias("tokens"), F.count(F.lit(1)).alias("rows"))
 
 
+def wide_exponent(per_source: DataFrame, top: int, least: int, budget: float, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> float:
+    """``exponent`` for more sources than the driver should hold: each job sums GRID exponents at once, so a few jobs narrow it to STEPS bits."""
+    low, high = 0.0, 1.0
+    first = True
+    for _ in range(math.ceil(STEPS / math.log2(GRID + 1))):
+        grid = [low] * first + [low + (high - low) * k / (GRID + 1) for k in range(1, GRID + 1)]
+        raw = [F.pow(F.col("tokens") / F.lit(top), F.lit(a)) for a in grid]
+        row = per_source.agg(*[f.alias(f"{n}{k}") for k, x in enumerate(raw) for n, f in (("s", F.sum(x)), ("l", F.sum(x * F.ln(x))))]).first()
+        # of weights x / s the entropy is ln(s) - sum(x ln x) / s, and the least source is repeated most
+        over = [(math.log(row[f"s{k}"]) - row[f"l{k}"] / row[f"s{k}"] > target_entropy) if target_entropy is not None else ((least / top) ** a / row[f"s{k}"] * budget / least > max_repeats) for k, a in enumerate(grid)]
+        if first and not over[0]:
+            return low
+        first = False
+        low = max([low, *(a for a, o in zip(grid, over, strict=True) if o)])
+        high = min([high, *(a for a, o in zip(grid, over, strict=True) if not o and a > low)])
+    return high
+
+
 def quotas(docs: DataFrame, budget: int | None = None, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(source, tokens, weight, quota, blocks): one row per source that has tokens."""
-    per_source = shares(docs).where("tokens > 0").orderBy("source").collect()  # one row per source, not per document
-    tokens = [r["tokens"] for r in per_source]
-    budget = sum(tokens) if budget is None else budget
-    w = weights(tokens, exponent(tokens, budget, max_repeats, target_entropy)) if tokens else []
-    rows = [(r["source"], r["tokens"], x, int(x * budget), max(1, -(-r["tokens"] // block_tokens))) for r, x in zip(per_source, w, strict=True)]
-    return docs.sparkSession.createDataFrame(rows, "source string, tokens long, weight double, quota long, blocks long")
+    """(source, tokens, weight, quota, blocks): one row per source that has tokens.
+
+    Up to MAX_BROADCAST_SOURCES token counts come to the driver; beyond, the exponent is found by sums over the table.
+    """
+    per_source = keep(shares(docs).where("tokens > 0").select("source", "tokens"), "shares")
+    whole = per_source.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.min("tokens").alias("least")).first()
+    total = whole["all"] or 0
+    budget = total if budget is None else budget
+    if whole["n"] <= MAX_BROADCAST_SOURCES:
+        a = exponent([r[0] for r in per_source.select("tokens").collect()], budget, max_repeats, target_entropy)
+    else:
+        a = wide_exponent(per_source, whole["top"], whole["least"], budget, max_repeats, target_entropy)
+    raw = F.pow(F.col("tokens") / F.lit(whole["top"] or 1), F.lit(a))
+    norm = per_source.agg(F.sum(raw).alias("s")).first()["s"] or 1.0
+    weight = raw / F.lit(norm)
+    return per_source.select("source", "tokens", weight.alias("weight"), F.floor(weight * F.lit(budget)).cast("long").alias("quota"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("long")).alias("blocks"))
 
 
 def drawn(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
