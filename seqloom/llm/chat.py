@@ -4,9 +4,11 @@ Logged conversations often repeat an earlier snapshot and add turns. A rolling h
 gives each prefix a digest; a conversation whose whole digest is a proper prefix of another is
 dropped by anti-join, equal conversations keep the least conv_id, and only the rest is rendered.
 
-Defined cases: turns go by turn number, then role, then text, null first; null role and text count
-as empty; rows with a null conv_id form one conversation; an empty table gives no rows; other
-columns are ignored.
+Defined cases: turns go by turn number, then role, then text, null first, so ties and repeated rows
+are all rendered, in that order; null role and text count as empty; rows with a null conv_id form one
+conversation; an empty table gives no rows; other columns, whatever their names, are ignored. A
+conversation is rendered as one text, so very long texts and very many turns need the memory of one
+row that holds them all (2 GB is Spark's bound on it).
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -29,9 +33,8 @@ def assembled(turns: DataFrame) -> DataFrame:
     return convs.withColumn("prefixes", F.aggregate("turns", F.array().cast("array<string>"), step))
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_copies): the conversations that no longer one continues, one of equals."""
-    convs = assembled(turns).select("conv_id", "prefixes")
+def maximal(convs: DataFrame) -> DataFrame:
+    """(conv_id, n_copies, digest): of assembled conversations those that no longer one continues, one of equals."""
     whole = convs.select("conv_id", F.element_at("prefixes", -1).alias("digest")).groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     proper = convs.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("digest")).distinct()
     return whole.join(proper, "digest", "left_anti")
@@ -44,6 +47,6 @@ def rendered() -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, digest, rendered) of each maximal conversation."""
-    best = maximal(turns).withColumnRenamed("conv_id", "id")
-    convs = assembled(turns).select("conv_id", "turns")
-    return convs.join(best, F.col("conv_id").eqNullSafe(F.col("id"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", "digest", rendered().alias("rendered"))
+    convs = keep(assembled(turns), "chats")  # gathered once; the digests are then read without the texts
+    best = maximal(convs).withColumnRenamed("conv_id", "id")
+    return convs.select("conv_id", "turns").join(best, F.col("conv_id").eqNullSafe(F.col("id"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", "digest", rendered().alias("rendered"))
