@@ -2,13 +2,13 @@
 
 Lexicons are the words whose document frequency in toxic labelled texts stands out. The features of
 a text are lexicon densities, how close second-person words are, capitals, punctuation and
-obfuscation. Trees are grown on two thirds of a bounded sample of labelled training rows, the
-calibration on the last third. Labels, lang, source and doc_id are never features, and only rows
+obfuscation. Lexicons and trees are learned from two thirds of a bounded sample of labelled training
+rows, the calibration from the last third, which neither has seen. Labels, lang, source and doc_id are never features, and only rows
 whose crc32(doc_id) mod 5 is not 0 are learned from. Every text is scored whole.
 
 Defined cases: null text counts as empty and is scored as such; null doc_id counts as held out;
-labels that are null are left out, contradicting ones count as toxic; repeated rows get equal
-scores; without labels of both kinds every score is the share of toxic labels; an empty table gives
+labels that are null are left out, contradicting ones count as toxic; repeated rows and ties get equal
+scores; very long texts are scored whole, one at a time; without labels of both kinds every score is the share of toxic labels; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from .common import ship, text_of
 MAX_FIT_ROWS = 20_000
 #: Words in a lexicon at most, by significance.
 MAX_LEXICON = 2_000
-HELD_OUT = 5
+HELD_OUT, FOLDS = 5, 3
 #: Second-person words, fixed values: English, German, French, Spanish.
 SECOND_PERSON = "you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes"
 NEAR = 5
@@ -223,11 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = known.count()
     share = min(1.0, MAX_FIT_ROWS / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)).withColumnRenamed("doc_id", "id")
-    rows = docs.select("doc_id", text_of().alias("txt")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "y", "txt")
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")  # fold 0 calibrates
+    rows = docs.select("doc_id", text_of().alias("txt")).join(F.broadcast(chosen.withColumn("fold", fold)), F.col("doc_id") == F.col("id")).select("doc_id", "fold", "y", "txt")
     ship(docs.sparkSession)
     rows = rows.persist()
     try:
-        strong, weak = lexicons(rows.select("y", "txt"))
+        strong, weak = lexicons(rows.where("fold <> 0").select("y", "txt"))
         second = word_hashes(SECOND_PERSON.split())
 
         def run(batches):
@@ -240,14 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 texts = column_bytes(batch["txt"])
                 for a, b in parts(texts):
                     x = features(texts[a:b], strong, weak, second)
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["y"].slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["fold"].slice(a, b - a), batch["y"].slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "fold", "y", "x"])
 
-        told = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "txt").mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "y").toPandas()  # bounded by MAX_FIT_ROWS
+        told = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "fold", "y", "txt").mapInArrow(run, "doc_id long, fold int, y int, x array<double>").orderBy("doc_id", "y", "x").toPandas()  # bounded by MAX_FIT_ROWS
     finally:
         rows.unpersist()
     x = np.array(told["x"].tolist(), float).reshape(len(told), len(FEATURES))
-    fold = np.array([(i * 2654435761 >> 7) % 3 for i in told["doc_id"]]) if len(told) else np.zeros(0, int)
-    return Model(strong, weak, x, told["y"].to_numpy(float), fold)
+    return Model(strong, weak, x, told["y"].to_numpy(float), told["fold"].to_numpy(int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
