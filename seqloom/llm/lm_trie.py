@@ -18,7 +18,7 @@ of a context h, P(w | h) = c(hw) / (c(h) + t(h)) + t(h) / (c(h) + t(h)) * P(w |
 Where the shared folder isn't a file system, a worker copies a file to an unlinked local one first.
 
 Defined cases: null text counts as empty and has only the end; null doc_id counts as not held out;
-repeated rows are each learned from and each scored; an empty table gives no rows, and without
+repeated rows and ties are each learned from and each scored; very long texts are taken whole; an empty table gives no rows, and without
 training texts all words are unknown; other columns are ignored.
 """
 
@@ -46,6 +46,8 @@ TWICE = 2
 PLACE = 36
 #: Log10 probabilities are quantised to steps of 1 / STEPS.
 STEPS = 4096
+#: A shard learns from about so many bytes of text, so more text makes more shards, not larger ones.
+SHARD_BYTES = 16 << 20
 #: Word pairs that a task sorts at once, and bytes of text that are looked up at once.
 FLUSH, LOOKUP_BYTES = 1 << 21, 1 << 22
 
@@ -351,7 +353,8 @@ def learn(docs: DataFrame) -> Model:
     """The trie of the texts (column txt) of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("txt")).alias("n")).first()["n"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     at = f"{shared_dir(spark)}/seqloom-trie-{uuid.uuid4().hex}"
 
     def pairs(table):
@@ -366,7 +369,7 @@ def learn(docs: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "tokens": pa.array([int(counts.sum()) - texts], pa.int64()), "types": pa.array([len(words) - (START in words)], pa.int64()), "texts": pa.array([texts], pa.int64())})
 
     blocks = docs.select("txt").mapInArrow(_blocks(shards, _pairs_of, lambda contexts: shard_of(contexts, shards)), BLOCKS)
-    told = blocks.groupBy("shard").applyInArrow(pairs, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
+    told = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(pairs, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
     texts = sum(r["texts"] for r in told)
     model = Model(at, shards, {r["shard"]: r["name"] for r in told}, sum(r["tokens"] for r in told) + texts, sum(r["types"] for r in told) + (texts > 0), texts)
     lower = spark.sparkContext.broadcast(model)  # the names of the files, not their content
@@ -381,7 +384,7 @@ def learn(docs: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "name": [_write(at, f"triples-{shard:05d}", rising, plain)]})
 
     blocks = docs.select("txt").mapInArrow(_blocks(shards, lambda texts: lower.value.triples(texts), lambda contexts: (contexts >> np.uint64(PLACE)).astype(np.int64)), BLOCKS)
-    model.upper = {r["shard"]: r["name"] for r in blocks.groupBy("shard").applyInArrow(triples, "shard int, name string").collect()}
+    model.upper = {r["shard"]: r["name"] for r in blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(triples, "shard int, name string").collect()}
     return model
 
 
