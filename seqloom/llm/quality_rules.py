@@ -129,9 +129,10 @@ def plan(docs: DataFrame, rules: tuple[str, ...] = tuple(RULES), known: tuple[st
 
 def cascade(order: list[str], words: Column, known: tuple[str, ...] = ()) -> Column:
     """The name of the first rule in ``order`` that rejects, else null; later rules aren't evaluated."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(order):
-        out = F.when(_rejects(rule, words, known), rule).otherwise(out)
+    out = None
+    for rule in order:
+        hit = _rejects(rule, words, known)
+        out = F.when(hit, rule) if out is None else out.when(hit, rule)
     return out
 
 

@@ -24,6 +24,41 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
 
 
+WORDS = "river stone cloud paper garden window silver bread mountain letter candle forest bridge winter music harbor story orange field lantern".split()
+CLEAN = [" ".join(f"{WORDS[(i * 7 + k * (i + 3)) % 20]}{chr(97 + k % 26)}{chr(97 + i)}" for k in range(60)) for i in range(6)]
+ROWS = [
+    (1, CLEAN[0], "a"), (2, CLEAN[0], "a"), (2, CLEAN[0], "a"), (3, CLEAN[1], None), (None, CLEAN[2], "b"), (None, CLEAN[2], "b"), (5, None, "a"), (6, "", "b"), (7, "too short", "a"),
+    (8, CLEAN[3], "a"), (9, CLEAN[3] + " onemoreword", "a"), (10, " ".join(f"{CLEAN[4]} {k} {k * k}" for k in range(1)) + " " + " ".join(f"w{k}x{k % 7}" for k in range(60_000)), "b"), (11, CLEAN[5], ""),
+]
+COLUMNS = "doc_id long, text string, source string, lang string, n_chars long, row string, txt string, node string, words string, weight string, ids string, kept string, epoch string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts go, null ids stay, copies and near copies leave one, very long texts and columns of clashing names pass through."""
+    docs = spark.createDataFrame([(*r, *[f"x{i}" for i in range(2)][:1], 7, *["c"] * 8) for r in ROWS], COLUMNS)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs_next = stage(spark, docs, None)
+        if name != "encoding":
+            assert docs_next.columns == docs.columns
+        from seqloom.llm.common import keep
+
+        docs = keep(docs_next)
+        kept[name] = sorted((r["doc_id"] or 0 for r in docs.select("doc_id").collect()))
+    assert kept["quality rules"] == [0, 0, 1, 2, 2, 3, 8, 9, 10, 11]
+    assert kept["exact dedup"] == [0, 2, 3, 8, 9, 10, 11]
+    assert kept["near dedup"] == [0, 2, 3, 8, 10, 11]
+    assert set(kept["mixing"]) <= set(kept["near dedup"]) and kept["encoding"] == kept["mixing"]
+    assert all(len(r["ids"]) == r["n_tokens"] > 0 for r in docs.collect())
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, None)
+        assert docs.count() == 0
+
+
 def test_registered():
     import __spark_entry__
 

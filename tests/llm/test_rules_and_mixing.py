@@ -42,7 +42,7 @@ def test_figures_by_hand(spark):
 
 def test_cascade_order_does_not_change_the_verdict(spark):
     d = docs(spark, TEXTS + ["good words that say something else each time " + str(i) + " and go on with more than twenty words so that it stays in the table whatever" for i in range(5)])
-    kept = {r["doc_id"] for r in quality_rules.report(d).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.report(d).collect() if r["kept"]}
     out = quality_rules.apply(d)
     assert out.columns == d.columns and {r["doc_id"] for r in out.collect()} == kept and len(kept) == 5
     rows = quality_rules._prepared(d)
@@ -81,6 +81,54 @@ def test_exponent_meets_its_target():
     assert mixing.exponent([5, 5], 10) == 0.0 and mixing.exponent([], 0) == 1.0
 
 
+@pytest.mark.parametrize("how", [{"max_repeats": 3.0}, {"max_repeats": 1.2}, {"target_entropy": 1.1, "max_repeats": None}, {"target_entropy": 9.0, "max_repeats": None}])
+def test_many_sources_find_the_same_exponent(spark, how, monkeypatch):
+    tokens = [1000, 300, 50, 10, 10, 7]
+    table = spark.createDataFrame([(str(i), n) for i, n in enumerate(tokens)], "source string, tokens long")
+    want = mixing.exponent(tokens, sum(tokens), **how)
+    assert mixing.wide_exponent(table, max(tokens), min(tokens), sum(tokens), **how) == pytest.approx(want, abs=1e-9)
+
+
+def test_quotas_do_not_depend_on_the_way(spark, monkeypatch):
+    d, _ = mixed_docs(spark)
+    few = sorted(map(tuple, mixing.quotas(d, max_repeats=1.5).collect()), key=str)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 1)
+    many = sorted(map(tuple, mixing.quotas(d, max_repeats=1.5).collect()), key=str)
+    assert [r[:2] + r[4:] for r in few] == [r[:2] + r[4:] for r in many]
+    assert [r[2] for r in few] == pytest.approx([r[2] for r in many]) and all(abs(a[3] - b[3]) <= 1 for a, b in zip(few, many))
+
+
+def test_draw_by_hand(spark):
+    """The draw itself against a plain walk over blocks and rows, with the same hashes."""
+    d, rows = mixed_docs(spark)
+    h = lambda *cols, seed: F.xxhash64(F.lit(seed), *cols)
+    plan = {r["source"]: r for r in mixing.quotas(d, max_repeats=1.5, block_tokens=40).collect()}
+    told = d.select("doc_id", F.col("source").alias("s"), F.coalesce("text", F.lit("")).alias("x")).withColumn("fine", F.xxhash64("doc_id", "x")).withColumn("deal", h(F.col("fine"), seed=0)).collect()
+    want = collections.Counter()
+    for s, p in plan.items():
+        full, over = p["quota"] // p["tokens"], p["quota"] % p["tokens"]
+        own = [(r["deal"] % p["blocks"], r["fine"], r["doc_id"], len(r["x"].split())) for r in told if r["s"] == s]
+        place = spark.createDataFrame([(s, b, full) for b in range(p["blocks"])], "s string, b long, f long").select("b", h(F.col("s"), F.col("b"), F.col("f"), seed=1).alias("at"))
+        inner = dict(map(tuple, spark.createDataFrame([(x[1], full) for x in own], "fine long, f long").select("fine", h(F.col("fine"), F.col("f"), seed=2)).distinct().collect()))
+        for x in own:
+            want[x[2]] += full
+        done = 0
+        for b in [r["b"] for r in sorted(place.collect(), key=lambda r: (r["at"], r["b"]))]:
+            block = sorted((x for x in own if x[0] == b), key=lambda x: (inner[x[1]], x[2]))
+            if done + sum(x[3] for x in block) < over:
+                want.update(x[2] for x in block)
+                done += sum(x[3] for x in block)
+                continue
+            ahead = 0
+            for x in block:
+                if ahead < over - done:
+                    want[x[2]] += 1
+                ahead += x[3]
+            break
+    got = collections.Counter(r[0] for r in mixing.drawn(d, max_repeats=1.5, block_tokens=40).select("row.doc_id").collect())
+    assert got == +want
+
+
 def mixed_docs(spark, n=600):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 9))) or None, "a" if i % 3 else ("b" if i % 2 else None), 1, 2, 3) for i in range(n)]
