@@ -3,6 +3,13 @@
 1. Documents that a quality rule rejects go. 2. Of equal texts one stays. 3. Of near-equal texts one
 stays. 4. Sources are drawn to their target weights: a document may come several times, or not at
 all. 5. Each drawn document is encoded; the result has one row per draw.
+
+Defined cases, of every stage: null and empty texts have too few words and go with the first stage
+(given to a later stage alone, they are equal to each other, similar to nothing else, without tokens,
+and encoded as no ids); null doc_ids stay as they are; repeated rows are copies, of which the second
+stage leaves one; ties go to the largest doc_id among equal texts and to the least among near ones;
+very long texts are judged, compared and encoded whole; an empty table gives no rows; columns that
+a table has beyond those of documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import bpe, exact_dedup, mixing, ngram_jaccard, quality_rules
-from seqloom.llm.common import keep
+from seqloom.llm.common import drop_kept, keep
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage kept is deleted once the next has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), "stage")
+        kept = keep(stage(spark, docs, sf_dir), "stage")
+        drop_kept(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
