@@ -67,7 +67,7 @@ def _smoothed(m: str) -> str:
     """Columns m1 … of the running probability of one class."""
     out, last = [], f"1.0::DOUBLE / {url_filter.ALPHABET}"
     for k in _RUNS:
-        out.append(f"CASE WHEN i >= {k} THEN ({m}c{k} + {url_filter.PRIOR} * ({last})) / (greatest({m}x{k}, {m}c{k}) + {url_filter.PRIOR}) ELSE {last} END AS {m}{k}")
+        out.append(f"CASE WHEN i >= {k} THEN ({m}c{k} + {url_filter.PRIOR} * ({last})) / ({m}x{k} + {url_filter.PRIOR}) ELSE {last} END AS {m}{k}")
         last = f"{m}{k}"
     return ", ".join(out)
 
@@ -80,12 +80,12 @@ SQL = {
         r AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{h}{p}'" for h, p, _, c in _FITS)} END AS rule,
                      CASE {" ".join(f"WHEN {c} THEN '{v}'" for _, _, v, c in _FITS)} END AS ruled, lower(host || path) || chr(10) AS s FROM h),
         d AS (SELECT DISTINCT s FROM r),
-        g AS (SELECT s, i, k, CAST('0x' || substr(md5(substr(s, i - k + 1, k)), 1, 4) AS BIGINT) AS cell
+        g AS (SELECT s, i, k, substr(s, i - k + 1, k) AS run
               FROM (SELECT s, i, unnest(range(1, least({url_filter.ORDER}, i) + 1)) AS k FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM d))),
         t AS (SELECT ruled, s FROM r WHERE ruled IS NOT NULL AND CAST('0x' || substr(md5(s || 'fold'), 1, 8) AS BIGINT) % {url_filter.HELD_OUT} <> 0),
         total AS (SELECT coalesce(sum(length(s)) FILTER (WHERE ruled = 'allow'), 0) AS a, coalesce(sum(length(s)) FILTER (WHERE ruled = 'block'), 0) AS b FROM t),
-        c AS (SELECT cell, count(*) FILTER (WHERE ruled = 'allow') AS a, count(*) FILTER (WHERE ruled = 'block') AS b FROM t JOIN g USING (s) GROUP BY cell),
-        n AS (SELECT g.s, g.i, g.k, coalesce(c.a, 0) AS a, coalesce(c.b, 0) AS b FROM g LEFT JOIN c USING (cell)),
+        c AS (SELECT run, count(*) FILTER (WHERE ruled = 'allow') AS a, count(*) FILTER (WHERE ruled = 'block') AS b FROM t JOIN g USING (s) GROUP BY run),
+        n AS (SELECT g.s, g.i, g.k, coalesce(c.a, 0) AS a, coalesce(c.b, 0) AS b FROM g LEFT JOIN c USING (run)),
         w AS (SELECT s, i, {", ".join(f"max({m}) FILTER (WHERE k = {k}) AS {m}c{k}" for m in "ab" for k in _RUNS)} FROM n GROUP BY s, i),
         x AS (SELECT w.*, (SELECT a FROM total) AS ax1, (SELECT b FROM total) AS bx1, {", ".join(f"v.{m}c{k - 1} AS {m}x{k}" for m in "ab" for k in _RUNS if k > 1)} FROM w LEFT JOIN w v ON v.s = w.s AND v.i = w.i - 1),
         y AS (SELECT s, i, {_smoothed("a")}, {_smoothed("b")} FROM x),

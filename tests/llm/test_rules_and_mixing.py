@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import re
@@ -213,3 +214,66 @@ def test_url_rules(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
         assert got[i]["verdict"] in ("allow", "block") and (verdict is None or got[i]["verdict"] == verdict)
     assert url_filter.judge(pages.where("false")).count() == 0
+
+
+def test_url_model_against_counting(spark, monkeypatch):
+    """Scores and threshold against plain counting, and verdicts against what the URLs were made to be."""
+    rng = random.Random(9)
+    good, bad = ["news", "wiki", "garden", "letters"], ["casino", "pills", "xxx", "winbig"]
+    made = []
+    for i in range(900):
+        kind = rng.choice(["allow", "block"])
+        words = good if kind == "allow" else bad
+        tail = f"{rng.choice(words)}-{rng.choice(words)}/{rng.choice(words)}"
+        made.append((f"http://{rng.choice(words)}.com/{'fr' if kind == 'allow' else 'de'}/{tail}" if i % 3 else f"http://{rng.choice(words)}.net/{tail}", kind))
+    made += [(made[0][0], made[0][1])] * 3 + [("http://x.net/" + "news" * 2000, "allow"), (None, None)]
+    pages = spark.createDataFrame([(i, u, "z", "q", 1) for i, (u, _) in enumerate(made)], "page_id long, url string, s string, w string, id int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(made)
+    free = [i for i, (u, _) in enumerate(made) if u and ".net" in u]
+    assert len({got[i]["score"] for i in (0, 900, 901, 902)}) == 1
+
+    def text(i):
+        host, path, *_ = rule_for(made[i][0])
+        return (host + path).lower() + "\n"
+
+    held = lambda s: int(hashlib.md5((s + "fold").encode()).hexdigest()[:8], 16) % url_filter.HELD_OUT == 0
+    n = {v: collections.Counter() for v in ("allow", "block")}
+    for i in range(len(made)):
+        v, s = rule_for(made[i][0])[3], text(i)
+        if v and not held(s):
+            for j in range(1, len(s) + 1):
+                n[v].update([s[j - k : j] for k in range(0, min(url_filter.ORDER, j) + 1)])
+
+    def score(s):
+        total = 0
+        for j in range(1, len(s) + 1):
+            logs = []
+            for v in ("allow", "block"):
+                p = 1 / url_filter.ALPHABET
+                for k in range(1, min(url_filter.ORDER, j) + 1):
+                    p = (n[v][s[j - k : j]] + url_filter.PRIOR * p) / (n[v][s[j - k : j - 1]] + url_filter.PRIOR)
+                logs.append(math.log(p))
+            total += round(url_filter.UNIT * (logs[0] - logs[1]))
+        return total / len(s)
+
+    for i in [*free[::20], 903, 904]:
+        assert got[i]["score"] * url_filter.UNIT == pytest.approx(score(text(i)), abs=2), i
+    calibration = sorted(round(score(text(i))) for i in range(len(made)) if rule_for(made[i][0])[3] == "allow" and held(text(i)))
+    low = next(v for k, v in enumerate(calibration, 1) if k >= url_filter.MISSED * len(calibration))
+    ruled = [i for i in range(len(made)) if rule_for(made[i][0])[3] and held(text(i))]
+    right = [(score(text(i)) >= low) == (rule_for(made[i][0])[3] == "allow") for i in ruled]
+    assert len(right) > 50 and sum(right) / len(right) > 0.95  # held-out URLs that a rule judges
+    for i in free:
+        assert got[i]["verdict"] == ("allow" if got[i]["score"] * url_filter.UNIT >= low else "block")
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_WINDOWS", 0)
+    assert {r["page_id"]: r for r in url_filter.judge(pages).collect()} == got
+
+
+def test_low_quantile(spark):
+    values = [5, -9000, 3, 3, 12345, 7, 7, 7, 100, 2]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for q in (0.0, 0.1, 0.11, 0.5, 0.9, 1.0):
+        want = next(v for k, v in enumerate(sorted(values), 1) if k >= q * len(values))
+        assert url_filter.low_quantile(df, q) == want
+    assert url_filter.low_quantile(df.where("false"), 0.5) is None
