@@ -106,6 +106,49 @@ def test_kneser_ney_sums_to_one(spark):
         assert len(parts) == 1 or most == 40
 
 
+def kneser_ney_by_hand(texts, order):
+    """P(byte | context) of interpolated modified Kneser-Ney, from the counts alone."""
+    top = collections.Counter()
+    for t in texts:
+        raw = b"\0" * (order - 1) + t.encode() + b"\1"
+        top.update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    n = {order: top}
+    for k in range(order - 1, 0, -1):
+        n[k] = collections.Counter(r[1:] for r in n[k + 1])
+    cuts = {}
+    for k, t in n.items():
+        n1, n2, n3, n4 = (max(sum(c == i for c in t.values()), 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[k] = [min(max(d, 0.05), i - 0.05) for i, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
+
+    def p(run):
+        k = len(run)
+        if not k:
+            return 1 / 256
+        after = {r: c for r, c in n[k].items() if r[:-1] == run[:-1]}
+        if not after:
+            return p(run[1:])
+        d = lambda c: cuts[k][min(c, 3) - 1]
+        own = n[k].get(run, 0)
+        return ((own - d(own)) if own else 0) / sum(after.values()) + sum(map(d, after.values())) / sum(after.values()) * p(run[1:])
+
+    return p
+
+
+def test_kneser_ney_by_hand(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("aab c") for _ in range(rng.randint(0, 60))) for _ in range(25)]
+    p = kneser_ney_by_hand(texts, kn_quality.ORDER)
+    model = kn_quality.estimate(kn_quality.count_runs(spark.createDataFrame([(t,) for t in texts], "txt string")))
+    other = ["abc ca", "zz", "", texts[0], "aaaaabbbbb"]
+    docs = spark.createDataFrame(list(enumerate(other)), "doc_id long, txt string")
+    for most in (10**9, 30):
+        got = {r["doc_id"]: r["bits"] for r in kn_quality.log_perplexity(docs, kn_quality.shards(model, most)).collect()}
+        for i, t in enumerate(other):
+            raw = b"\0" * 4 + t.encode() + b"\1"
+            assert got[i] == pytest.approx(-sum(math.log2(p(raw[j : j + 5])) for j in range(len(raw) - 4)) / (len(t) + 1))
+
+
 def test_classifier_tells_junk(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(["an", "er", "th", "on", "re"]) for _ in range(rng.randint(1, 3)))
