@@ -46,14 +46,19 @@ def adapter_start(seq: bytes, adapter: bytes, least: int = 4) -> int:
     return int(hit[0]) if len(hit) else len(s)
 
 
-def poly_g_start(seq: bytes, least: int = 10, mismatch_per: int = 8, most: int = 5) -> int:
-    """Where a 3' run of G begins that has at most one other base per 8, and 5 in all; the length if the run is shorter than ``least``."""
-    other, start = 0, len(seq)
+def poly_g_start(seq: bytes, least: int = 10, mismatch_per: int = 8, most: int = 5, qual=None, max_mean_q: int = 5) -> int:
+    """Where a 3' run of G begins that has at most one other base per 8, and 5 in all; the length if the run is shorter than ``least``.
+
+    With qualities the run also has a mean of at most ``max_mean_q``: good runs of G stay.
+    """
+    other, start, total = 0, len(seq), 0
     for n, i in enumerate(range(len(seq) - 1, -1, -1), 1):
         other += seq[i] != 0x47
         if other > most or (other > max(1, n // mismatch_per) and n >= least):
             break
-        if seq[i] == 0x47:
+        if qual is not None:
+            total += int(qual[i])
+        if seq[i] == 0x47 and total <= max_mean_q * n:
             start = i
     return start if len(seq) - start >= least else len(seq)
 
@@ -77,25 +82,51 @@ def overlap(seq1: bytes, seq2: bytes, least: int = 30, most: int = 5, percent: i
     return None
 
 
-def trim_lengths(reads: DataFrame, adapters: list[str], poly_g: bool = False) -> DataFrame:
-    """``reads`` (sequence1, sequence2 or null) with kept1 and kept2, the bases that stay at the 5' end."""
-    ship(reads.sparkSession)
-    raw = [a.encode() for a in adapters]
-
-    @F.pandas_udf("kept1 int, kept2 int")
-    def cut(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+def _cuts(raw: list[bytes], poly_g: bool):
+    """A UDF: both mates and their qualities to the bases that stay of each, and the insert that their overlap tells."""
+    @F.pandas_udf("kept1 int, kept2 int, insert int, adapter boolean")
+    def cut(one: pd.Series, two: pd.Series, q1: pd.Series, q2: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b in zip(one, two, strict=True):
+        for a, b, qa, qb in zip(one, two, q1, q2, strict=True):
             a = (a or "").encode()
             insert = overlap(a, b.encode()) if b else None
-            ends = []
-            for s in (a, b.encode() if b else None):
+            ends, adapter = [], False
+            for s, q in ((a, qa), (b.encode() if b else None, qb)):
                 if s is None:
                     ends.append(None)
                     continue
                 end = min([insert if insert is not None else len(s), *(adapter_start(s, x) for x in raw)]) if raw or insert is not None else len(s)
-                ends.append(min(end, poly_g_start(s[:end])) if poly_g else end)
-            out.append(ends)
-        return pd.DataFrame(out, columns=["kept1", "kept2"]).astype({"kept1": "Int32", "kept2": "Int32"})
+                adapter |= end < len(s)
+                ends.append(min(end, poly_g_start(s[:end], qual=None if q is None else q[:end])) if poly_g else end)
+            out.append([*ends, insert, adapter])
+        return pd.DataFrame(out, columns=["kept1", "kept2", "insert", "adapter"]).astype({"kept1": "Int32", "kept2": "Int32", "insert": "Int32"})
+
+    return cut
+
+
+def _adapters(adapters: list[str], revcomp: bool) -> list[bytes]:
+    turn = str.maketrans("ACGTacgt", "TGCAtgca")
+    return [a.encode() for a in [*adapters, *([x.translate(turn)[::-1] for x in adapters] if revcomp else [])]]
 
-    return reads.withColumn("kept", cut("sequence1", "sequence2")).select("*", "kept.kept1", "kept.kept2").drop("kept")
+
+def trim_lengths(reads: DataFrame, adapters: list[str], poly_g: bool = False) -> DataFrame:
+    """``reads`` (sequence1, sequence2 or null) with kept1 and kept2, the bases that stay at the 5' end; qualities aren't looked at."""
+    ship(reads.sparkSession)
+    none = F.lit(None).cast("array<short>")
+    return reads.withColumn("kept", _cuts(_adapters(adapters, False), poly_g)("sequence1", "sequence2", none, none)).select("*", "kept.kept1", "kept.kept2").drop("kept")
+
+
+def trimmed_reads(reads: DataFrame, adapters: list[str] = (), poly_g: bool = False, revcomp: bool = False) -> DataFrame:
+    """``reads`` (sequence1, qual1, and a mate or nulls) with what is left of sequences and qualities, trimmed1_3p and trimmed2_3p, overlap_len and adapter_trimmed.
+
+    A pair whose mates read past each other is cut to its insert, then adapters are looked for (also
+    turned round, with ``revcomp``), then runs of G of low quality go. No adapters and no overlap: nothing is cut.
+    """
+    ship(reads.sparkSession)
+    told = reads.withColumn("__cut", _cuts(_adapters(list(adapters), revcomp), poly_g)("sequence1", "sequence2", "qual1", "qual2"))
+    out = told
+    for n in (1, 2):
+        kept = F.col(f"__cut.kept{n}")
+        out = out.withColumn(f"trimmed{n}_3p", F.length(f"sequence{n}") - kept)
+        out = out.withColumn(f"sequence{n}", F.substring(f"sequence{n}", F.lit(1), kept)).withColumn(f"qual{n}", F.slice(f"qual{n}", F.lit(1), kept))
+    return out.withColumn("overlap_len", F.col("__cut.insert")).withColumn("adapter_trimmed", F.col("__cut.adapter")).drop("__cut")

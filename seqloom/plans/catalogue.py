@@ -455,6 +455,19 @@ def qc_filter_whole(spark, sf):
     return t(spark, sf, "documents").select("doc_id", verdict.alias("v")).select("doc_id", "v.passed", "v.fail_reason")
 
 
+@query("""SELECT p_partkey, r.passed, r.fail_reason, r.low AS low_qual_bases, round(r.mean, 6) AS mean_quality FROM (
+            SELECT p_partkey, {'passed': NOT (n < 12 OR 100 * low > 40 * n OR mean < 14 OR n > 26), 'low': CAST(low AS INT), 'mean': mean,
+                               'fail_reason': CASE WHEN n < 12 THEN 'length' WHEN 100 * low > 40 * n OR mean < 14 THEN 'quality' WHEN n > 26 THEN 'too_long' END} AS r
+            FROM (SELECT p_partkey, length(p_name) AS n, len(list_filter(q, lambda x: x < 15)) AS low, CAST(list_sum(q) AS DOUBLE) / len(q) AS mean
+                  FROM (SELECT p_partkey, p_name, list_transform(range(1, length(p_name) + 1), lambda i: (i * i * p_partkey) % 41) AS q FROM part)))""")
+def qc_reads(spark, sf):
+    """The read filter with qualities: parts' names as reads, a quality for each letter."""
+    qual = F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: (i * i * F.col("p_partkey") % 41).cast("short"))
+    verdict = qc.filter_read(F.col("p_name"), qual, min_len=12, max_len=26, min_avg_q=14, max_n=1000)
+    rows = t(spark, sf, "part").select("p_partkey", verdict.alias("v"))
+    return rows.select("p_partkey", "v.passed", "v.fail_reason", "v.low_qual_bases", F.round("v.mean_quality", 6).alias("mean_quality"))
+
+
 @query()
 def qc_trim_filter(spark, sf):
     """Whole documents as reads; of three one has a mate that ends the insert halfway, one a mate that doesn't meet it. A pair passes if both mates do."""

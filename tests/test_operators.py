@@ -196,6 +196,25 @@ def test_trims(spark):
     assert got == [(35, None), (35, None), (20, None), (35, 35)]
 
 
+def test_trimmed_reads(spark):
+    """Sequences, qualities and counts; a good run of G stays, a bad one goes, and without adapters nothing is cut."""
+    adapter, insert = "AGATCGGAAGAGC", "ACGTTGCAAGGTCCATTGACCATGGCATTAGCAGT"
+    turned = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    g = "ACTC" * 5 + "G" * 16
+    data = [(insert + adapter, [35] * 48, None, None), (g, [35] * 36, None, None), (g, [35] * 20 + [2] * 16, None, None), (insert + "C" * 9, [35] * 44, turned(insert) + "A" * 9, [30] * 44), (insert + turned(adapter), [35] * 48, None, None), (insert, None, None, None)]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "k int, sequence1 string, qual1 array<short>, sequence2 string, qual2 array<short>")
+    got = {r["k"]: r for r in qc.trimmed_reads(df, [adapter], poly_g=True).collect()}
+    assert (got[0]["sequence1"], got[0]["trimmed1_3p"], len(got[0]["qual1"]), got[0]["adapter_trimmed"]) == (insert, 13, 35, True)
+    assert got[1]["sequence1"] == g and got[1]["trimmed1_3p"] == 0 and not got[1]["adapter_trimmed"]
+    assert got[2]["sequence1"] == "ACTC" * 5 and got[2]["trimmed1_3p"] == 16 and not got[2]["adapter_trimmed"]
+    assert (got[3]["sequence1"], got[3]["sequence2"], got[3]["overlap_len"], got[3]["trimmed2_3p"]) == (insert, turned(insert), 35, 9)
+    assert got[4]["trimmed1_3p"] == 0 and got[5]["qual1"] is None and got[5]["sequence1"] == insert
+    none = {r["k"]: r for r in qc.trimmed_reads(df).collect()}
+    assert [none[k]["sequence1"] == data[k][0] for k in (0, 1, 2, 4)] == [True] * 4
+    both = {r["k"]: r for r in qc.trimmed_reads(df, [adapter], revcomp=True).collect()}
+    assert both[4]["sequence1"] == insert
+
+
 def brute_adapter(s, a):
     for at in range(len(s) - 3):
         n = min(len(a), len(s) - at)
