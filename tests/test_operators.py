@@ -324,7 +324,7 @@ def test_whole_closure(spark, tmp_path):
         while up.get(a, a) != a:
             a, k = up[a], k + 1
             want.add((a, i, k))
-    got = rows(catalogue.QUERIES["closure_distance_whole"](spark, str(tmp_path)), "ancestor", "descendant", "distance")
+    got = rows(catalogue.QUERIES["closure_distance"](spark, str(tmp_path)), "ancestor", "descendant", "distance")
     assert got == sorted(want) and max(k for *_, k in want) > 10
     circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 1), (5, 3)], "n long, p long")
     pairs = {(a, d): k for a, d, k in rows(reference.closure(circle, "n", "p"), "ancestor", "descendant", "distance")}
