@@ -3,7 +3,12 @@
 Learning goes level by level. Each task counts its texts' word pairs in packed arrays and sends them
 to the shard of the first word; a shard merges its arrays and writes one trie file into the shared
 folder. A second pass looks the pairs up in those files and counts what follows the pairs met at
-least TWICE; it goes to the shard of the first word again, which writes the third level.
+least TWICE; it goes to the shard of the pair again, which writes the third level.
+
+A word that holds more than a shard's part of all tokens is dealt out: its successors are cut into
+slices by their fingerprint, and each slice is a context of its own, with a hash and so a shard of
+its own. Sums over the slices are the word's counts, so no score depends on which words are dealt
+out; a sample of the texts tells. Each shard is one task.
 
 Level 1 holds the words' hashes, counts and the pointers into level 2 (running sums, so both rise);
 levels 2 and 3 hold, for each context, its successors as numbers relative to the context, scaled so
@@ -33,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, text_of
+from .common import drop_kept, keep, shared_dir, ship, text_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Hashes of the marks before and after a text.
@@ -48,6 +53,8 @@ PLACE = 36
 STEPS = 4096
 #: A shard learns from about so many bytes of text, so more text makes more shards, not larger ones.
 SHARD_BYTES = 16 << 20
+#: Part of the texts from which the words to deal out and the number of shards are told; no result depends on it.
+SAMPLED = 1 / 64
 #: Word pairs that a task sorts at once, and bytes of text that are looked up at once.
 FLUSH, LOOKUP_BYTES = 1 << 21, 1 << 22
 
@@ -84,10 +91,77 @@ def _pairs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return before, tokens
 
 
-def _blocks(shards: int, pairs_of, owner):
+class Slices:
+    """The words that are dealt out, in order, and their numbers of slices."""
+
+    def __init__(self, words: np.ndarray, numbers: np.ndarray):
+        self.words, self.numbers = words, numbers
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The number of slices of each word, 1 if it isn't dealt out."""
+        if not len(self.words):
+            return np.ones(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.numbers[at], 1)
+
+    @staticmethod
+    def which(numbers: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """The slice a successor is in."""
+        return ((prints >> np.uint64(FINGERPRINT - 32)) * numbers.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def key(words: np.ndarray, slices: np.ndarray) -> np.ndarray:
+        """The context of a word's slice; the first is the word itself."""
+        from .textnum import mixed
+
+        return np.where(slices > 0, mixed(words + slices.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), words)
+
+    def placed(self, words: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """The contexts that hold the successors ``prints`` of the words."""
+        return self.key(words, self.which(self.of(words), prints)) if len(self.words) else words
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """All contexts of the words, and the words they are of."""
+        owner = np.repeat(np.arange(len(self.words)), self.numbers)
+        first = np.cumsum(self.numbers) - self.numbers
+        return self.key(self.words[owner], np.arange(len(owner)) - first[owner]), self.words[owner]
+
+
+def _told(batches):
+    """(context, n): the words of the texts by how often another follows; context null: bytes of text."""
+    import pyarrow as pa
+
+    from .textnum import batches as parts
+    from .textnum import column_bytes, release
+
+    for batch in batches:
+        texts = column_bytes(batch["txt"])
+        for a, b in parts(texts, LOOKUP_BYTES):
+            words, n = np.unique(chains(texts[a:b])[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*words.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), sum(map(len, texts[a:b]))], pa.int64())], ["context", "n"])
+    release()
+
+
+def layout(docs: DataFrame) -> tuple[int, Slices]:
+    """The number of shards, and the words that are dealt out: those with more than a shard's part of the tokens, so fewer than shards."""
+    spark = docs.sparkSession
+    part = docs.select("txt").sample(SAMPLED, seed=8) if SAMPLED < 1 else docs.select("txt")
+    told = keep(part.mapInArrow(_told, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")), "words")
+    whole = told.agg(F.sum(F.when(F.col("context").isNull(), F.col("n"))).alias("bytes"), F.sum(F.when(F.col("context").isNotNull(), F.col("n"))).alias("tokens")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((whole["bytes"] or 0) / SAMPLED) // SHARD_BYTES))
+    found = told.where(F.col("context").isNotNull() & (F.col("n") * shards > F.lit(whole["tokens"] or 0))).collect()  # fewer rows than shards
+    drop_kept(told)
+    words = np.array([r["context"] for r in found], np.int64).view(np.uint64)
+    numbers = np.array([-(-r["n"] * shards // whole["tokens"]) for r in found], np.int64)
+    order = np.argsort(words)
+    return shards, Slices(words[order], numbers[order])
+
+
+def _blocks(shards: int, pairs_of, owner, placed=None):
     """Texts to rows (shard, contexts, lengths, successors, counts) of packed arrays.
 
-    ``pairs_of``: texts to contexts and following words; ``owner``: contexts, sorted, to shards, which rise with them.
+    ``pairs_of``: texts to contexts and following words; ``owner``: contexts, sorted, to shards, which rise
+    with them; ``placed``: contexts and successors to the contexts that hold them.
     """
     def run(batches):
         import pyarrow as pa
@@ -101,6 +175,7 @@ def _blocks(shards: int, pairs_of, owner):
         def flush():
             first = np.concatenate([h[0] for h in held])
             second = np.concatenate([h[1] for h in held]) >> np.uint64(64 - FINGERPRINT)
+            first = placed(first, second) if placed else first
             first, second, counts = _merged(first, second, np.ones(len(first), np.uint32))
             begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
             lengths = np.diff(np.concatenate((begin, [len(first)])))
@@ -267,8 +342,8 @@ class Level:
 class Model:
     """The files of a trie, one per shard and level, opened when first asked."""
 
-    def __init__(self, at: str, shards: int, names: dict[int, str], tokens: int, types: int, texts: int):
-        self.at, self.shards, self.names, self.upper = at, shards, names, {}
+    def __init__(self, at: str, shards: int, slices: Slices, names: dict[int, str], tokens: int, types: int, texts: int):
+        self.at, self.shards, self.slices, self.names, self.upper = at, shards, slices, names, {}
         self.tokens, self.types, self.texts = tokens, types, texts
 
     def __getstate__(self):
@@ -290,29 +365,47 @@ class Model:
                 yield level, order[cuts[s] : cuts[s + 1]]
 
     def looked_up(self, texts: list[bytes]) -> dict:
-        """Tokens of the texts and what levels 1 and 2 have: count of each token; count and distinct successors of the one before; its shard, and the pair's place there (-1 if never seen), share and whether it was met often."""
+        """Tokens of the texts and what levels 1 and 2 have: count of each token; count and distinct successors of the one before; the pair's shard, its place there (-1 if never seen), share and whether it was met often."""
         tokens, before, off = chains(texts)
         words, of_token = np.unique(np.concatenate((tokens, [START])), return_inverse=True)
-        count, types, begin = (np.zeros(len(words), np.int64) for _ in range(3))
-        shard = shard_of(words, self.shards)
+        # a context for each slice of each word: the first slices in the words' own places, the others after them
+        numbers = self.slices.of(words)
+        dealt = np.flatnonzero(numbers > 1)
+        more = numbers[dealt] - 1
+        owner = np.concatenate((np.arange(len(words)), np.repeat(dealt, more)))
+        after = np.zeros(len(words), np.int64)
+        after[dealt] = len(words) + np.cumsum(more) - more  # place of a word's second slice
+        keys = self.slices.key(words[owner], np.where(np.arange(len(owner)) < len(words), 0, np.arange(len(owner)) - after[owner] + 1))
+        held, kinds, begin = (np.zeros(len(keys), np.int64) for _ in range(3))
+        shard = shard_of(keys, self.shards)
         for level, on in self._by_shard(self.names, shard):
-            hit, place, first = level.find(words[on])
+            hit, place, first = level.find(keys[on])
             on = on[hit]
-            count[on], begin[on] = level.count(place), first
-            types[on] = level.types(place, first)
+            held[on], begin[on] = level.count(place), first
+            kinds[on] = level.types(place, first)
+        count, types = held[: len(words)].copy(), kinds[: len(words)].copy()
+        np.add.at(count, owner[len(words) :], held[len(words) :])
+        np.add.at(types, owner[len(words) :], kinds[len(words) :])
         count[words == END] = self.texts
         start, of_token = of_token[-1], of_token[:-1]
         of_before = np.empty_like(of_token)
         of_before[1:] = of_token[:-1]
         of_before[off[:-1]] = start
+        slot = of_before
+        if len(dealt):
+            which = self.slices.which(numbers[of_before], tokens >> np.uint64(64 - FINGERPRINT))
+            slot = np.where(which > 0, after[of_before] + which - 1, of_before)
         place, share, often = np.full(len(tokens), -1), np.zeros(len(tokens)), np.zeros(len(tokens), bool)
-        seen = np.flatnonzero((types[of_before] > 0) & (count[of_token] > 0))
-        for level, on in self._by_shard(self.names, shard[of_before[seen]]):
+        seen = np.flatnonzero((kinds[slot] > 0) & (count[of_token] > 0))
+        for level, on in self._by_shard(self.names, shard[slot[seen]]):
             on = seen[on]
-            at = level.after(begin[of_before[on]], types[of_before[on]], tokens[on])
+            at = level.after(begin[slot[on]], kinds[slot[on]], tokens[on])
             on, at = on[at >= 0], at[at >= 0]
             place[on], share[on], often[on] = at, level.shares(at), level.is_often(at)
-        return {"tokens": tokens, "off": off, "count": count[of_token], "c": count[of_before], "t": types[of_before], "shard": shard[of_before], "place": place, "share": share, "often": often}
+        if len(dealt):  # shares are of the slice
+            own, whole = held + kinds, (count + types)[of_before]
+            share *= own[slot] / np.maximum(whole, 1)
+        return {"tokens": tokens, "off": off, "count": count[of_token], "c": count[of_before], "t": types[of_before], "shard": shard[slot], "place": place, "share": share, "often": often}
 
     def pair_contexts(self, x: dict) -> np.ndarray:
         """Tokens whose two words before form a pair that was met often."""
@@ -353,8 +446,9 @@ def learn(docs: DataFrame) -> Model:
     """The trie of the texts (column txt) of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
-    size = docs.agg(F.sum(F.octet_length("txt")).alias("n")).first()["n"] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards, slices = layout(docs)
+    keys, owners = slices.keys()  # fewer than three times the shards
+    starts = np.append(keys[owners == START], START)
     at = f"{shared_dir(spark)}/seqloom-trie-{uuid.uuid4().hex}"
 
     def pairs(table):
@@ -363,15 +457,16 @@ def learn(docs: DataFrame) -> Model:
         shard = table["shard"][0].as_py()
         first, second, counts = _unpacked(table)
         rising, plain = build(first, second, counts)
-        texts = int(counts[first == START].sum())
+        texts = int(counts[np.isin(first, starts)].sum())
         name = _write(at, f"pairs-{shard:05d}", rising, plain)
         words = rising["keys"][0]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "tokens": pa.array([int(counts.sum()) - texts], pa.int64()), "types": pa.array([len(words) - (START in words)], pa.int64()), "texts": pa.array([texts], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "name": [name], "tokens": pa.array([int(counts.sum()) - texts], pa.int64()), "types": pa.array([len(words) - int(np.isin(words, np.append(keys, START)).sum())], pa.int64()), "texts": pa.array([texts], pa.int64())})
 
-    blocks = docs.select("txt").mapInArrow(_blocks(shards, _pairs_of, lambda contexts: shard_of(contexts, shards)), BLOCKS)
-    told = blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(pairs, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
+    blocks = docs.select("txt").mapInArrow(_blocks(shards, _pairs_of, lambda contexts: shard_of(contexts, shards), slices.placed), BLOCKS)
+    told = blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(pairs, "shard int, name string, tokens long, types long, texts long").collect()  # one row per shard
     texts = sum(r["texts"] for r in told)
-    model = Model(at, shards, {r["shard"]: r["name"] for r in told}, sum(r["tokens"] for r in told) + texts, sum(r["types"] for r in told) + (texts > 0), texts)
+    types = sum(r["types"] for r in told) + int((slices.words != START).sum()) + (texts > 0)
+    model = Model(at, shards, slices, {r["shard"]: r["name"] for r in told}, sum(r["tokens"] for r in told) + texts, types, texts)
     lower = spark.sparkContext.broadcast(model)  # the names of the files, not their content
 
     def triples(table):
@@ -384,7 +479,7 @@ def learn(docs: DataFrame) -> Model:
         return pa.table({"shard": pa.array([shard], pa.int32()), "name": [_write(at, f"triples-{shard:05d}", rising, plain)]})
 
     blocks = docs.select("txt").mapInArrow(_blocks(shards, lambda texts: lower.value.triples(texts), lambda contexts: (contexts >> np.uint64(PLACE)).astype(np.int64)), BLOCKS)
-    model.upper = {r["shard"]: r["name"] for r in blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(triples, "shard int, name string").collect()}
+    model.upper = {r["shard"]: r["name"] for r in blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(triples, "shard int, name string").collect()}
     return model
 
 

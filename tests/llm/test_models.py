@@ -57,10 +57,19 @@ def tokens(text):
     return WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + ["</s>"]
 
 
-def test_trie_against_counting(spark):
+@pytest.mark.parametrize("sampled", [lm_trie.SAMPLED, 1])
+def test_trie_against_counting(spark, monkeypatch, sampled):
+    monkeypatch.setattr(lm_trie, "SAMPLED", sampled)
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["The", "the", "of", "É", f"w{rng.randrange(300)}"]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "a " * 100_000, "zz"]
     docs = spark.createDataFrame([(i, x, 1, 2) for i, x in enumerate(texts)] + [(None, "the of", 1, 2)], "doc_id long, text string, held_out int, score int")
+    if sampled == 1:  # words that hold more than a shard's part are dealt out, the mark before texts among them
+        few = docs.where("doc_id <> 302").selectExpr("coalesce(text, '') as txt")
+        shards, slices = lm_trie.layout(few)
+        told = collections.Counter(a for x in texts[:302] + texts[303:] for a in ["<s>", *tokens(x)[:-1]])
+        assert sorted(slices.numbers) == sorted(-(-n * shards // told.total()) for n in told.values() if n * shards > told.total())
+        assert max(slices.numbers) > 1 and len(np.unique(slices.keys()[0])) == slices.numbers.sum()
+        assert lm_trie.layout(docs.selectExpr("coalesce(text, '') as txt"))[1].numbers.max() == shards
     got = {r["doc_id"]: r for r in lm_trie.apply(docs).collect()}
     assert len(got) == len(texts) + 1
     learned = [tokens(x) for i, x in [*enumerate(texts), ("", "the of")] if zlib.crc32(str(i).encode()) % 7 != 2]
