@@ -5,9 +5,9 @@ to the shard of the first word; a shard merges its arrays and writes one trie fi
 folder. A second pass looks the pairs up in those files and counts what follows the pairs met at
 least TWICE; it goes to the shard of the pair again, which writes the third level.
 
-A word that holds more than a shard's part of all tokens is dealt out: its successors are cut into
-slices by their fingerprint, and each slice is a context of its own, with a hash and so a shard of
-its own. Sums over the slices are the word's counts, so no score depends on which words are dealt
+A word that holds more than a FINE-th of a shard's part of all tokens is dealt out: its successors are
+cut into slices of that size by their fingerprint, and each slice is a context of its own, with a hash
+and so a shard of its own. Sums over the slices are the word's counts, so no score depends on which words are dealt
 out; a sample of the texts tells. Each shard is one task.
 
 Level 1 holds the words' hashes, counts and the pointers into level 2 (running sums, so both rise);
@@ -55,6 +55,8 @@ STEPS = 4096
 SHARD_BYTES = 16 << 20
 #: Part of the texts from which the words to deal out and the number of shards are told; no result depends on it.
 SAMPLED = 1 / 64
+#: Slices of a word for each shard's part of the tokens that it holds; well over 1, since what follows its pairs weighs more than its tokens do.
+FINE = 8
 #: Word pairs that a task sorts at once, and bytes of text that are looked up at once.
 FLUSH, LOOKUP_BYTES = 1 << 21, 1 << 22
 
@@ -143,16 +145,16 @@ def _told(batches):
 
 
 def layout(docs: DataFrame) -> tuple[int, Slices]:
-    """The number of shards, and the words that are dealt out: those with more than a shard's part of the tokens, so fewer than shards."""
+    """The number of shards, and the words that are dealt out: those with more than a FINE-th of a shard's part of the tokens, so fewer than FINE times the shards."""
     spark = docs.sparkSession
     part = docs.select("txt").sample(SAMPLED, seed=8) if SAMPLED < 1 else docs.select("txt")
     told = keep(part.mapInArrow(_told, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")), "words")
     whole = told.agg(F.sum(F.when(F.col("context").isNull(), F.col("n"))).alias("bytes"), F.sum(F.when(F.col("context").isNotNull(), F.col("n"))).alias("tokens")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((whole["bytes"] or 0) / SAMPLED) // SHARD_BYTES))
-    found = told.where(F.col("context").isNotNull() & (F.col("n") * shards > F.lit(whole["tokens"] or 0))).collect()  # fewer rows than shards
+    found = told.where(F.col("context").isNotNull() & (F.col("n") * (FINE * shards) > F.lit(whole["tokens"] or 0))).collect()
     drop_kept(told)
     words = np.array([r["context"] for r in found], np.int64).view(np.uint64)
-    numbers = np.array([-(-r["n"] * shards // whole["tokens"]) for r in found], np.int64)
+    numbers = np.array([-(-r["n"] * FINE * shards // whole["tokens"]) for r in found], np.int64)
     order = np.argsort(words)
     return shards, Slices(words[order], numbers[order])
 
@@ -447,7 +449,7 @@ def learn(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     ship(spark)
     shards, slices = layout(docs)
-    keys, owners = slices.keys()  # fewer than three times the shards
+    keys, owners = slices.keys()  # fewer than twice FINE times the shards
     starts = np.append(keys[owners == START], START)
     at = f"{shared_dir(spark)}/seqloom-trie-{uuid.uuid4().hex}"
 
