@@ -7,8 +7,8 @@ least TWICE; it goes to the shard of the pair again, which writes the third leve
 
 A word that holds more than a FINE-th of a shard's part of all tokens is dealt out: its successors are
 cut into slices of that size by their fingerprint, and each slice is a context of its own, with a hash
-and so a shard of its own. Sums over the slices are the word's counts, so no score depends on which words are dealt
-out; a sample of the texts tells. Each shard is one task.
+and so a shard of its own. Sums over the slices are the word's counts, so which words are dealt out
+changes scores within a quantisation step at most; a sample of the texts tells. Each shard is one task.
 
 Level 1 holds the words' hashes, counts and the pointers into level 2 (running sums, so both rise);
 levels 2 and 3 hold, for each context, its successors as numbers relative to the context, scaled so
@@ -53,7 +53,7 @@ PLACE = 36
 STEPS = 4096
 #: A shard learns from about so many bytes of text, so more text makes more shards, not larger ones.
 SHARD_BYTES = 16 << 20
-#: Part of the texts from which the words to deal out and the number of shards are told; no result depends on it.
+#: Part of the texts from which the words to deal out and the number of shards are told; no count depends on it.
 SAMPLED = 1 / 64
 #: Slices of a word for each shard's part of the tokens that it holds; well over 1, since what follows its pairs weighs more than its tokens do.
 FINE = 8
