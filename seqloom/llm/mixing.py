@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, text_of, words_of
+from .common import drop_kept, keep, text_of, words_of
 
 #: A block holds about so many tokens; more documents make more blocks, never larger ones.
 BLOCK_TOKENS = 1 << 20
@@ -66,9 +66,15 @@ def _draw(*what: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *what)
 
 
-def shares(docs: DataFrame) -> DataFrame:
-    """(source, tokens, rows), partly summed before the shuffle."""
-    return docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(F.size(words_of(text_of()))).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+def counted(docs: DataFrame) -> DataFrame:
+    """(src, fine, n): source, a hash of id and text, and words of each row. Texts are parted into words here and, for the blocks that are cut, once more."""
+    rows = docs.select(F.col("source").cast("string").alias("src"), F.col("doc_id").alias("id"), text_of().alias("txt"))
+    return rows.select("src", F.xxhash64("id", "txt").alias("fine"), F.size(words_of(F.col("txt"))).alias("n"))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """(source, tokens, rows) of what ``counted`` gives, partly summed before the shuffle."""
+    return counts.groupBy(F.col("src").alias("source")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
 
 
 def wide_exponent(per_source: DataFrame, top: int, least: int, budget: float, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> float:
@@ -89,12 +95,12 @@ def wide_exponent(per_source: DataFrame, top: int, least: int, budget: float, ma
     return high
 
 
-def quotas(docs: DataFrame, budget: int | None = None, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(source, tokens, weight, quota, blocks): one row per source that has tokens.
+def quotas(counts: DataFrame, budget: int | None = None, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(source, tokens, weight, quota, blocks): one row per source that has tokens, from what ``counted`` gives.
 
     Up to MAX_BROADCAST_SOURCES token counts come to the driver; beyond, the exponent is found by sums over the table.
     """
-    per_source = keep(shares(docs).where("tokens > 0").select("source", "tokens"), "shares")
+    per_source = keep(shares(counts).where("tokens > 0").select("source", "tokens"), "shares")
     whole = per_source.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.min("tokens").alias("least")).first()
     total = whole["all"] or 0
     budget = total if budget is None else budget
@@ -110,16 +116,15 @@ def quotas(docs: DataFrame, budget: int | None = None, max_repeats: float = MAX_
 
 def drawn(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """(row, source, weight, epoch): one row per draw. A source's draws end with the document that crosses its quota."""
-    plan = keep(quotas(docs, **how), "quotas")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("src"), text_of().alias("txt"), F.col("doc_id").alias("id"))
-    rows = _with_sources(rows, plan).withColumn("fine", F.xxhash64("id", "txt")).withColumn("block", F.pmod(_draw(F.col("fine"), seed=seed), F.col("blocks")))
-    # full epochs need no order; the last takes blocks in a drawn order up to what is left of the quota
-    rows = rows.withColumn("full", F.expr("quota div tokens")).withColumn("over", F.col("quota") % F.col("tokens")).withColumn("at", _draw(F.col("source"), F.col("block"), F.col("full"), seed=seed + 1))
-    blocks = rows.where("over > 0").groupBy("source", "block", "at", "over").agg(F.sum(F.size(words_of(F.col("txt")))).alias("n"))
+    counts = keep(counted(docs), "counts")
+    plan = keep(quotas(counts, **how), "quotas")
+    blocks = _placed(counts, plan, seed).where("over > 0").groupBy("source", "block", "at", "over").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("source").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1)
     crossed = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where("before < over and before + n >= over")
     cuts = keep(crossed.select(F.col("source").alias("src2"), F.col("at").alias("cut_at"), F.col("block").alias("cut_block"), (F.col("over") - F.col("before")).alias("room")), "cuts")
-    rows = rows.join(_hint(cuts), F.col("source").eqNullSafe(F.col("src2")), "left")
+    drop_kept(counts)
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("src"), text_of().alias("txt"), F.col("doc_id").alias("id"))
+    rows = _placed(rows.withColumn("fine", F.xxhash64("id", "txt")), plan, seed).join(_hint(cuts), F.col("source").eqNullSafe(F.col("src2")), "left")
     place = F.struct("at", "block")
     rows = rows.withColumn("side", F.when(F.col("cut_at").isNull(), 1).when(place < F.struct(F.col("cut_at").alias("at"), F.col("cut_block").alias("block")), -1).when((F.col("at") == F.col("cut_at")) & (F.col("block") == F.col("cut_block")), 0).otherwise(1))
     whole = rows.where("side <> 0").withColumn("times", F.when(F.col("tokens").isNull(), 1).otherwise(F.col("full") + F.when(F.col("side") < 0, 1).otherwise(0)))
@@ -143,6 +148,12 @@ def _with_sources(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(_hint(plan), F.col("src").eqNullSafe(F.col("source")), "left")
 
 
+def _placed(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Rows (src, fine) with their source's plan, block and its place. Full epochs need no order; the last takes blocks in a drawn order up to what is left of the quota."""
+    rows = _with_sources(rows, plan).withColumn("block", F.pmod(_draw(F.col("fine"), seed=seed), F.col("blocks")))
+    return rows.withColumn("full", F.expr("quota div tokens")).withColumn("over", F.col("quota") % F.col("tokens")).withColumn("at", _draw(F.col("source"), F.col("block"), F.col("full"), seed=seed + 1))
+
+
 def apply(docs: DataFrame, **how) -> DataFrame:
     """The rows drawn, with the columns of ``docs``; rows drawn twice come twice."""
     return drawn(docs, **how).select("row.*")

@@ -92,9 +92,9 @@ def test_many_sources_find_the_same_exponent(spark, how, monkeypatch):
 
 def test_quotas_do_not_depend_on_the_way(spark, monkeypatch):
     d, _ = mixed_docs(spark)
-    few = sorted(map(tuple, mixing.quotas(d, max_repeats=1.5).collect()), key=str)
+    few = sorted(map(tuple, mixing.quotas(mixing.counted(d), max_repeats=1.5).collect()), key=str)
     monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 1)
-    many = sorted(map(tuple, mixing.quotas(d, max_repeats=1.5).collect()), key=str)
+    many = sorted(map(tuple, mixing.quotas(mixing.counted(d), max_repeats=1.5).collect()), key=str)
     assert [r[:2] + r[4:] for r in few] == [r[:2] + r[4:] for r in many]
     assert [r[2] for r in few] == pytest.approx([r[2] for r in many]) and all(abs(a[3] - b[3]) <= 1 for a, b in zip(few, many))
 
@@ -103,7 +103,7 @@ def test_draw_by_hand(spark):
     """The draw itself against a plain walk over blocks and rows, with the same hashes."""
     d, rows = mixed_docs(spark)
     h = lambda *cols, seed: F.xxhash64(F.lit(seed), *cols)
-    plan = {r["source"]: r for r in mixing.quotas(d, max_repeats=1.5, block_tokens=40).collect()}
+    plan = {r["source"]: r for r in mixing.quotas(mixing.counted(d), max_repeats=1.5, block_tokens=40).collect()}
     told = d.select("doc_id", F.col("source").alias("s"), F.coalesce("text", F.lit("")).alias("x")).withColumn("fine", F.xxhash64("doc_id", "x")).withColumn("deal", h(F.col("fine"), seed=0)).collect()
     want = collections.Counter()
     for s, p in plan.items():
@@ -143,7 +143,7 @@ def test_mixing_meets_quotas(spark, block):
     tokens = collections.Counter()
     for r in rows:
         tokens[r[2]] += n(r[1])
-    plan = {r["source"]: r for r in mixing.quotas(d, max_repeats=1.5, block_tokens=block).collect()}
+    plan = {r["source"]: r for r in mixing.quotas(mixing.counted(d), max_repeats=1.5, block_tokens=block).collect()}
     assert {s: p["tokens"] for s, p in plan.items()} == dict(tokens)
     assert sum(p["weight"] for p in plan.values()) == pytest.approx(1)
     drawn = mixing.drawn(d, max_repeats=1.5, block_tokens=block).select("row.doc_id", "source", "epoch").collect()
