@@ -157,7 +157,10 @@ def test_coverage_against_positions(spark, width):
     want = {g: len({p for h, a, b in data if h == g and a is not None and b is not None for p in range(a, b)}) for g in range(4)}
     assert dict(rows(coverage.covered(df, ["g"], width))) == want
     deep = {}
-    for g, a, b, d in rows(coverage.depth(df, ["g"])):
+    # bins never show: runs and islands are those of one bin
+    assert rows(coverage.depth(df, ["g"], width)) == rows(coverage.depth(df, ["g"], 1 << 30))
+    assert rows(coverage.islands(df, ["g"], width)) == rows(coverage.islands(df, ["g"], 1 << 30))
+    for g, a, b, d in rows(coverage.depth(df, ["g"], width)):
         deep.update({(g, p): d for p in range(a, b)})
     assert len(deep) == sum(want.values())
     assert sum(deep.values()) == sum(b - a for _, a, b in data if a is not None and b is not None)
