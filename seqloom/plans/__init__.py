@@ -1 +1 @@
-from . import catalogue, relational  # noqa: F401 - both fill catalogue.QUERIES
+from . import catalogue, files, relational  # noqa: F401 - all fill catalogue.QUERIES

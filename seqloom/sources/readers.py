@@ -131,10 +131,11 @@ def sam_reads(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def gff(spark: SparkSession, *paths: str) -> DataFrame:
-    """Features of GFF3: position to stop_position half-open, attributes as a map; a file ends at ``##FASTA``."""
-    whole = spark.read.text(list(paths), wholetext=True)
-    lines = F.explode(F.split(F.substring_index(F.concat(F.lit("\n"), "value"), "\n##FASTA", 1), "\r?\n"))
-    rows = whole.select(lines.alias("l")).where("l <> '' and not startswith(l, '#')")
+    """Features of GFF3: position to stop_position half-open, attributes as a map.
+
+    Lines are read apart, so a large file is many tasks: those with tabs that don't begin with ``#`` or ``>`` are features, so directives and a FASTA part are none.
+    """
+    rows = spark.read.text(list(paths)).select(F.rtrim("value", F.lit("\r")).alias("l")).where("instr(l, '\t') > 0 and not startswith(l, '#') and not startswith(l, '>')")
     f = F.split("l", "\t")
     some = lambda c: F.nullif(c, F.lit("."))
     entries = F.filter(F.split(f[8], ";"), lambda x: F.instr(x, "=") > 0)
