@@ -22,6 +22,7 @@ import base64
 import hashlib
 import re
 import uuid
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,12 +46,8 @@ _LINKS = """
     SELECT a.chunk, a.e, a.id AS a, b.id AS b, sum(1) OVER (PARTITION BY a.chunk ORDER BY a.e) AS grp
     FROM a JOIN b ON a.chunk = b.chunk AND a.e = b.e"""
 
-#: A token belongs to the first link that ends where it does or later.
-_MEMBERS = """SELECT t.chunk, l.grp, string_agg(CAST(t.id AS VARCHAR), ',' ORDER BY t.pos) AS ids
-    FROM {side} t ASOF JOIN links l ON t.chunk = l.chunk AND t.e <= l.e GROUP BY t.chunk, l.grp"""
-
-_GROUPS = f"""SELECT chunk, string_agg(x.ids || '|' || y.ids, ';' ORDER BY grp) AS said
-    FROM ({_MEMBERS.format(side="a")}) x JOIN ({_MEMBERS.format(side="b")}) y USING (chunk, grp) GROUP BY chunk ORDER BY chunk"""
+#: A token belongs to the group of the first link that ends where it does or later.
+_MEMBERS = """SELECT t.chunk, t.id, l.grp FROM {side} t ASOF JOIN links l ON t.chunk = l.chunk AND t.e <= l.e ORDER BY t.chunk, t.pos"""
 
 _OVERLAPS = """SELECT a.chunk, a.pos AS a_pos, b.pos AS b_pos, a.id AS a, b.id AS b, a.s AS a_first, a.e AS a_end, b.s AS b_first, b.e AS b_end
     FROM a JOIN b ON a.chunk = b.chunk AND a.s < b.e AND b.s < a.e ORDER BY 1, 2, 3"""
@@ -80,7 +77,7 @@ class Tokenizers:
         second = [ids or [self.blank] for ids in self.second.encode(chunks, num_threads=1)]  # it gives nothing for a last blank alone
         for k, c in enumerate(chunks):
             whole = (" " + c).encode()
-            if b"".join([self.second_bytes[i] for i in second[k]]) != whole or b"".join([self.first_bytes[i] for i in first[k]]) != whole:
+            if b"".join(map(self.second_bytes.__getitem__, second[k])) != whole or b"".join(map(self.first_bytes.__getitem__, first[k])) != whole:
                 first[k] = second[k] = []
         return first, second
 
@@ -126,7 +123,7 @@ def _intervals(ids: list[list[int]], sizes: np.ndarray, first: int):
     import pyarrow as pa
 
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
+    flat = np.array(list(chain.from_iterable(ids)), np.int32)
     width = sizes[flat]
     ends = np.cumsum(width)
     begin = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(ids) else np.zeros(0, np.int64)
@@ -148,6 +145,8 @@ class Aligner:
         size = max(tokenizers.first_bytes) + 1
         self.first_sizes = np.array([len(tokenizers.first_bytes.get(i, b"")) for i in range(size)], np.int64)
         self.second_sizes = np.array([len(w) for w in tokenizers.second_bytes], np.int64)
+        self.width = max(size, len(self.second_sizes))
+        self.names = [f"{i}{mark}" for mark in ("", ";", "|", ",") for i in range(self.width)]
 
     def load(self, chunks: list[str], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Make the tables a, b and links; how many tokens each chunk has."""
@@ -161,8 +160,18 @@ class Aligner:
         got = self.db.sql("SELECT chunk, a, b FROM links ORDER BY chunk, grp").fetchnumpy()
         return got["chunk"], got["a"], got["b"]
 
-    def groups(self):
-        return self.db.sql(_GROUPS).to_arrow_table()
+    def groups(self, first: int, n: int) -> list[str]:
+        """Of each of the chunks its groups, as ids of the first and the second tokenizer: ``a1,a2|b1;a3|b2``."""
+        parts = [self.db.sql(_MEMBERS.format(side=side)).fetchnumpy() for side in "ab"]
+        chunk, ids = (np.concatenate([np.asarray(x[c], np.int64) for x in parts]) for c in ("chunk", "id"))
+        group = np.concatenate([np.asarray(x["grp"], np.int64) for x in parts])
+        side = np.repeat([0, 1], [len(x["id"]) for x in parts])
+        order = np.lexsort((side, group, chunk))  # stable, so tokens stay in order within a group and a side
+        chunk, ids, group, side = chunk[order] - first, ids[order], group[order], side[order]
+        mark = np.where(chunk[1:] != chunk[:-1], 0, np.where(group[1:] != group[:-1], 1, np.where(side[1:] != side[:-1], 2, 3)))
+        said = list(map(self.names.__getitem__, (np.append(mark, 0) * self.width + ids).tolist()))
+        at = np.searchsorted(chunk, np.arange(n + 1)).tolist()
+        return ["".join(said[at[k] : at[k + 1]]) for k in range(n)]
 
     def overlaps(self):
         return self.db.sql(_OVERLAPS).to_arrow_table()
@@ -199,15 +208,11 @@ class _Slice:
 
     def _align(self) -> None:
         """Align the chunks that came since the last time."""
-        from itertools import islice
-
         fresh = iter(list(islice(self.number, self.done, None)))
         while chunks := list(islice(fresh, ALIGN_CHUNKS)):
             n_a, n_b = self.by.load(chunks, self.done)
             owner, a, b = self.by.links()
-            said = self.by.groups()
-            texts = dict(zip(said["chunk"].to_pylist(), said["said"].to_pylist(), strict=True))
-            self.said += [texts.get(k, "") for k in range(self.done, self.done + len(chunks))]
+            self.said += self.by.groups(self.done, len(chunks))
             for kept, new in ((self.n_a, n_a), (self.n_b, n_b), (self.owner, owner), (self.a, a), (self.b, b)):
                 kept.append(new)
             self.done += len(chunks)
