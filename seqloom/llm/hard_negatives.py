@@ -44,7 +44,7 @@ _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 def usable(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, label, q) of the rows that take part; q are the components as whole numbers."""
     x = F.col("embedding")
-    fits = F.forall(x, lambda c: F.coalesce(F.abs(F.floor(c.cast("double") * scale).cast("double")) <= _BOUND, F.lit(False)))
+    fits = F.forall(x, lambda c: F.coalesce((c.cast("double") * scale >= -_BOUND) & (c.cast("double") * scale < _BOUND + 1), F.lit(False)))  # NaN sorts above all
     q = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int"))
     some = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & fits)
     one = some.select(F.col("vec_id").cast("long").alias("vec_id"), F.struct(F.col("label").cast("long").alias("label"), q.alias("q")).alias("r"))
