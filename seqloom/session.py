@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,3 +42,8 @@ def written(df: DataFrame, what: str = "t") -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/seqloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spelled(uri: str) -> str:
+    """A file's URI as ``_metadata.file_path`` spells it; ``inputFiles()`` and the file system write file:/// for file:/."""
+    return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", uri)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import schema
 from ..session import ship
+from .fastx import FASTX, fastx, fastx_pair  # noqa: F401 - readers like the others
 
 
 def lake_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -48,9 +49,6 @@ def binding(staged: str | DataFrame, spark: SparkSession | None = None) -> DataF
     return staged if isinstance(staged, DataFrame) else spark.read.parquet(staged)
 
 
-FASTX = "file string, sequence_index long, read_id string, comment string, sequence string, qual array<short>"
-
-
 def parse_fastx(lines: Iterable[str], offset: int = 33) -> Iterator[tuple]:
     """(sequence_index from 1, read_id, comment, sequence, qual or None) of FASTA or FASTQ lines, told by the first mark."""
     it = (line.rstrip("\r\n") for line in lines)
@@ -77,41 +75,6 @@ def parse_fastx(lines: Iterable[str], offset: int = 33) -> Iterator[tuple]:
             raise ValueError(f"record {n}: neither FASTA nor FASTQ")
 
 
-def fastx(spark: SparkSession, *paths: str, offset: int = 33) -> DataFrame:
-    """FASTX columns, one row per record; a file is parsed by one task (records can't be found from its middle), files in parallel. ``.gz`` is unpacked."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-
-    def parse(batches):
-        import gzip
-        import io
-
-        import pandas as pd
-
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                raw = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-                rows = []
-                for r in parse_fastx(io.TextIOWrapper(raw, "utf-8"), offset):
-                    rows.append((path, *r))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["file", "sequence_index", "read_id", "comment", "sequence", "qual"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", "sequence_index", "read_id", "comment", "sequence", "qual"])
-
-    return files.mapInPandas(parse, FASTX)
-
-
-def fastx_pair(spark: SparkSession, one: str, two: str | None = None, offset: int = 33) -> DataFrame:
-    """sequence_index, read_id, comment, sequence1, qual1, sequence2, qual2; without a second file the mates are null."""
-    a = fastx(spark, one, offset=offset).select("sequence_index", "read_id", "comment", F.col("sequence").alias("sequence1"), F.col("qual").alias("qual1"))
-    if two is None:
-        return a.withColumn("sequence2", F.lit(None).cast("string")).withColumn("qual2", F.lit(None).cast("array<short>"))
-    b = fastx(spark, two, offset=offset).select("sequence_index", F.col("sequence").alias("sequence2"), F.col("qual").alias("qual2"))
-    return a.join(b, "sequence_index", "left")
-
-
 def sam(spark: SparkSession, *paths: str) -> DataFrame:
     """Alignment lines of SAM text: half-open positions, tags by name."""
     lines = spark.read.text(list(paths)).where(~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
