@@ -66,15 +66,24 @@ def block(table: DataFrame, members: Sequence[tuple[int, int, int]], owner: str,
     """
     if not members:
         raise SliceError("no members")
-    owners = sorted({m[0] for m in members})
+    inside = block_condition(members, owner, at)
+    if inside is not None:
+        return table.where(inside)
     coarse = F.col(at).between(min(m[1] for m in members), max(m[2] for m in members))
-    if len(members) <= MAX_PREDICATE_MEMBERS:
-        exact = reduce(Column.__or__, [(F.col(owner) == o) & F.col(at).between(a, b) for o, a, b in members])
-        return table.where(F.col(owner).isin(owners) & coarse & exact)
     listed = table.sparkSession.createDataFrame(merged_members(members), f"{owner} long, __first long, __last long")
     return block_join(table.where(coarse), listed, owner, at, "__first", "__last").drop("__first", "__last")
 
 
+def block_condition(members: Sequence[tuple[int, int, int]], owner: str, at: str) -> Column | None:
+    """Whether a row lies in a member, coarse bounds first; None if there are too many members for a predicate."""
+    if len(members) > MAX_PREDICATE_MEMBERS:
+        return None
+    owners = sorted({m[0] for m in members})
+    coarse = F.col(at).between(min(m[1] for m in members), max(m[2] for m in members))
+    exact = reduce(Column.__or__, [(F.col(owner) == o) & F.col(at).between(a, b) for o, a, b in members])
+    return F.col(owner).isin(owners) & coarse & exact
+
+
 def merged_members(members: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The members with those of an owner that overlap or touch as one, so that a join meets each row once."""
     out: list[tuple[int, int, int]] = []
