@@ -100,6 +100,35 @@ def block_join(table: DataFrame, members: DataFrame, owner: str, at: str, first:
     return table.join(members, owner).where(F.col(at).between(F.col(first), F.col(last)))
 
 
+#: Cells that a member covers on average, and cells of an owner at least; owners whose widths are broadcast.
+CELLS_PER_MEMBER, LEAST_CELLS, MAX_BROADCAST_OWNERS = 4, 16, 100_000
+
+
+def interval_cells(table: DataFrame, members: DataFrame, owner: str, at: str, first: str, last: str) -> tuple[DataFrame, DataFrame]:
+    """``table`` with the cell of each row, and ``members`` with a row for each cell that they reach; see ``interval_join``."""
+    names = [c for c in members.columns if c != owner]
+    some = members.where(F.col(owner).isNotNull() & (F.col(first) <= F.col(last)))
+    length = F.col(last).cast("double") - F.col(first) + 1
+    width = some.groupBy(owner).agg(F.greatest(F.lit(1), F.ceil(F.sum(length) / (CELLS_PER_MEMBER * F.greatest(F.count(F.lit(1)), F.lit(LEAST_CELLS))))).cast("long").alias("__width"))
+    few = width.limit(MAX_BROADCAST_OWNERS + 1).count() <= MAX_BROADCAST_OWNERS
+    width = F.broadcast(width) if few else width
+    cell = lambda c: F.expr(f"`{c}` div __width - IF(`{c}` % __width < 0, 1, 0)")  # noqa: E731  rounded down, for positions of any size
+    cut = some.join(width, owner).withColumn("__cell", F.explode(F.sequence(cell(first), cell(last)))).select(owner, "__cell", *names)
+    return table.join(width, owner).withColumn("__cell", cell(at)).drop("__width"), cut
+
+
+def interval_join(table: DataFrame, members: DataFrame, owner: str, at: str, first: str, last: str) -> DataFrame:
+    """Rows of ``table`` with each member (owner, first, last; both ends inclusive) that contains them; members may overlap.
+
+    An owner's positions are cut into cells of one width, chosen so that its members cover CELLS_PER_MEMBER cells
+    on average, however their lengths differ: so members become at most 2 + CELLS_PER_MEMBER rows each on average (LEAST_CELLS times
+    that for an owner of one), a row meets only members that reach its cell, and an owner that holds
+    most rows is as many keys of the join as it has cells.
+    """
+    rows, cut = interval_cells(table, members, owner, at, first, last)
+    return rows.join(cut, [owner, "__cell"]).where(F.col(at).between(F.col(first), F.col(last))).drop("__cell")
+
+
 def excluded(table: DataFrame, exclusion: DataFrame, key: str = "feature_idx") -> DataFrame:
     """Policy view: rows whose key isn't on the blocklist. Spark broadcasts the list if its size allows."""
     return table.join(exclusion.select(key).distinct(), key, "left_anti")

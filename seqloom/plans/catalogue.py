@@ -68,6 +68,15 @@ def block_range_join(spark, sf):
     return slices.block_join(t(spark, sf, "lineitem"), members, "l_suppkey", "l_orderkey", "a", "b").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
+@query("""SELECT l.l_orderkey, l.l_linenumber, p.p_partkey FROM lineitem l JOIN part p ON l.l_suppkey = p.p_partkey % 9 + 1
+          AND l.l_orderkey BETWEEN p.p_partkey * 3 AND p.p_partkey * 3 + p.p_size * p.p_size * p.p_size""")
+def interval_join(spark, sf):
+    """Members that overlap, of very different lengths, all of nine owners."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    members = t(spark, sf, "part").select((key % 9 + 1).alias("l_suppkey"), (key * 3).alias("a"), (key * 3 + size * size * size).alias("b"), "p_partkey")
+    return slices.interval_join(t(spark, sf, "lineitem"), members, "l_suppkey", "l_orderkey", "a", "b").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
 # views -------------------------------------------------------------------------------------------
 
 

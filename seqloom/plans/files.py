@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
 from ..session import shared_dir
 from ..sources import readers, sinks
+from ..sources.lake import Lake
 from ..streaming import ingest
 from .catalogue import query, t
 
@@ -160,6 +162,79 @@ def multi_part_sink(spark, sf):
     return each.agg(F.sum("n").alias("row_count"), F.count_if(F.col("cost") > 2000).alias("over_budget"))
 
 
+_LINE = "l_orderkey || '.' || l_linenumber"
+
+
+def _line_name():
+    return F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS sequence_index, {_LINE} AS read_id, {_BASES.format(_LINE)} AS sequence, CAST(31 + l_linenumber % 2 * 9 AS SMALLINT) AS quality
+           FROM lineitem""")
+def fastq_ranges(spark, sf):
+    """Lines of orders as reads of one file that is read in byte ranges; all qualities of a read are @ or all are I, so many lines begin like headers."""
+    at = _at(spark, "reads")
+    qual = F.array_repeat((F.col("l_linenumber") % 2 * 9 + 31).cast("short"), 32)
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _line_name().alias("read_id"), _bases(_line_name()).alias("sequence1"), qual.alias("qual1"))
+    sinks.fastq(rows.coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber"), at)
+    return readers.fastx(spark, at).select("sequence_index", "read_id", "sequence", F.array_max("qual").alias("quality"))
+
+
+@query(f"""SELECT {_LINE} AS name, 'o' || l_orderkey AS parent, l_linenumber + 0.5::DOUBLE AS branch_length, true AS is_tip FROM lineitem
+           UNION ALL SELECT 'o' || l_orderkey, 'root', count(*) + 0.25::DOUBLE, false FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'end', 'root', 1::DOUBLE, true UNION ALL SELECT 'root', NULL, NULL, false""")
+def newick_ranges(spark, sf):
+    """A tree of orders and their lines in one file, cut at commas."""
+    at = _at(spark, "tree")
+    tip = F.concat(_line_name(), F.format_string(":%.1f", F.col("l_linenumber") + 0.5))
+    clades = t(spark, sf, "lineitem").select("l_orderkey", tip.alias("tip")).groupBy("l_orderkey").agg(F.concat(F.lit("("), F.array_join(F.collect_list("tip"), ","), F.format_string(")o%d:%.2f", "l_orderkey", F.count(F.lit(1)) + 0.25)).alias("value"))
+    head = clades.agg(F.min("l_orderkey").alias("least"))  # one row
+    opened = clades.join(F.broadcast(head), F.col("l_orderkey") == F.col("least"), "left").select("l_orderkey", F.when(F.col("least").isNotNull(), F.concat(F.lit("("), "value")).otherwise(F.col("value")).alias("value"))
+    last = spark.range(1).select(F.lit(2**62).alias("l_orderkey"), F.lit("end:1)root;").alias("value"))
+    opened.union(last).coalesce(1).sortWithinPartitions("l_orderkey").select("value").write.option("lineSep", ",").text(at)
+    tree = readers.newick(spark, at)
+    above = tree.select(F.col("node_index").alias("parent_index"), F.col("name").alias("parent"))
+    return tree.join(above, "parent_index", "left").select("name", "parent", "branch_length", "is_tip")
+
+
+@query(f"""SELECT 'p' || p_partkey AS read_id, {_BASES.format("p_name")} AS sequence1, CASE WHEN p_partkey % 3 > 0 THEN {_BASES.format("p_brand")} END AS sequence2,
+                  CAST(40 AS SMALLINT) AS first_quality, CAST(CASE WHEN p_partkey % 3 > 0 THEN 30 END AS SMALLINT) AS last_quality, 3 AS both_tags FROM part""")
+def sam_mates(spark, sf):
+    """Parts as single reads and pairs, the second mates aligned to the reverse strand and so turned in the file; tags differ in case only."""
+    at = _at(spark, "mates")
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    line = lambda flags, seq, qual: F.concat_ws("\t", name, F.lit(str(flags)), F.lit("c\t5\t60\t32=\t*\t0\t0"), seq, qual, F.lit("XS:i:1\txs:i:2")).alias("value")
+    rows, paired = t(spark, sf, "part"), F.col("p_partkey") % 3 > 0
+    own, mate, quality = _bases(F.col("p_name")), reverse_complement(_bases(F.col("p_brand"))), F.lit("I" + "?" * 31)
+    rows.where(~paired).select(line(0, own, quality)).union(rows.where(paired).select(line(65, own, quality))).union(rows.where(paired).select(line(145, mate, F.reverse(quality)))).write.text(at)
+    tags = readers.sam(spark, at).where("flags < 128").select("read_id", (F.col("tags")["XS"].cast("int") + F.col("tags")["xs"].cast("int")).alias("both_tags"))
+    got = readers.sam_reads(spark, at).join(tags, "read_id")
+    return got.select("read_id", "sequence1", "sequence2", F.get("qual1", F.lit(0)).alias("first_quality"), F.get("qual2", F.lit(31)).alias("last_quality"), "both_tags")
+
+
+@query("SELECT 'part' || p_partkey AS id, p_brand || ',' || p_type AS notes, p_name || ';' || p_size AS name FROM part")
+def gff3_attributes(spark, sf):
+    """Features with an attribute that comes twice and one whose value holds an escaped semicolon."""
+    at = _at(spark, "gff")
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("c\town\tgene\t1\t9\t.\t+\t.\tID=part"), text("p_partkey"), F.lit(";Note="), "p_brand", F.lit(";Name="), "p_name", F.lit("%3B"), text("p_size"), F.lit(";Note="), "p_type")
+    t(spark, sf, "part").select(line.alias("value")).write.text(at)
+    of = readers.gff(spark, at, decode=True).select("attributes")
+    return of.select(*[F.col("attributes")[k].alias(n) for k, n in (("ID", "id"), ("Note", "notes"), ("Name", "name"))])
+
+
+@query("""SELECT l_suppkey AS prep_sample_idx, l_orderkey * 8 + l_linenumber AS sequence_idx FROM lineitem
+          WHERE l_suppkey = 3 AND l_orderkey * 8 + l_linenumber BETWEEN 100 AND 90000 OR l_suppkey = 7 OR l_suppkey = 9 AND l_orderkey * 8 + l_linenumber <= 40000""")
+def lake_block_read(spark, sf):
+    """A block of three samples from a lake whose files hold ranges of samples: only files that meet it are opened."""
+    lake = Lake(spark, _at(spark, "lake"))
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = t(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("prep_sample_idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sequence_idx"), _line_name().alias("read_id"), _bases(_line_name()).alias("sequence1"),
+        null("array<short>").alias("qual1"), null("string").alias("sequence2"), null("array<short>").alias("qual2"))
+    lake.append({"read": rows.repartitionByRange(8, "prep_sample_idx", "sequence_idx")})
+    return lake.read_block("read", [(3, 100, 90_000), (7, 0, 1 << 60), (9, 0, 40_000)]).select("prep_sample_idx", "sequence_idx")
+
+
 @query("SELECT event_id, user_id FROM events")
 def stream_ingest(spark, sf):
     """Events that arrive in two lots, half of them in both; each key is taken in once."""

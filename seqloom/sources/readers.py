@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import schema
-from ..session import ship
+from ..functions.sequence import reverse_complement
 from .fastx import FASTX, fastx, fastx_pair  # noqa: F401 - readers like the others
+from .newick import NEWICK, newick  # noqa: F401
 
 
 def lake_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -81,36 +82,68 @@ def sam(spark: SparkSession, *paths: str) -> DataFrame:
     f = F.split("value", "\t")
     spans = F.regexp_extract_all(f[5], F.lit("([0-9]+)[MDN=X]"), F.lit(1))
     length = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.lower(F.substring(t, 1, 2)), F.substr(t, F.lit(6)))))
+    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), F.substr(t, F.lit(6)))))
     return lines.select(
         f[0].alias("read_id"), f[1].cast("int").alias("flags"), F.nullif(f[2], F.lit("*")).alias("reference"), f[3].cast("long").alias("position"), (f[3].cast("long") + length).alias("stop_position"),
         f[4].cast("short").alias("mapq"), f[5].alias("cigar"), f[6].alias("mate_reference"), f[7].cast("long").alias("mate_position"), f[8].cast("long").alias("template_length"), F.nullif(f[9], F.lit("*")).alias("sequence"), F.nullif(f[10], F.lit("*")).alias("quality"), tags.alias("tags"))
 
 
-def sam_reads(spark: SparkSession, *paths: str) -> DataFrame:
-    """Primary lines as reads."""
-    rows = sam(spark, *paths).where(F.col("flags").bitwiseAND(2304) == 0)
-    return rows.select("read_id", F.col("sequence").alias("sequence1"), F.transform(F.split("quality", ""), lambda c: (F.ascii(c) - 33).cast("short")).alias("qual1"))
+def as_sequenced(rows: DataFrame) -> DataFrame:
+    """Primary lines of ``sam`` with sequence and quality in the sequencer's direction: those of the reverse strand are turned back."""
+    turned = F.col("flags").bitwiseAND(16) != 0
+    primary = rows.where(F.col("flags").bitwiseAND(2304) == 0)
+    return primary.withColumns({"sequence": F.when(turned, reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")), "quality": F.when(turned, F.reverse("quality")).otherwise(F.col("quality"))})
 
 
-def gff(spark: SparkSession, *paths: str) -> DataFrame:
+def sam_reads(spark: SparkSession, *paths: str, unaligned: bool = False) -> DataFrame:
+    """read_id, sequence1, qual1, sequence2, qual2 of the primary lines, as the sequencer gave them; mates are one row.
+
+    A mate without the other, or two of a kind, fails the job. Single reads stay as they are, without a shuffle. With
+    ``unaligned``, for reads that are taken in before they are aligned, an aligned line and a repeated read_id fail it too.
+    """
+    bit = lambda n: F.col("flags").bitwiseAND(n) != 0
+    name = F.when(~bit(4), F.raise_error(F.concat(F.lit("aligned line of "), "read_id"))).otherwise(F.col("read_id")) if unaligned else F.col("read_id")
+    mate = F.when(bit(1) & bit(128), 2).when(bit(1) & bit(64), 1).otherwise(0)
+    qual = F.transform(F.split("quality", ""), lambda c: (F.ascii(c) - 33).cast("short"))
+    lines = as_sequenced(sam(spark, *paths)).select(name.alias("read_id"), mate.alias("mate"), "sequence", qual.alias("qual"))
+    pick = lambda second, c: F.max(F.when((F.col("mate") == 2) == second, F.struct(c))).getField(c)
+    if unaligned:
+        grouped, rest = lines, None
+    else:
+        alone = F.col("mate") == 0
+        grouped, rest = lines.where(~alone), lines.where(alone).select("read_id", F.col("sequence").alias("sequence1"), F.col("qual").alias("qual1"), F.lit(None).cast("string").alias("sequence2"), F.lit(None).cast("array<short>").alias("qual2"))
+    own = grouped.groupBy("read_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("mate") == 1).alias("first"), F.count_if(F.col("mate") == 2).alias("second"),
+        pick(False, "sequence").alias("sequence1"), pick(False, "qual").alias("qual1"), pick(True, "sequence").alias("sequence2"), pick(True, "qual").alias("qual2"))
+    fits = (F.col("first") == F.col("second")) & ((F.col("n") == 1) & (F.col("first") == 0) | (F.col("n") == 2) & (F.col("first") == 1))
+    checked = F.when(fits, F.col("read_id")).otherwise(F.raise_error(F.format_string("%s: %d lines, %d first and %d second mates", "read_id", "n", "first", "second")))
+    out = own.select(checked.alias("read_id"), "sequence1", "qual1", "sequence2", "qual2")
+    return out if rest is None else rest.union(out)
+
+
+def gff(spark: SparkSession, *paths: str, decode: bool = False) -> DataFrame:
     """Features of GFF3: position to stop_position half-open, attributes as a map.
 
+    An attribute that comes again adds its values after a comma, which is how GFF3 writes several. ``decode`` turns %XX
+    in names and values into characters. A feature without all of the first eight columns fails the job.
+
     Lines are read apart, so a large file is many tasks: those with tabs that don't begin with ``#`` or ``>`` are features, so directives and a FASTA part are none.
     """
     rows = spark.read.text(list(paths)).select(F.rtrim("value", F.lit("\r")).alias("l")).where("instr(l, '\t') > 0 and not startswith(l, '#') and not startswith(l, '>')")
-    f = F.split("l", "\t")
+    f = F.split(F.when(F.size(F.split("l", "\t")) >= 8, F.col("l")).otherwise(F.raise_error(F.concat(F.lit("not a whole feature: "), "l"))), "\t")
     some = lambda c: F.nullif(c, F.lit("."))
-    entries = F.filter(F.split(f[8], ";"), lambda x: F.instr(x, "=") > 0)
-    attributes = F.map_from_entries(F.transform(entries, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))))
+    entries = F.filter(F.split(F.coalesce(F.get(f, F.lit(8)), F.lit("")), ";"), lambda x: F.instr(x, "=") > 0)
+    plain = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x) if decode else x  # noqa: E731  a plus stands for itself
+    of = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v"))
+    parts = F.transform(entries, of)
+    names = F.array_distinct(F.transform(parts, lambda p: p["k"]))
+    joined = lambda k: F.array_join(F.transform(F.filter(parts, lambda p: p["k"] == k), lambda p: p["v"]), ",")
+    attributes = F.map_from_entries(F.transform(names, lambda k: F.struct(plain(k), plain(joined(k)))))
     return rows.select(
         f[0].alias("seqid"), f[1].alias("source"), f[2].alias("type"), f[3].cast("long").alias("position"), (f[4].cast("long") + 1).alias("stop_position"),
         some(f[5]).cast("double").alias("score"), some(f[6]).alias("strand"), some(f[7]).cast("short").alias("phase"), attributes.alias("attributes"))
 
 
-NEWICK = "node_index long, name string, branch_length double, edge_id long, parent_index long, is_tip boolean"
-
-
 def parse_newick(text: str) -> list[tuple]:
     """Rows of NEWICK, nodes numbered in the order in which they are met; the root's parent is None. ``{n}`` after a branch is its edge."""
     rows: list[list] = []
@@ -163,20 +196,6 @@ def parse_newick(text: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def newick(spark: SparkSession, path: str) -> DataFrame:
-    ship(spark)
-    files = spark.read.text(path, wholetext=True)
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for text in pdf["value"]:
-                yield pd.DataFrame(parse_newick(text), columns=["node_index", "name", "branch_length", "edge_id", "parent_index", "is_tip"]).astype({"edge_id": "Int64", "parent_index": "Int64"})
-
-    return files.mapInPandas(parse, NEWICK)
-
-
 def jplace(spark: SparkSession, *paths: str) -> DataFrame:
     """fragment, edge_num, likelihood, like_weight_ratio, distal_length, pendant_length: a row for each placement and name; fields are placed by the file's own list."""
     spec = "fields array<string>, placements array<struct<p:array<array<double>>,n:array<string>,nm:array<array<string>>>>"

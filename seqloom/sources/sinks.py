@@ -22,9 +22,11 @@ def quality_text(qual: Column, offset: int = 33) -> Column:
 
 
 def fastq(df: DataFrame, path: str, mate: int = 1, gzip: bool = False) -> None:
-    """Four lines a record; records without that mate are left out."""
-    record = F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), f"sequence{mate}", F.lit("+"), quality_text(F.col(f"qual{mate}")))
-    rows = df.where(F.col(f"sequence{mate}").isNotNull()).select(record.alias("value"))
+    """Four lines a record; records without that mate are left out. Qualities that are null, or not as many as bases, fail the job."""
+    seq, qual = F.col(f"sequence{mate}"), F.col(f"qual{mate}")
+    bad = F.raise_error(F.concat(F.lit("qualities don't fit the sequence of "), F.coalesce("read_id", F.lit("a read without read_id"))))
+    text = F.when(qual.isNotNull() & (F.size(qual) == F.length(seq)) & F.col("read_id").isNotNull(), quality_text(qual)).otherwise(bad)
+    rows = df.where(seq.isNotNull()).select(F.concat(F.lit("@"), "read_id", F.lit("\n"), seq, F.lit("\n+\n"), text).alias("value"))
     rows.write.option("compression", "gzip" if gzip else "none").text(path)
 
 
@@ -38,8 +40,9 @@ def fastq_pair(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def fasta(df: DataFrame, path: str, name: str = "accession", gzip: bool = False) -> None:
-    """Columns feature_idx, sequence and ``name``; a record without a name is called feature_<index>."""
-    record = F.concat(F.lit(">"), F.coalesce(F.col(name), F.concat(F.lit("feature_"), F.col("feature_idx").cast("string"))), F.lit("\n"), F.col("sequence"))
+    """Columns feature_idx, sequence and ``name``; a record without a name is called feature_<index>. A null sequence fails the job."""
+    bases = F.coalesce("sequence", F.raise_error(F.concat(F.lit("no sequence: feature "), F.coalesce(F.col("feature_idx").cast("string"), F.lit("without index")))))
+    record = F.concat(F.lit(">"), F.coalesce(F.col(name), F.concat(F.lit("feature_"), F.col("feature_idx").cast("string"))), F.lit("\n"), bases)
     df.select(record.alias("value")).write.option("compression", "gzip" if gzip else "none").text(path)
 
 

@@ -58,16 +58,55 @@ def test_jplace(spark, tmp_path):
 def test_sam_tags_are_whole(spark, tmp_path):
     (tmp_path / "x.sam").write_text("r1\t0\tc\t10\t60\t2=\t*\t0\t0\tAC\tII\tMD:Z:" + "A" * ((1 << 20) + 9) + "\tNM:i:1\tCO:Z:\n")
     tags = readers.sam(spark, str(tmp_path / "x.sam")).first()["tags"]
-    assert len(tags["md"]) == (1 << 20) + 9 and tags["nm"] == "1" and tags["co"] == ""
+    assert len(tags["MD"]) == (1 << 20) + 9 and tags["NM"] == "1" and tags["CO"] == ""
 
 
 def test_sam(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\nr1\t0\tc\t10\t60\t3=1I2=\t*\t0\t0\tACGTAC\tIIIIII\tNM:i:1\tAS:i:-3\n")
     r = readers.sam(spark, str(tmp_path / "x.sam")).first()
-    assert (r["position"], r["stop_position"], r["tags"]["nm"], r["mate_reference"]) == (10, 15, "1", "*")
+    assert (r["position"], r["stop_position"], r["tags"]["NM"], r["mate_reference"]) == (10, 15, "1", "*")
     assert readers.sam_reads(spark, str(tmp_path / "x.sam")).first()["qual1"] == [40] * 6
 
 
+def test_sam_reads(spark, tmp_path):
+    """Mates meet, reverse strands are turned back, tags keep their case, repeats and aligned reads can be refused."""
+
+    def written(*lines):
+        (tmp_path / "m.sam").write_text("".join(f"{n}\t{f}\tc\t5\t60\t4=\t*\t0\t0\t{s}\t{q}\tXS:i:1\txs:i:2\n" for n, f, s, q in lines))
+        return str(tmp_path / "m.sam")
+
+    at = written(("a", 65, "AACG", "IIII"), ("a", 145, "AACC", "I???"), ("b", 16, "AACC", "I???"), ("b", 256, "GG", "II"), ("c", 4, "ACGT", "IIII"))
+    got = {r["read_id"]: tuple(r)[1:] for r in readers.sam_reads(spark, at).collect()}
+    assert got == {"a": ("AACG", [40] * 4, "GGTT", [30, 30, 30, 40]), "b": ("GGTT", [30, 30, 30, 40], None, None), "c": ("ACGT", [40] * 4, None, None)}
+    assert readers.sam(spark, at).first()["tags"] == {"XS": "1", "xs": "2"}
+    with pytest.raises(Exception, match="aligned"):
+        readers.sam_reads(spark, at, unaligned=True).collect()
+    assert [tuple(r)[::2] for r in readers.sam_reads(spark, written(("a", 77, "AC", "II"), ("a", 141, "GT", "II")), unaligned=True).collect()] == [("a", [40, 40], [40, 40])]
+    for bad in ([("a", 4, "A", "I")] * 2, [("a", 77, "A", "I")], [("a", 77, "A", "I")] * 2):
+        with pytest.raises(Exception, match="mates"):
+            readers.sam_reads(spark, written(*bad), unaligned=True).collect()
+
+
+def test_gff_attributes(spark, tmp_path):
+    (tmp_path / "x.gff").write_text("c\tp\tCDS\t5\t10\t.\t+\t0\tID=a;Note=x%3By+z;Note=q;empty=;junk\nc\tp\tCDS\t5\t10\t.\t+\t0\n")
+    at = str(tmp_path / "x.gff")
+    assert [r["attributes"] for r in readers.gff(spark, at).collect()] == [{"ID": "a", "Note": "x%3By+z,q", "empty": ""}, {}]
+    assert readers.gff(spark, at, decode=True).first()["attributes"]["Note"] == "x;y+z,q"
+    (tmp_path / "y.gff").write_text("c\tp\tCDS\t5\n")
+    with pytest.raises(Exception, match="not a whole feature"):
+        readers.gff(spark, str(tmp_path / "y.gff")).collect()
+
+
+def test_sinks_refuse_what_readers_would(spark, tmp_path):
+    reads = spark.createDataFrame([("a", "ACG", [30, 30, 30]), ("b", "ACG", None)], "read_id string, sequence1 string, qual1 array<short>")
+    with pytest.raises(Exception, match="qualities"):
+        sinks.fastq(reads, str(tmp_path / "q1"))
+    with pytest.raises(Exception, match="qualities"):
+        sinks.fastq(reads.withColumn("qual1", F.array(F.lit(3).cast("short"))), str(tmp_path / "q2"))
+    with pytest.raises(Exception, match="no sequence"):
+        sinks.fasta(spark.createDataFrame([(1, None, None)], "feature_idx long, accession string, sequence string"), str(tmp_path / "f"))
+
+
 def test_blob(spark):
     df = spark.createDataFrame([(1, "b"), (0, "a"), (2, "c")], "chunk_index int, chunk_data string")
     assert readers.blob(df).first()["data"] == "abc"
