@@ -32,9 +32,9 @@ from .bpe import PATTERN
 from .common import drop_kept, keep, ship
 
 #: A slice of documents ends once it has so many different chunks or so many in all.
-SLICE_CHUNKS, SLICE_TOTAL = 300_000, 4_000_000
+SLICE_CHUNKS, SLICE_TOTAL = 200_000, 3_000_000
 #: Chunks whose tokens DuckDB takes together.
-ALIGN_CHUNKS = 50_000
+ALIGN_CHUNKS = 25_000
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
 
@@ -286,6 +286,7 @@ def sliced(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
                 if now.full():
                     yield from now.rows()
                     now = _Slice(aligner)
+                    release()
         if now.docs:
             yield from now.rows()
         release()
