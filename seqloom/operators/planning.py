@@ -45,7 +45,8 @@ def parts_by_budget(rows: DataFrame, key: str, cost: str, budget: int) -> DataFr
     laid = dense_numbers(running(summed, key, F.col("__c"), "__end"), key, "__n")
     laid = written(laid.select(key, F.col("__n").alias("n"), (F.col("__end") - F.col("__c")).alias("begin"), F.col("__end").alias("end")), "laid")
     cover = laid.where("end > begin").select(F.col("n").alias("m"), F.col("begin").alias("b"), F.col("end").alias("e"))
-    cover = cover.withColumn("cell", F.explode(F.sequence(F.expr(f"b div {budget}"), F.expr(f"(e - 1) div {budget}"))))
+    # keys that come before begin no later, so none asks beyond b + budget: a dear key is three cells at most
+    cover = cover.withColumn("cell", F.explode(F.sequence(F.expr(f"b div {budget}"), F.expr(f"least(e - 1, b + {budget}) div {budget}"))))
     ask = laid.select("n", (F.col("begin") + budget).alias("at")).withColumn("cell", F.expr(f"at div {budget}"))
     jump = written(ask.join(cover, "cell").where("b <= at and at < e").select("n", F.greatest("m", F.col("n") + 1).alias("m")), "jumps")
     jump = jump.join(laid.select(F.col("n").alias("m")), "m", "left_semi").select("n", "m")  # a dear last key has no next one

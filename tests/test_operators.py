@@ -352,6 +352,8 @@ def test_planners(spark):
             full += c
             want.append((i, part))
         assert rows(planning.parts_by_budget(df, "k", "c", budget)) == want
+    dear = spark.createDataFrame([(1, 4), (2, 5), (3, 10**12), (4, 3), (5, 3 * 10**8), (6, 10**12), (7, 6), (8, 5)], "k long, c long")
+    assert rows(planning.parts_by_budget(dear, "k", "c", 10)) == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 3), (6, 4), (7, 5), (8, 6)]
     packed = planning.parts_by_budget(spark.range(100).withColumn("c", F.col("id") % 10), "id", "c", 20)
     full = {}
     for k, p in rows(packed):
