@@ -398,7 +398,7 @@ def genome_breadth(spark, sf):
 
 @query(f"WITH {_ISLANDS} SELECT g AS genome_idx, p AS position, q AS stop_position FROM i")
 def compress_intervals(spark, sf):
-    return coverage.islands(_spans(spark, sf), ["genome_idx"])
+    return coverage.islands(_spans(spark, sf), ["genome_idx"], width=1000)  # spans of some 5,000 positions, so that borders are met
 
 
 @query("""WITH s AS (SELECT user_id AS g, event_id * 37 % 5000 AS p, event_id * 37 % 5000 + event_id % 90 + 10 AS q FROM events),
@@ -406,7 +406,7 @@ def compress_intervals(spark, sf):
           r AS (SELECT g, x, sum(d) OVER (PARTITION BY g ORDER BY x ROWS UNBOUNDED PRECEDING) AS depth, lead(x) OVER (PARTITION BY g ORDER BY x) AS y FROM e)
           SELECT g AS genome_idx, x AS position, y AS stop_position, CAST(depth AS BIGINT) AS depth FROM r WHERE depth > 0""")
 def coverage_depth(spark, sf):
-    return coverage.depth(_spans(spark, sf), ["genome_idx"])
+    return coverage.depth(_spans(spark, sf), ["genome_idx"], width=1000)
 
 
 @query("""WITH x AS (SELECT p_partkey AS f FROM part WHERE p_size = 1),
