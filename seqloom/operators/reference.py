@@ -144,6 +144,79 @@ def representative(rows: DataFrame, by: str, value: str, order: str) -> DataFram
     return rows.groupBy(by).agg(F.min_by(value, F.when(F.col(value) != "", F.col(order))).alias(value))
 
 
+#: Bytes of digests that are handed on as one row.
+PACK_BYTES = 1 << 13
+
+
 def set_digest(rows: DataFrame, by: str, digest: str) -> DataFrame:
-    """SHA-256 over a group's sorted digests (hex), so that equal sets have equal digests."""
-    return rows.groupBy(by).agg(F.sha2(F.unhex(F.array_join(F.array_sort(F.collect_set(digest)), "")), 256).alias("set_digest"))
+    """SHA-256 over a group's sorted distinct digests (hex), so that equal sets have equal digests.
+
+    Groups are sorted in ranges over all tasks, which pack runs of some ``PACK_BYTES``; then one state for
+    a group is fed its runs in order, so that memory doesn't grow with a group and a set of 50 million digests is some 200,000
+    rows for its task. Null digests count for nothing (a group of nothing else has the digest of no bytes); one that isn't hex fails the job.
+    """
+    from ..session import ship
+
+    ship(rows.sparkSession)
+    raw = F.when(F.col("__d").isNotNull(), F.coalesce(F.unhex("__d"), F.raise_error(F.concat(F.lit("not hex: "), F.col("__d"))).cast("binary")))
+    each = rows.select(F.col(by).alias("__by"), F.col(digest).alias("__d")).distinct()
+    ranged = each.repartitionByRange("__by", "__d").sortWithinPartitions("__by", "__d").select("__by", "__d", raw.alias("__raw"))
+    kind = rows.schema[by].dataType.simpleString()
+    packs = ranged.mapInArrow(_packed, f"`__by` {kind}, `__d` string, `__raw` binary")
+    fed = packs.repartition("__by").sortWithinPartitions("__by", "__d").mapInArrow(_fed, f"`__by` {kind}, set_digest string")
+    return fed.withColumnRenamed("__by", by)
+
+
+def _runs(by):
+    """(first, end) of each run of equal values of an Arrow column; nulls are equal to each other."""
+    import pyarrow.compute as pc
+
+    n = len(by)
+    if not n:
+        return
+    a, b = by.slice(1), by.slice(0, n - 1)
+    differs = pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.xor(pc.is_null(a), pc.is_null(b)), pc.not_equal(a, b))
+    cuts = [0, *(pc.indices_nonzero(differs).to_numpy() + 1).tolist(), n]
+    yield from zip(cuts, cuts[1:])
+
+
+def _packed(batches):
+    """Runs of one group's digests, each as one value beside its least digest, which keeps their order."""
+    import pyarrow as pa
+
+    for batch in batches:
+        by, digest, raw = batch.columns
+        out = []
+        for first, end in _runs(by):
+            step = max(1, PACK_BYTES * (end - first) // max(1, raw.slice(first, end - first).nbytes))
+            for at in range(first, end, step):
+                n = min(step, end - at)
+                out.append((at, b"".join(x for x in raw.slice(at, n).to_pylist() if x is not None)))
+        if out:
+            places = pa.array([at for at, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([by.take(places), digest.take(places), pa.array([x for _, x in out], pa.binary())], ["__by", "__d", "__raw"])
+
+
+def _fed(batches):
+    """A group's packs in order through one state."""
+    import hashlib
+
+    import pyarrow as pa
+
+    state = group = None
+    for batch in batches:
+        by, _, raw = batch.columns
+        done = []
+        for first, end in _runs(by):
+            here = by.slice(first, 1)
+            if state is not None and not here.equals(group):
+                done.append((group, state.hexdigest()))
+                state = None
+            if state is None:
+                state, group = hashlib.sha256(), here
+            for at in range(first, end):
+                state.update(raw[at].as_py())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([g for g, _ in done]), pa.array([x for _, x in done])], ["__by", "set_digest"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([group, pa.array([state.hexdigest()])], ["__by", "set_digest"])

@@ -1 +1 @@
-from . import catalogue, files, relational  # noqa: F401 - all fill catalogue.QUERIES
+from . import catalogue, changes, files, relational  # noqa: F401 - all fill catalogue.QUERIES

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from ..session import shared_dir
-from ..sources import readers, sinks
+from ..sources import arrow_io, readers, sinks
 from ..sources.lake import Lake
 from ..streaming import ingest
 from .catalogue import query, t
@@ -244,3 +244,36 @@ def stream_ingest(spark, sf):
         lot.write.mode("append").parquet(at)
         ingest.ingest(ingest.read_files(spark, at, "event_id long, user_id long"), out, mark, ["event_id"]).awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id")
+
+
+@query("""SELECT h AS start, h + INTERVAL 1 hour AS "end", event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS h, event_type FROM events)
+          WHERE h + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 hour GROUP BY h, event_type""")
+def stream_windows(spark, sf):
+    """Events by hour and kind as a stream; the hours for which no more rows are waited for."""
+    at, out, mark = (_at(spark, x) for x in ("arriving", "windows", "progress"))
+    t(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(at)
+    counts = ingest.windowed_counts(ingest.read_files(spark, at, "ts timestamp, event_type string"), "ts", "event_type")
+    ingest.finished_windows(counts, out, mark).awaitTermination()
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.schema("start timestamp, end timestamp, event_type string, n long").parquet(out).select(ntz("start"), ntz("end"), "event_type", "n")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def arrow_stream_read(spark, sf):
+    """Orders as Arrow streams, each read by a task of its own."""
+    at = _at(spark, "streams")
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    arrow_io.write_streams(rows.repartition(6, "o_orderkey"), at)
+    return arrow_io.arrow_streams(spark, rows.schema, at, rows=1000)
+
+
+@query("SELECT count(*) AS row_count, true AS same_rows, true AS same_bytes, true AS same_digest, CAST(sum(l_orderkey * l_linenumber) AS BIGINT) AS keys FROM lineitem")
+def reported_upload(spark, sf):
+    """Lines of orders written by tasks that count and hash as they write; beside a count and hash of the files."""
+    at = _at(spark, "reported")
+    told = arrow_io.reported(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), at)
+    keys = spark.read.parquet(at).agg(F.sum(F.col("l_orderkey") * F.col("l_linenumber")).alias("keys"))
+    again = sinks.receipt(spark, at).crossJoin(keys)  # one row by one row
+    return again.select(
+        "row_count", (F.col("row_count") == told["row_count"]).alias("same_rows"), (F.col("bytes") == told["bytes"]).alias("same_bytes"),
+        (F.col("sha256") == told["sha256"]).alias("same_digest"), "keys")

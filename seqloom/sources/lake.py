@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cascades import Cascade, Link
 from ..operators.slices import SliceError, block, block_condition, merged_members
 from ..schemas import DDL, empty
 from ..session import spelled
@@ -347,6 +348,19 @@ class Lake:
         own = ("reference_taxonomy", "reference_phylogeny", "reference_membership", "reference_placements", "reference_annotation")
         return self._delete({t: of_orphan for t in ("reference_sequences", "reference_sequence_chunks")} | {t: mine for t in own}, v)
 
+    def delete_graph(self, links: Sequence[Link], root: str, condition: Column) -> dict[str, int]:
+        """Delete the rows of ``root`` that meet ``condition`` and, by ``links``, those that go with them, in one change of one version; rows by table.
+
+        Rows that stay and forbid it make the change fail with nothing deleted, as does a change by another writer meanwhile. A name can't be unset here.
+        """
+        if any(x.action == "unset" for x in links):
+            raise ValueError("a delete rewrites no values")
+        v = self.version()
+        tables = {t: self.read(t, v) for t in dict.fromkeys([root, *(x for link in links for x in (link.table, link.of, *(link.via or ())[:1]))])}
+        plan = Cascade(tables, links, root, tables[root].where(condition))
+        doomed: dict = {t: (lambda rows, t=t: plan.gone(t, rows)) for t in plan.counts if t != root}
+        return self._delete(doomed | {root: condition}, v)
+
     def full_replace(self, table: str, rows: DataFrame) -> int:
         return self.replace({table: rows})[table]
 
