@@ -30,37 +30,62 @@ def _mismatches(a: np.ndarray, b: np.ndarray) -> int:
     return int((a != b).sum())
 
 
-def adapter_start(seq: bytes, adapter: bytes, least: int = 4) -> int:
-    """Where ``adapter`` begins in the 3' part of ``seq``: one mismatch for each 8 bases is allowed; the length if nowhere."""
-    s, a = np.frombuffer(seq, np.uint8), np.frombuffer(adapter, np.uint8)
-    if len(s) < least:
-        return len(s)
-    starts = len(s) - least + 1
-    off = np.zeros(starts, np.int32)  # mismatches of the bases that a start has
-    for k, base in enumerate(a):
-        on = min(starts, len(s) - k)
-        if on <= 0:
-            break
-        off[:on] += s[k : k + on] != base
-    hit = np.flatnonzero(off <= np.minimum(len(a), len(s) - np.arange(starts)) // 8)
-    return int(hit[0]) if len(hit) else len(s)
+#: Bases that are searched at once; a longer read is searched by itself.
+PART_BASES = 1 << 20
 
 
-def poly_g_start(seq: bytes, least: int = 10, mismatch_per: int = 8, most: int = 5, qual=None, max_mean_q: int = 5) -> int:
-    """Where a 3' run of G begins that has at most one other base per 8, and 5 in all; the length if the run is shorter than ``least``.
+def adapter_starts(bases: np.ndarray, begin: np.ndarray, end: np.ndarray, adapter: bytes, least: int = 4) -> np.ndarray:
+    """Where ``adapter`` begins in the 3' part of each read ``bases[begin:end]``: one mismatch for each 8 bases is allowed; the end if nowhere.
+
+    Reads follow each other in ``bases``, and an adapter may hang over a read's end.
+    """
+    a = np.frombuffer(adapter, np.uint8)
+    left = np.repeat(end, end - begin) - np.arange(len(bases))  # bases from here to the read's end
+    off = np.zeros(len(bases), np.int16)
+    for k, base in enumerate(a[: len(bases)]):
+        on = len(bases) - k
+        off[:on] += (bases[k:] != base) & (left[:on] > k)
+    hits = np.flatnonzero((left >= least) & (off <= np.minimum(len(a), left) // 8))
+    return _first(hits, begin, end)
+
+
+def _first(hits: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first of the rising ``hits`` in each [begin, end), the end if there is none."""
+    first = np.append(hits, np.iinfo(np.int64).max)[np.searchsorted(hits, begin)]
+    return np.where(first < end, first, end)
+
+
+def poly_g_starts(bases: np.ndarray, begin: np.ndarray, end: np.ndarray, quals: np.ndarray | None = None, least: int = 10, mismatch_per: int = 8, most: int = 5, max_mean_q: int = 5) -> np.ndarray:
+    """Where a 3' run of G begins in each read ``bases[begin:end]`` that has at most one other base per 8, and 5 in all; the end if the run is shorter than ``least``.
 
-    With qualities the run also has a mean of at most ``max_mean_q``: good runs of G stay.
+    With qualities the run also has a mean of at most ``max_mean_q``: good runs of G stay. What lies between two reads belongs to none.
     """
-    other, start, total = 0, len(seq), 0
-    for n, i in enumerate(range(len(seq) - 1, -1, -1), 1):
-        other += seq[i] != 0x47
-        if other > most or (other > max(1, n // mismatch_per) and n >= least):
-            break
-        if qual is not None:
-            total += int(qual[i])
-        if seq[i] == 0x47 and total <= max_mean_q * n:
-            start = i
-    return start if len(seq) - start >= least else len(seq)
+    size = end - begin
+    at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())  # the reads' places
+    ends = np.repeat(end, size)
+    is_g = bases == 0x47
+    others = np.concatenate(([0], np.cumsum(~is_g)))
+    n, other = ends - at, others[ends] - others[at]
+    stop = at[(other > most) | ((other > np.maximum(1, n // mismatch_per)) & (n >= least))]
+    run = is_g[at]
+    if quals is not None:
+        sums = np.concatenate(([0], np.cumsum(quals, dtype=np.int64)))
+        run &= sums[ends] - sums[at] <= max_mean_q * n
+    # the last place that ends the search, seen from the 3' end, then the first G behind it
+    last = np.append(stop, -1)[np.searchsorted(stop, end) - 1]
+    start = _first(at[run], np.maximum(begin, last + 1), end)
+    return np.where(end - start >= least, start, end)
+
+
+def adapter_start(seq: bytes, adapter: bytes, least: int = 4) -> int:
+    """``adapter_starts`` of one read."""
+    return int(adapter_starts(np.frombuffer(seq, np.uint8), np.array([0]), np.array([len(seq)]), adapter, least)[0])
+
+
+def poly_g_start(seq: bytes, least: int = 10, mismatch_per: int = 8, most: int = 5, qual=None, max_mean_q: int = 5) -> int:
+    """``poly_g_starts`` of one read."""
+    quals = None if qual is None else np.asarray(qual, np.int64)
+    return int(poly_g_starts(np.frombuffer(seq, np.uint8), np.array([0]), np.array([len(seq)]), quals, least, mismatch_per, most, max_mean_q)[0])
 
 
 def overlap(seq1: bytes, seq2: bytes, least: int = 30, most: int = 5, percent: int = 20) -> int | None:
@@ -82,24 +107,48 @@ def overlap(seq1: bytes, seq2: bytes, least: int = 30, most: int = 5, percent: i
     return None
 
 
+def _parts(size: np.ndarray):
+    """Ranges of rows that hold about PART_BASES together, at least one row each."""
+    total, at = np.cumsum(size), 0
+    while at < len(size):
+        until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART_BASES, "right")))
+        yield at, until
+        at = until
+
+
+def _ends(reads: list[bytes | None], quals: list, inserts: list[int | None], raw: list[bytes], poly_g: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many bases stay of each read, and whether insert or adapter cut it."""
+    size = np.array([len(r or b"") for r in reads], np.int64)
+    kept, cut = size.copy(), np.zeros(len(reads), bool)
+    for a, b in _parts(size):
+        bases = np.frombuffer(b"".join(r or b"" for r in reads[a:b]), np.uint8)
+        end = np.cumsum(size[a:b])
+        begin = end - size[a:b]
+        stay = np.minimum(end, [e if i is None else s + i for s, e, i in zip(begin, end, inserts[a:b], strict=True)])
+        for adapter in raw:
+            stay = np.minimum(stay, adapter_starts(bases, begin, end, adapter))
+        cut[a:b] = stay < end
+        if poly_g:
+            none = all(q is None for q in quals[a:b])
+            if not none and any(q is not None and len(q) != n for q, n in zip(quals[a:b], size[a:b], strict=True)):
+                raise ValueError("a read's bases and qualities differ in number")
+            flat = None if none else np.concatenate([np.zeros(n, np.int64) if q is None else np.asarray(q, np.int64) for q, n in zip(quals[a:b], size[a:b], strict=True)])
+            stay = poly_g_starts(bases, begin, stay, flat)
+        kept[a:b] = stay - begin
+    return kept, cut
+
+
 def _cuts(raw: list[bytes], poly_g: bool):
-    """A UDF: both mates and their qualities to the bases that stay of each, and the insert that their overlap tells."""
+    """A UDF: both mates and their qualities to the bases that stay of each, and the insert that their overlap tells. Reads are searched together, not one by one; only the overlap is found pair by pair."""
     @F.pandas_udf("kept1 int, kept2 int, insert int, adapter boolean")
     def cut(one: pd.Series, two: pd.Series, q1: pd.Series, q2: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, qa, qb in zip(one, two, q1, q2, strict=True):
-            a = (a or "").encode()
-            insert = overlap(a, b.encode()) if b else None
-            ends, adapter = [], False
-            for s, q in ((a, qa), (b.encode() if b else None, qb)):
-                if s is None:
-                    ends.append(None)
-                    continue
-                end = min([insert if insert is not None else len(s), *(adapter_start(s, x) for x in raw)]) if raw or insert is not None else len(s)
-                adapter |= end < len(s)
-                ends.append(min(end, poly_g_start(s[:end], qual=None if q is None else q[:end])) if poly_g else end)
-            out.append([*ends, insert, adapter])
-        return pd.DataFrame(out, columns=["kept1", "kept2", "insert", "adapter"]).astype({"kept1": "Int32", "kept2": "Int32", "insert": "Int32"})
+        a = [(x or "").encode() for x in one]
+        b = [x.encode() if x else None for x in two]
+        inserts = [overlap(x, y) if y else None for x, y in zip(a, b, strict=True)]
+        kept1, cut1 = _ends(a, list(q1), inserts, raw, poly_g)
+        kept2, cut2 = _ends(b, [q if y else None for q, y in zip(q2, b, strict=True)], inserts, raw, poly_g)
+        alone = np.array([y is None for y in b], bool)
+        return pd.DataFrame({"kept1": kept1, "kept2": pd.array(kept2, "Int32"), "insert": pd.array(inserts, "Int32"), "adapter": cut1 | cut2}).assign(kept2=lambda d: d["kept2"].mask(alone))
 
     return cut
 

@@ -235,6 +235,39 @@ def brute_overlap(a, b):
     return None
 
 
+def brute_poly_g(s, qual):
+    other, total, start = 0, 0, len(s)
+    for n in range(1, len(s) + 1):
+        at = len(s) - n
+        other += s[at] != "G"
+        if other > 5 or (n >= 10 and other > max(1, n // 8)):
+            break
+        total += 0 if qual is None else qual[at]
+        if s[at] == "G" and total <= 5 * n:
+            start = at
+    return start if len(s) - start >= 10 else len(s)
+
+
+def test_reads_searched_together_are_cut_as_each_alone(monkeypatch):
+    """Random reads with and without qualities, in one part, in many, and with the mates' ends cut before the runs of G are looked for."""
+    rng = random.Random(4)
+    tails = ["", "AGATCGGAAGAGC", "AGATC", "AGAT", "G" * 30, "GGGGGGGGTGGGGGGG", "GGTGGGGGGGGGAGGGGGGGGGCGGGGGGGG", "AGATCGGTAGAGCGGGGGGGGGGGGGG"]
+    reads = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 3, 9, 40, 300]))) + rng.choice(tails) for _ in range(400)]
+    quals = [None if rng.random() < 0.3 else [rng.choice([1, 2, 4, 6, 9, 30]) for _ in r] for r in reads]
+    inserts = [None if rng.random() < 0.5 else rng.randint(0, len(r) + 5) for r in reads]
+    for adapters in ([], ["AGATCGGAAGAGC"], ["AGATCGGAAGAGC", "TTT"]):
+        cut = [min([len(r) if i is None else min(i, len(r)), *(brute_adapter(r, x) for x in adapters)]) for r, i in zip(reads, inserts, strict=True)]
+        want = [brute_poly_g(r[:e], None if q is None else q[:e]) for r, e, q in zip(reads, cut, quals, strict=True)]
+        for size in (1, 500, 1 << 20):
+            monkeypatch.setattr(qc, "PART_BASES", size)
+            for poly_g, kept in ((False, cut), (True, want)):
+                got, short = qc._ends([r.encode() for r in reads], quals, inserts, [x.encode() for x in adapters], poly_g)
+                assert got.tolist() == kept
+                assert short.tolist() == [e < len(r) for e, r in zip(cut, reads, strict=True)]
+    with pytest.raises(ValueError, match="differ in number"):
+        qc._ends([b"ACGT"], [[1, 2]], [None], [], True)
+
+
 def test_trim_filter_reads_whole_texts(spark, tmp_path):
     rng = random.Random(1)
     adapter = "AGATCGGAAGAGC"
