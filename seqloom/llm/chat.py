@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, let
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -26,11 +26,27 @@ def assembled(turns: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # rendered as one text each, so gathered by conversation
 
+    return convs.withColumn("prefixes", rolling(F.col("turns")))
+
+
+def rolling(turns: Column) -> Column:
+    """The digest after each turn, each made of the one before and the turn.
+
+    An array grows by being copied, so turns are taken in runs of about the root of their number: each
+    run's digests grow by themselves and are put together at the end.
+    """
     def step(acc: Column, t: Column) -> Column:
-        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
-        return F.concat(acc, F.array(F.md5(F.concat_ws("|", last, F.length(t["role"]).cast("string"), t["role"], t["text"]))))
+        return F.concat(acc, F.array(F.md5(F.concat_ws("|", F.element_at(acc, -1), F.length(t["role"]).cast("string"), t["role"], t["text"]))))
+
+    def run(acc: Column, part: Column) -> Column:
+        # begins with the last digest of the run before, which is the last of that run already
+        grown = F.aggregate(part, F.array(F.element_at(F.element_at(acc, -1), -1)), step)
+        return let(grown, lambda g: F.concat(acc, F.array(F.slice(g, F.lit(2), F.size(g) - 1))))
 
-    return convs.withColumn("prefixes", F.aggregate("turns", F.array().cast("array<string>"), step))
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(turns))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(turns), F.lit(1)), size), lambda i: F.slice(turns, i, size))
+    seed = F.array(F.array(F.lit(""))).cast("array<array<string>>")
+    return let(F.flatten(F.aggregate(parts, seed, run)), lambda every: F.slice(every, F.lit(2), F.size(every) - 1))
 
 
 def maximal(convs: DataFrame) -> DataFrame:

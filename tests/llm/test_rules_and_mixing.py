@@ -197,6 +197,21 @@ def test_chat_edges(spark):
     assert chat.format_chats(split).count() == 2
 
 
+def test_rolling_digests_of_many_turns(spark):
+    """Each digest is made of the one before and the turn, at every number of turns about the borders of the runs, and for 20,000."""
+    def by_hand(turns):
+        last = ""
+        for role, text in turns:
+            last = hashlib.md5(f"{last}|{len(role)}|{role}|{text}".encode()).hexdigest()
+            yield last
+
+    convs = {n: [("user" if k % 2 else "ä", f"t{k % 7}") for k in range(n)] for n in (*range(1, 28), 99, 100, 101, 20_000)}
+    got = {r["conv_id"]: r["prefixes"] for r in chat.assembled(conversations(spark, convs)).collect()}
+    assert got == {n: list(by_hand(turns)) for n, turns in convs.items()}
+    # a conversation of 20,000 turns is continued by none, all others begin it
+    assert [r["conv_id"] for r in chat.format_chats(conversations(spark, convs)).collect()] == [20_000]
+
+
 def rule_for(url):
     m = re.match(r"^.*?://([^/?#]*)([^?#]*)", url or "", re.S)
     host, path = ("", "") if not m else (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2])
