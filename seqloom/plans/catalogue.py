@@ -441,6 +441,38 @@ def qc_report(spark, sf):
     return rows.select("lang", F.array_join(F.transform("histogram", lambda x: F.concat(x["value"].cast("string"), F.lit(":"), x["n"].cast("string"))), ",").alias("histogram"))
 
 
+def _mate_sql(mate: int) -> str:
+    told = lambda value: f"(SELECT string_agg(v || ':' || n, ',' ORDER BY v) FROM (SELECT {value} AS v, count(*) AS n FROM r{mate} x WHERE x.sample = r{mate}.sample GROUP BY 1) WHERE v IS NOT NULL)"
+    return f"""SELECT sample, {mate} AS mate, count(*) AS reads, CAST(sum(len) AS BIGINT) AS total_bases, round(CAST(sum(qs) AS DOUBLE) / sum(len), 6) AS mean_quality, round(CAST(sum(gc) AS DOUBLE) / sum(len), 6) AS gc_content,
+        round(CAST(sum(nn) AS DOUBLE) / sum(len), 6) AS n_content, min(len) AS min_length, max(len) AS max_length, round(avg(len), 6) AS mean_length, {told("CAST(round(mq) AS INTEGER)")} AS quality_histogram,
+        {told("CASE WHEN len > 0 THEN CAST(round(100.0 * gc / len) AS INTEGER) END")} AS gc_histogram, {told("len")} AS length_histogram FROM r{mate} GROUP BY sample"""
+
+
+_MATES = """SELECT p_size % 5 AS sample, length(s) AS len, length(s) - length(regexp_replace(s, '[GCgc]', '', 'g')) AS gc, length(s) - length(regexp_replace(s, '[Nn]', '', 'g')) AS nn, list_sum(q) AS qs, list_avg(q) AS mq FROM (
+    SELECT p_size, {0} AS s, CASE WHEN p_partkey % 7 <> 0 THEN list_transform(range(1, length({0}) + 1), lambda i: (i * i * p_partkey) % 41) END AS q FROM part WHERE {1})"""
+
+
+@query(f"""WITH r1 AS ({_MATES.format("p_name", "p_name IS NOT NULL")}), r2 AS ({_MATES.format("p_type", "p_partkey % 3 = 0 AND p_size % 5 <> 4 AND p_type IS NOT NULL")})
+  {_mate_sql(1)} UNION ALL {_mate_sql(2)}""")
+def qc_mate_report(spark, sf):
+    """Parts' names as first mates and a third of their types as second ones, a quality for each letter or, of a seventh, none; a fifth of the sizes is a sample, of which one has no second mates."""
+    part = t(spark, sf, "part").withColumn("p_type", F.when((F.col("p_partkey") % 3 == 0) & (F.col("p_size") % 5 != 4), F.col("p_type"))).withColumn("sample", F.col("p_size") % 5)
+    quality = lambda c: F.when((F.col("p_partkey") % 7 != 0) & (F.length(c) > 0), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: (i * i * F.col("p_partkey") % 41).cast("short")))
+    mates = [readmodels.read_report(part.withColumn("quality", quality(c)), c, "quality", ["sample"]).withColumn("mate", F.lit(m)) for m, c in ((1, "p_name"), (2, "p_type"))]
+    both = mates[0].unionByName(mates[1])
+    text = lambda c: F.nullif(F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), ","), F.lit(""))
+    means = {c: F.round(c, 6) for c in ("mean_quality", "gc_content", "n_content", "mean_length")}
+    return both.withColumns(means | {f"{k}_histogram": text(f"{k}_histogram") for k in ("quality", "gc", "length")}).select(
+        "sample", "mate", "reads", "total_bases", *means, "min_length", "max_length", "quality_histogram", "gc_histogram", "length_histogram")
+
+
+@query("SELECT s_suppkey, s_name, p_brand AS mask_state FROM supplier LEFT JOIN part ON p_partkey = s_suppkey AND p_size = 7")
+def gate_roster(spark, sf):
+    """Suppliers as samples, parts as their gates, whose size is the mask: the state under mask 7, null where there is none."""
+    gates = t(spark, sf, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_size", F.col("p_brand").alias("mask_state"))
+    return readmodels.with_state(t(spark, sf, "supplier").select("s_suppkey", "s_name"), gates, "s_suppkey", F.col("p_size") == 7, "mask_state")
+
+
 @query("""SELECT doc_id, length(text) >= 100 AND n <= 50 AND length(text) <= 5000 AS passed,
                  CASE WHEN length(text) < 100 THEN 'length' WHEN n > 50 THEN 'n_base' WHEN length(text) > 5000 THEN 'too_long' END AS fail_reason
           FROM (SELECT doc_id, text, length(text) - length(replace(replace(text, 'N', ''), 'n', '')) AS n FROM documents)""")

@@ -293,6 +293,21 @@ def test_trim_filter_reads_whole_texts(spark, tmp_path):
     assert max(k for _, k, *_ in want) > 150
 
 
+def test_read_report(spark):
+    """By hand: empty reads, reads without qualities, a group without a mate, and ten thousand equal reads in one group."""
+    data = [("a", "GGCC", [10, 20, 30, 41]), ("a", "acgN", [3, 3, 3, 3]), ("a", "", []), ("a", None, None), ("b", "AT", None), ("c", None, None), *[("d", "ACG", [7, 8, 8])] * 10_000]
+    df = spark.createDataFrame(data, "s string, seq string, qual array<short>")
+    got = {r["s"]: r.asDict() for r in readmodels.read_report(df, "seq", "qual", ["s"]).collect()}
+    assert set(got) == {"a", "b", "d"}
+    a = got["a"]
+    assert (a["reads"], a["total_bases"], a["min_length"], a["max_length"], a["mean_length"]) == (3, 8, 0, 4, 8 / 3)
+    assert (a["mean_quality"], a["gc_content"], a["n_content"]) == (113 / 8, 6 / 8, 1 / 8)
+    assert (a["quality_histogram"], a["gc_histogram"], a["length_histogram"]) == ({25: 1, 3: 1}, {100: 1, 50: 1}, {0: 1, 4: 2})
+    assert (got["b"]["mean_quality"], got["b"]["quality_histogram"], got["b"]["length_histogram"]) == (None, {}, {2: 1})
+    assert (got["d"]["reads"], got["d"]["quality_histogram"], got["d"]["gc_histogram"]) == (10_000, {8: 10_000}, {67: 10_000})
+    assert readmodels.read_report(df.where("false"), "seq", "qual", ["s"]).count() == 0
+
+
 def test_ranks_and_lineages(spark):
     df = spark.createDataFrame([("d__B; p__P; c__",), ("d__B; c__C",), ("",)], "taxonomy string")
     assert [tuple(r) for r in reference.ranks(df).select("domain", "phylum", "class").collect()] == [("B", "P", None), ("B", None, "C"), (None, None, None)]
