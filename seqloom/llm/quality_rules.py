@@ -27,6 +27,14 @@ SYMBOLS_RE = "[#*$%&|<>]"
 CAPITALS_RE = "[A-ZÀ-ÖØ-Þ]"
 
 
+def window_hashes(words: Column) -> Column:
+    """A hash of each window of 8 words: of neighbouring words first, then of neighbouring pairs, then of fours, so that no word is hashed more than once. The array must have 8 words."""
+    def joined(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda a: F.transform(F.slice(a, F.lit(1), F.size(a) - step), lambda x, i: F.xxhash64(x, F.get(a, i + step))))
+
+    return joined(joined(joined(F.transform(words, lambda x: F.xxhash64(x)), 1), 2), 4)
+
+
 def n_repeat_words(words: Column) -> Column:
     """Words that lie in a window of 8 words met twice or more in the text."""
     def places(hashes: Column) -> Column:
@@ -42,7 +50,7 @@ def n_repeat_words(words: Column) -> Column:
 
     none = F.lit(0).cast("long")
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, none).otherwise(let(
-        F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW))),
+        window_hashes(w),
         lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(covered(places(hs))))))
 
 
