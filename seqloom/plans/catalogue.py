@@ -92,9 +92,10 @@ def masked_view(spark, sf):
 @query("""SELECT vec_id, list_aggregate(list_transform(embedding[vec_id % 4 + 1 : len(embedding) - vec_id % 3], lambda x: CAST(x * 1000 AS BIGINT)), 'sum')::BIGINT AS total,
                  CAST(len(embedding[vec_id % 4 + 1 : len(embedding) - vec_id % 3]) AS INT) AS n FROM embeddings""")
 def array_slice_trim(spark, sf):
+    """Components times 1,000 as single floats, which SQL rounds once: by an integer Spark would multiply doubles."""
     kept = sequence.trimmed_array(F.col("embedding"), F.col("vec_id") % 4, F.col("vec_id") % 3)
     rows = t(spark, sf, "embeddings").withColumn("k", kept)
-    return rows.select("vec_id", F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + F.rint(x * 1000).cast("long")).alias("total"), F.size("k").alias("n"))
+    return rows.select("vec_id", F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + F.rint(x * F.lit(1000.0).cast("float")).cast("long")).alias("total"), F.size("k").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")

@@ -460,3 +460,17 @@ def test_alignment_slice(spark):
     df = spark.createDataFrame(data, "k long, position long, stop_position long, cigar string, tag_md string")
     got = {r["k"]: tuple(r)[1:] for r in aln.sliced(df, 14, 100, ["tag_md"]).collect()}
     assert got == {1: (14, 20, "4H6=", None), 2: (14, 20, "6H6=", None), 3: (95, 100, "5=10H", None), 5: (16, 22, "4H6=", None), 6: (14, 18, "4=", "t")}
+
+
+def test_array_slice_trim_rounds_single_floats(spark, tmp_path):
+    """A thousandth of single precision that doubles would round the other way."""
+    import duckdb
+
+    from seqloom.plans import catalogue
+
+    rows = [(8, [0.7674999833106995, 1.0, 2.0]), (12, [0.6065000295639038, 0.3894999921321869, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.SQL["array_slice_trim"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["array_slice_trim"](spark, str(tmp_path)).collect())) == want == [(8, 768, 1), (12, 996 + 1000, 3)]
