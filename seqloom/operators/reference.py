@@ -105,9 +105,14 @@ def descendants(edges: DataFrame, root: int, node: str = "node_index", parent: s
 def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None) -> DataFrame:
     """(ancestor, descendant, distance) up to ``levels``, each node at distance 0 to itself; of several paths the shortest.
 
-    Without ``levels`` it goes on until a step adds no pair; each step is written to the shared folder. Circles end too.
+    Without ``levels`` it goes on until nothing is added. Where no node has two parents, as in a tree, each node's way up is one array
+    and ways double; otherwise a step of all pairs follows the other, each written to the shared folder. Circles end too.
     """
     e = edges.select(F.col(node).alias("descendant"), F.col(parent).alias("ancestor")).where("descendant <> ancestor").distinct()
+    if levels is None:
+        e = written(e, "edges")
+        if e.groupBy("descendant").count().where("count > 1").isEmpty():
+            return _ways_up(e)
     out = e.select("descendant").union(e.select("ancestor")).distinct().select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("distance"))
     step = e.select("ancestor", "descendant", F.lit(1).alias("distance"))
     if levels is None:
@@ -118,8 +123,7 @@ def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None)
             df.write.parquet(f"{at}/{what}")
             return spark.read.schema(df.schema).parquet(f"{at}/{what}")
 
-        e, out = kept(e, "edges"), kept(out, "pairs/n=0")
-        step = kept(step, "pairs/n=1")
+        out, step = kept(out, "pairs/n=0"), kept(step, "pairs/n=1")
         while not step.isEmpty():
             out, n = out.unionByName(step), n + 1
             further = step.withColumnRenamed("ancestor", "via").join(e.select(F.col("descendant").alias("via"), "ancestor"), "via").select("ancestor", "descendant").distinct()
@@ -132,6 +136,37 @@ def closure(edges: DataFrame, node: str, parent: str, levels: int | None = None)
     return out.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
 
 
+def _ways_up(e: DataFrame) -> DataFrame:
+    """``closure`` of edges (descendant, ancestor) that give each node one parent at most.
+
+    A way up is an array of a node's ancestors, nearest first. A round appends to each way that is open the way of
+    its last node, so ways double. Only ways of nodes that are last on another are looked up; these become few, and
+    then no way is shuffled. A way shuts at a root, or where a circle comes back to a node that it holds. Pairs are
+    made of the ways at the very end and never shuffled.
+    """
+    open_ = e.select("descendant", F.array("ancestor").alias("up"))
+    shut: list[DataFrame] = []
+    every = open_
+    while True:
+        last = written(open_.select(F.element_at("up", -1).alias("last")).distinct(), "last")
+        ways = every if shut else open_.withColumn("goes_on", F.lit(True))
+        further = written(ways.join(last, F.col("descendant") == F.col("last"), "left_semi").select(F.col("descendant").alias("last"), F.col("up").alias("more"), "goes_on"), "further")
+        joined = open_.withColumn("last", F.element_at("up", -1)).join(further, "last", "left")
+        longer = F.concat("up", F.coalesce("more", F.array().cast(open_.schema["up"].dataType)))
+        once = F.array_distinct(F.concat(F.array("descendant"), longer))
+        told = joined.select("descendant", F.slice(once, 2, F.size(once)).alias("up"), (F.coalesce("goes_on", F.lit(False)) & (F.size(once) == F.size(longer) + 1)).alias("goes_on"))
+        told = written(told, "ways")
+        shut.append(told.where("not goes_on").select("descendant", "up"))
+        open_ = told.where("goes_on").select("descendant", "up")
+        every = reduce(DataFrame.union, shut).withColumn("goes_on", F.lit(False)).union(open_.withColumn("goes_on", F.lit(True)))
+        if open_.isEmpty():
+            break
+    tops = e.select(F.col("ancestor").alias("top")).distinct().join(e, F.col("top") == F.col("descendant"), "left_anti").select(F.col("top").alias("ancestor"), F.col("top").alias("descendant"), F.lit(0).alias("distance"))
+    ways = reduce(DataFrame.union, shut)
+    pairs = ways.select("descendant", F.posexplode(F.concat(F.array("descendant"), "up")).alias("distance", "ancestor")).select("ancestor", "descendant", "distance")
+    return tops.unionByName(pairs)
+
+
 def xrefs(rows: DataFrame, listing: str, keep: list[str]) -> DataFrame:
     """keep, source, accession: each comma-separated entry, parted at its first colon; entries without one have no source."""
     each = rows.select(*keep, F.explode(F.split(F.col(listing), ",")).alias("x")).withColumn("x", F.btrim("x")).where("x <> ''")

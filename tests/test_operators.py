@@ -383,6 +383,23 @@ def test_whole_closure(spark, tmp_path):
     assert reference.closure(circle.where("false"), "n", "p").count() == 0
 
 
+def test_closure_of_one_parent_doubles(spark, monkeypatch):
+    """A chain, a side branch and circles: rounds grow with the logarithm of the depth, and no pair is written."""
+    names = []
+    kept = reference.written
+    monkeypatch.setattr(reference, "written", lambda df, what="t": names.append(what) or kept(df, what))
+    up = {i: i - 1 for i in range(1, 101)} | {200: 40, 300: 301, 301: 302, 302: 300, 303: 302, 400: 400, 401: 402, 402: 401}
+    want = set()
+    for i in (up.keys() | set(up.values())) - {400}:
+        seen = [i]
+        while (a := up.get(seen[-1], seen[0])) not in seen:
+            seen.append(a)
+        want |= {(a, i, k) for k, a in enumerate(seen)}
+    got = rows(reference.closure(spark.createDataFrame(list(up.items()), "n long, p long"), "n", "p"), "ancestor", "descendant", "distance")
+    assert got == sorted(want)
+    assert names.count("ways") == 7 and set(names) == {"edges", "last", "further", "ways"}
+
+
 def test_planners(spark):
     for n, shards in ((7, 3), (2, 5), (50, 7), (0, 4)):
         got = [r["shard"] for r in planning.even_shards(spark.range(n), ["id"], shards).orderBy("id").collect()]
