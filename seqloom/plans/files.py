@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import arrow_io, readers, sinks
 from ..sources.lake import Lake
 from ..streaming import ingest
@@ -146,8 +146,15 @@ def sorted_sink(spark, sf):
     at = _at(spark, "sorted")
     keys = ["l_suppkey", "l_orderkey", "l_linenumber"]
     sinks.parquet(t(spark, sf, "lineitem").select(*keys), at, sort=keys, parts=4)
-    key = F.struct(*keys)
-    files = readers.parquet(spark, at).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"))
+    rows = readers.parquet(spark, at).select("*", F.col("_metadata.file_path").alias("file"))
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    low = high = F.lit(True)
+    for k in keys:  # the least and the greatest key one column after the other: no row is sorted, and a task keeps a row per file
+        files = written(files, "files")
+        ends = rows.join(F.broadcast(files), "file").groupBy("file").agg(F.min(F.when(low, F.col(k))).alias(f"low_{k}"), F.max(F.when(high, F.col(k))).alias(f"high_{k}"))
+        files = files.join(ends, "file")
+        low, high = low & (F.col(k) == F.col(f"low_{k}")), high & (F.col(k) == F.col(f"high_{k}"))
+    files = written(files.select("file", "n", F.struct(*[f"low_{k}" for k in keys]).alias("low"), F.struct(*[f"high_{k}" for k in keys]).alias("high")), "files")
     a, b = files.select("file", "low", "high"), files.select(F.col("file").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     clashes = a.join(b, (F.col("file") < F.col("other")) & (F.col("low") <= F.col("high2")) & (F.col("low2") <= F.col("high"))).agg(F.count(F.lit(1)).alias("overlapping"))  # a row per file
     return files.agg(F.sum("n").alias("row_count")).crossJoin(clashes)  # one row by one row

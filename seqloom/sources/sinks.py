@@ -7,12 +7,30 @@ from pyspark.sql import functions as F
 
 #: Bytes of a row group, and of one that holds long chunks.
 ROW_GROUP, CHUNK_ROW_GROUP = 64 << 20, 16 << 20
+#: Bytes of values, as counted, that one task of a sorted write takes.
+PART_BYTES = 64 << 20
+
+
+def ranged(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """``df`` in disjoint ranges of ``keys``, each sorted: as many as give a task some PART_BYTES, whatever the size of the table, and ``least`` of them at least.
+
+    The values are counted before they are dealt out (8 bytes each, and the bytes of texts), as the ranges are sampled anyway.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    lists = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map")]
+    size = F.lit(8 * len(df.columns))
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    for c in lists:
+        size = size + 8 * F.coalesce(F.greatest(F.size(F.col(f"`{c}`")), F.lit(0)), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return df.repartitionByRange(max(least, 1 + total // PART_BYTES), *keys).sortWithinPartitions(*keys)
 
 
 def parquet(df: DataFrame, path: str, sort: list[str] = (), parts: int | None = None, chunked: bool = False, transient: bool = False, mode: str = "error") -> None:
-    """Final files are zstd, transient ones snappy. With ``sort`` the files hold disjoint ranges, sorted within, so statistics prune."""
+    """Final files are zstd, transient ones snappy. With ``sort`` the files hold disjoint ranges, sorted within, so statistics prune; ``parts`` of them at least."""
     if sort:
-        df = (df.repartitionByRange(parts, *sort) if parts else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+        df = ranged(df, *sort, least=parts or 1)
     writer = df.write.mode(mode).option("compression", "snappy" if transient else "zstd").option("parquet.block.size", CHUNK_ROW_GROUP if chunked else ROW_GROUP)
     writer.parquet(path)
 
