@@ -179,12 +179,12 @@ def _line_name():
 @query(f"""SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS sequence_index, {_LINE} AS read_id, {_BASES.format(_LINE)} AS sequence, CAST(31 + l_linenumber % 2 * 9 AS SMALLINT) AS quality
            FROM lineitem""")
 def fastq_ranges(spark, sf):
-    """Lines of orders as reads of one file that is read in byte ranges; all qualities of a read are @ or all are I, so many lines begin like headers."""
+    """Lines of orders as reads, written in ranges and read as one text in byte ranges; all qualities of a read are @ or all are I, so many lines begin like headers."""
     at = _at(spark, "reads")
     qual = F.array_repeat((F.col("l_linenumber") % 2 * 9 + 31).cast("short"), 32)
     rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _line_name().alias("read_id"), _bases(_line_name()).alias("sequence1"), qual.alias("qual1"))
-    sinks.fastq(rows.coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber"), at)
-    return readers.fastx(spark, at).select("sequence_index", "read_id", "sequence", F.array_max("qual").alias("quality"))
+    sinks.fastq(sinks.ranged(rows, "l_orderkey", "l_linenumber", least=2), at)
+    return readers.fastx(spark, at, chained=True).select("sequence_index", "read_id", "sequence", F.array_max("qual").alias("quality"))
 
 
 @query(f"""SELECT {_LINE} AS name, 'o' || l_orderkey AS parent, l_linenumber + 0.5::DOUBLE AS branch_length, true AS is_tip FROM lineitem

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,3 +48,28 @@ def written(df: DataFrame, what: str = "t") -> DataFrame:
 def spelled(uri: str) -> str:
     """A file's URI as ``_metadata.file_path`` spells it; ``inputFiles()`` and the file system write file:/// for file:/."""
     return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", uri)
+
+
+def blocks(spark: SparkSession, paths: list[str], separator: str | None = None, chained: bool = False) -> tuple[DataFrame, list[str]]:
+    """(file, block, value): the records of text files with their file and the byte at which their block begins; and the files.
+
+    ``chained``: the files follow each other by name, as the parts of one write do, and are one text under the first one's
+    name, whose bytes go on from file to file.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    files = rows.inputFiles()
+    if not chained:
+        return rows, files
+    conf, before, at = spark._jsc.hadoopConfiguration(), 0, []
+    for file in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        size = path.getFileSystem(conf).getFileStatus(path).getLen()
+        if size:
+            at.append((spelled(file), before))
+            before += size
+    if not at:
+        return rows, files
+    starts = spark.createDataFrame(at, "file string, before long")  # a row per file
+    moved = rows.join(F.broadcast(starts), "file").select(F.lit(at[0][0]).alias("file"), (F.col("block") + F.col("before")).alias("block"), "value")
+    return moved, [f for f in files if spelled(f) == at[0][0]]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, spelled, written
+from ..session import blocks, ship, spelled, written
 
 FASTX = "file string, sequence_index long, read_id string, comment string, sequence string, qual array<short>"
 #: Blocks whose sums are broadcast (some 100 bytes each); beyond that lines and sums are joined by a shuffle.
@@ -29,10 +29,6 @@ _SUMS = "file string, block long, n_lines long, ends array<int>, begun array<lon
 _STARTS = "file string, block long, state int, record long, end_state int, end_record long, n_lines long"
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-
-
 def kinds(spark: SparkSession, files: list[str]) -> dict[str, str]:
     """``@`` or ``>`` for each file, from its first bytes; ``.gz`` is unpacked. A blank file counts as FASTQ without records."""
     import zlib
@@ -260,11 +256,14 @@ def _cut(sums: DataFrame, starts: DataFrame, kind: dict[str, str], offset: int)
     return pieces.groupBy("file", "record").applyInArrow(run, FASTX)
 
 
-def fastx(spark: SparkSession, *paths: str, offset: int = 33) -> DataFrame:
-    """FASTX columns, one row per record, numbered from 1 in each file. Files are read in byte ranges; a ``.gz`` file is one task, line by line."""
+def fastx(spark: SparkSession, *paths: str, offset: int = 33, chained: bool = False) -> DataFrame:
+    """FASTX columns, one row per record, numbered from 1 in each file. Files are read in byte ranges; a ``.gz`` file is one task, line by line.
+
+    ``chained``: all files are one text in the order of their names, with one numbering; ``file`` is the first one.
+    """
     ship(spark)
-    lines = _lines(spark, list(paths))
-    kind = kinds(spark, lines.inputFiles())
+    lines, files = blocks(spark, list(paths), chained=chained)
+    kind = kinds(spark, files)
     sums = written(_sums(lines, kind), "fastx")
     starts = written(_starts(sums), "starts")
     return _whole(lines, starts, kind, offset).unionByName(_cut(sums, starts, kind, offset))

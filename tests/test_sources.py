@@ -236,3 +236,33 @@ def test_parquet_sizes(spark, tmp_path):
     spark.range(1000).repartition(3).write.parquet(str(tmp_path / "p"))
     sizes = readers.parquet_sizes(spark, str(tmp_path / "p"))
     assert len(sizes) == 3 and sum(r for _, r, _ in sizes) == 1000 and all(b > 0 for _, _, b in sizes)
+
+
+def test_ranges_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A sorted write takes more parts for more rows; parts are read again as one text with one numbering."""
+    from pyspark.sql import functions as F
+
+    from seqloom.sources import readers
+
+    monkeypatch.setattr(sinks, "PART_BYTES", 2000)
+    df = spark.range(1000).select(F.col("id"), F.format_string("r%d", "id").alias("read_id"), F.lit("ACGT").alias("sequence1"), F.array(*[F.lit(31).cast("short")] * 4).alias("qual1"))
+    dealt = sinks.ranged(df.orderBy(F.desc("id")), "id", least=3)
+    assert dealt.rdd.getNumPartitions() > 20
+    sinks.parquet(df, str(tmp_path / "p"), sort=["id"], parts=4)
+    assert len(list((tmp_path / "p").glob("*.parquet"))) > 20
+    sinks.fastq(dealt, str(tmp_path / "reads"))
+    back = readers.fastx(spark, str(tmp_path / "reads"), chained=True)
+    assert sorted((r["sequence_index"], r["read_id"]) for r in back.collect()) == [(k + 1, f"r{k}") for k in range(1000)]
+    assert back.select("file").distinct().count() == 1
+
+
+def test_chained_newick_with_a_wide_node(spark, tmp_path, monkeypatch):
+    from seqloom.plans import catalogue, files
+
+    monkeypatch.setattr(sinks, "PART_BYTES", 500)
+    monkeypatch.setattr(files, "WIDE", 10)
+    lines = [(o, n) for o in range(60) for n in range(1, 1 + o % 4 + (o == 7) * 30)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(((r["name"], r["parent"]) for r in catalogue.QUERIES["newick_ranges"](spark, str(tmp_path)).collect()), key=repr)
+    tips = [(f"{o}.{n}", f"o{o}") for o, n in lines]
+    assert got == sorted([*tips, *((f"o{o}", "root") for o in {o for o, _ in lines}), ("end", "root"), ("root", None)], key=repr)
