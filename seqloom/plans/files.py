@@ -169,6 +169,9 @@ def multi_part_sink(spark, sf):
     return each.agg(F.sum("n").alias("row_count"), F.count_if(F.col("cost") > 2000).alias("over_budget"))
 
 
+#: Children from which on a node's row is broadcast, a row for each so many nodes at most.
+WIDE = 100_000
+
 _LINE = "l_orderkey || '.' || l_linenumber"
 
 
@@ -190,17 +193,20 @@ def fastq_ranges(spark, sf):
 @query(f"""SELECT {_LINE} AS name, 'o' || l_orderkey AS parent, l_linenumber + 0.5::DOUBLE AS branch_length, true AS is_tip FROM lineitem
            UNION ALL SELECT 'o' || l_orderkey, 'root', count(*) + 0.25::DOUBLE, false FROM lineitem GROUP BY l_orderkey UNION ALL SELECT 'end', 'root', 1::DOUBLE, true UNION ALL SELECT 'root', NULL, NULL, false""")
 def newick_ranges(spark, sf):
-    """A tree of orders and their lines in one file, cut at commas."""
+    """A tree of orders and their lines, written in ranges of orders and read as one text that is cut at commas."""
     at = _at(spark, "tree")
     tip = F.concat(_line_name(), F.format_string(":%.1f", F.col("l_linenumber") + 0.5))
     clades = t(spark, sf, "lineitem").select("l_orderkey", tip.alias("tip")).groupBy("l_orderkey").agg(F.concat(F.lit("("), F.array_join(F.collect_list("tip"), ","), F.format_string(")o%d:%.2f", "l_orderkey", F.count(F.lit(1)) + 0.25)).alias("value"))
     head = clades.agg(F.min("l_orderkey").alias("least"))  # one row
     opened = clades.join(F.broadcast(head), F.col("l_orderkey") == F.col("least"), "left").select("l_orderkey", F.when(F.col("least").isNotNull(), F.concat(F.lit("("), "value")).otherwise(F.col("value")).alias("value"))
     last = spark.range(1).select(F.lit(2**62).alias("l_orderkey"), F.lit("end:1)root;").alias("value"))
-    opened.union(last).coalesce(1).sortWithinPartitions("l_orderkey").select("value").write.option("lineSep", ",").text(at)
-    tree = readers.newick(spark, at)
-    above = tree.select(F.col("node_index").alias("parent_index"), F.col("name").alias("parent"))
-    return tree.join(above, "parent_index", "left").select("name", "parent", "branch_length", "is_tip")
+    sinks.ranged(opened.union(last), "l_orderkey", least=2).select("value").write.option("lineSep", ",").text(at)
+    tree = written(readers.newick(spark, at, chained=True), "tree")
+    above = tree.where("not is_tip").select(F.col("node_index").alias("parent_index"), F.col("name").alias("parent"))
+    # the root has all orders under it: a node with that many is broadcast, so that its children needn't meet in one task
+    wide = written(tree.groupBy("parent_index").count().where(F.col("count") > WIDE).join(above, "parent_index").select("parent_index", "parent"), "wide")
+    rest = tree.join(F.broadcast(wide), "parent_index", "left_anti").join(above, "parent_index", "left")
+    return tree.join(F.broadcast(wide), "parent_index").unionByName(rest).select("name", "parent", "branch_length", "is_tip")
 
 
 @query(f"""SELECT 'p' || p_partkey AS read_id, {_BASES.format("p_name")} AS sequence1, CASE WHEN p_partkey % 3 > 0 THEN {_BASES.format("p_brand")} END AS sequence2,

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import blocks, ship, written
 
 NEWICK = "node_index long, name string, branch_length double, edge_id long, parent_index long, is_tip boolean"
 #: Records that are scanned together; characters within one pair of quotes or brackets that a border may cut.
@@ -256,10 +256,13 @@ def _parsed(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return given.select("file", "block", "value", "node", "depth", "mode", "suffix", "over").mapInArrow(run, _ROWS)
 
 
-def newick(spark: SparkSession, *paths: str) -> DataFrame:
-    """NEWICK columns; in each file nodes are numbered from 0, the root, whose parent is null. ``{n}`` after a branch is its edge."""
+def newick(spark: SparkSession, *paths: str, chained: bool = False) -> DataFrame:
+    """NEWICK columns; in each file nodes are numbered from 0, the root, whose parent is null. ``{n}`` after a branch is its edge.
+
+    ``chained``: all files are the text of one tree in the order of their names; each but the last must end with a comma.
+    """
     ship(spark)
-    lines = spark.read.option("lineSep", ",").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines, _ = blocks(spark, list(paths), ",", chained)
     starts = written(_starts(_sums(lines)), "starts")
     rows = written(_parsed(lines, starts), "nodes")
     asks = rows.where("ask IS NOT NULL AND kind < 2").select("file", F.col("ask").alias("depth"), "block").distinct().withColumn("node", F.lit(None).cast("long"))
