@@ -244,7 +244,7 @@ def lake_block_read(spark, sf):
     rows = t(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("prep_sample_idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sequence_idx"), _line_name().alias("read_id"), _bases(_line_name()).alias("sequence1"),
         null("array<short>").alias("qual1"), null("string").alias("sequence2"), null("array<short>").alias("qual2"))
-    lake.append({"read": rows.repartitionByRange(8, "prep_sample_idx", "sequence_idx")})
+    lake.append({"read": sinks.ranged(rows, "prep_sample_idx", "sequence_idx", least=8)})
     return lake.read_block("read", [(3, 100, 90_000), (7, 0, 1 << 60), (9, 0, 40_000)]).select("prep_sample_idx", "sequence_idx")
 
 
