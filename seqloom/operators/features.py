@@ -19,11 +19,17 @@ def breadth(aligned: DataFrame, contigs: DataFrame) -> DataFrame:
     return covered(aligned, ["genome_idx"]).join(genome_lengths(contigs), "genome_idx").withColumn("proportion_covered", F.col("covered") / F.col("total_length"))
 
 
-def fractional(hits: DataFrame) -> DataFrame:
-    """prep_sample_idx, genome_idx, value: a read gives 1/k to each of its k different genomes."""
+#: Alignments whose reads one task counts.
+TASK_ROWS = 1 << 20
+
+
+def fractional(hits: DataFrame, n_rows: int = 0) -> DataFrame:
+    """prep_sample_idx, genome_idx, value: a read gives 1/k to each of its k different genomes. ``n_rows``: about how many hits there are, if many; tasks grow in number with them."""
     read = ["prep_sample_idx", "sequence_idx"]
+    tasks = n_rows // TASK_ROWS + 1
+    more = [tasks] if tasks > int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     # one shuffle by read serves the distinct, the count and the partial sums
-    each = hits.select(*read, "genome_idx").repartition(*read).dropDuplicates()
+    each = hits.select(*read, "genome_idx").repartition(*more, *read).dropDuplicates()
     counted = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*read)))
     return counted.groupBy("prep_sample_idx", "genome_idx").agg(F.sum(1 / F.col("k")).alias("value"))
 
@@ -34,4 +40,4 @@ def feature_table(alignment: DataFrame, exclusion: DataFrame, contigs: DataFrame
     if threshold > 0:
         alive = breadth(visible, contigs).where(F.col("proportion_covered") >= threshold).select("genome_idx")
         visible = visible.join(alive, "genome_idx", "left_semi")
-    return fractional(visible)
+    return fractional(visible, alignment.count())

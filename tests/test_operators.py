@@ -491,3 +491,14 @@ def test_array_slice_trim_rounds_single_floats(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(con.sql(catalogue.SQL["array_slice_trim"]).fetchall())
     assert sorted(map(tuple, catalogue.QUERIES["array_slice_trim"](spark, str(tmp_path)).collect())) == want == [(8, 768, 1), (12, 996 + 1000, 3)]
+
+
+def test_feature_table_tasks_grow_with_alignments(spark, monkeypatch, capsys):
+    from seqloom.operators import features
+
+    monkeypatch.setattr(features, "TASK_ROWS", 10)
+    hits = spark.createDataFrame([("s", i // 2, i % 2) for i in range(200)] + [("s", 0, 0)], "prep_sample_idx string, sequence_idx long, genome_idx int")
+    got = features.fractional(hits, 201)
+    assert rows(got) == [("s", 0, 50.0), ("s", 1, 50.0)]
+    got.explain()
+    assert "21), REPARTITION_BY_NUM" in capsys.readouterr().out
