@@ -22,6 +22,8 @@ from ..session import blocks, ship, spelled, written
 FASTX = "file string, sequence_index long, read_id string, comment string, sequence string, qual array<short>"
 #: Blocks whose sums are broadcast (some 100 bytes each); beyond that lines and sums are joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 100_000
+#: Lines that are Python values at once.
+_LINES = 512
 #: Records, or bytes of sequence, after which a batch is handed on.
 _ROWS, _BYTES = 10_000, 16 << 20
 
@@ -52,7 +54,7 @@ def kinds(spark: SparkSession, files: list[str]) -> dict[str, str]:
 
 
 def _runs(batches) -> Iterator[tuple]:
-    """(file, block, extra columns, lines) of each stretch of one block within a batch."""
+    """(file, block, extra columns, lines) of each stretch of one block within a batch, of _LINES lines at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,7 +64,7 @@ def _runs(batches) -> Iterator[tuple]:
         if file[0].as_py() != file[n - 1].as_py():  # blocks of two files may begin at the same byte
             names = file.to_numpy(zero_copy_only=False)
             other = np.union1d(other, np.flatnonzero(names[1:] != names[:-1]) + 1)
-        edges = [0, *other.tolist(), n]
+        edges = sorted({*range(0, n, _LINES), *other.tolist(), n})
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             part = batch.slice(lo, hi - lo)
             yield part["file"][0].as_py(), int(block[lo]), part, part["value"].to_pylist()
