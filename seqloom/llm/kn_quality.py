@@ -7,8 +7,10 @@ so the model is cut by that byte into shards, which tasks write as files of sort
 shared folder. A document's perplexity comes from joining the distinct runs of its text with those
 files, which each task maps into memory: a join that moves neither documents nor the model, since the
 runs of all texts would be some twenty times the texts.
-A document is rejected if its perplexity is above the quantile of its language, taken over trusted
-rows that the model hasn't seen, by more than its length allows.
+Of the trusted rows one half, by a hash of the id, trains; the other half, which the model hasn't seen, sets
+the quantiles, so every trusted row
+counts. A document is rejected if its perplexity is above the quantile of its language by more than its
+length allows.
 
 Defined cases: null text counts as empty and has only the end mark; null or rare languages take the
 quantile over all; repeated rows and ties get equal results, null doc_ids stay; very long texts are
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import keep, shared_dir, ship, text_of
 
 ORDER = 5
-#: Of about so many trusted rows, drawn by hash, every other one trains; all other trusted rows set the quantiles.
-MAX_TRUSTED_ROWS = 8_000
+#: None: all trusted rows take part, one half trains. A caller who wants a smaller model can set a number; then half of about so many rows train, and all others set the quantiles.
+MAX_TRUSTED_ROWS: int | None = None
 QUANTILE = 0.995
 #: A short text's mean scatters more: so many bits over the root of its bytes are let pass above the quantile.
 ALLOWANCE = 4.0
@@ -270,11 +272,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, bytes, bits per byte, perplexity, limit (of bits) and kept of each row."""
     ship(docs.sparkSession)
     good = keep(labels.where("quality = 1").select(F.col("doc_id").alias("id")).distinct(), "good")
-    share = min(1.0, MAX_TRUSTED_ROWS / max(good.count(), 1))
     draw = F.pmod(F.xxhash64("id", F.lit("trusted")), F.lit(1 << 20))
-    trains = (draw < int(share * (1 << 20)) + (share == 1)) & (draw % 2 == 0)
+    trains = draw % 2 == 0
+    if MAX_TRUSTED_ROWS is not None:
+        trains &= draw < int(min(1.0, MAX_TRUSTED_ROWS / max(good.count(), 1)) * (1 << 20))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("txt"))
-    trusted = rows.join(F.broadcast(good.where(trains)), F.col("doc_id") == F.col("id"), "left_semi")  # about half of MAX_TRUSTED_ROWS ids
+    trusted = rows.join(good.where(trains), F.col("doc_id") == F.col("id"), "left_semi")
     model = shards(estimate(keep(count_runs(trusted), "runs")))
     told = keep(log_perplexity(rows, model), "told")
     unseen = keep(told.join(good.where(~trains), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "bits"), "calibration")

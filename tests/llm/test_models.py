@@ -215,6 +215,20 @@ def test_limits_over_all_trusted_rows(spark, monkeypatch):
         assert all(r["limit"] == pytest.approx(np.quantile(over, kn_quality.QUANTILE)) for r in got if r["lang"] == lang)
 
 
+def test_every_trusted_row_trains_or_sets_limits(spark, monkeypatch):
+    """Far more trusted rows than were once drawn: half of them are counted, the others are the calibration."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    count = kn_quality.count_runs
+    monkeypatch.setattr(kn_quality, "count_runs", lambda df: seen.append(df.count()) or count(df))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert kn_quality.classify(docs, labels).count() == 20_000
+    even = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)) == 0).count()
+    assert seen == [even] and 9_000 < even < 11_000
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(8)
     values = {"one": [rng.random() for _ in range(500)], "two": [1.5] * 300 + [1.5 + rng.random() / kn_quality.CELLS for _ in range(7)], "few": [3.25], "pair": [0.1, 7.0]}
