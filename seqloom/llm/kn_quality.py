@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, ship, text_of
+from .common import bloom_of, bloom_words, in_bloom, keep, shared_dir, ship, text_of
 
 ORDER = 5
 #: None: all trusted rows take part, one half trains. A caller who wants a smaller model can set a number; then half of about so many rows train, and all others set the quantiles.
@@ -268,6 +268,13 @@ def quantiles(values: DataFrame, by: str, value: str, q: float) -> DataFrame:
     return ends.select(by, (F.col("low") + (F.col("high") - F.col("low")) * (at - low)).alias("limit"), "n")
 
 
+def trusted_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids`` (id): a Bloom filter of the ids, broadcast, drops nearly all others before any text moves; the join decides."""
+    words = bloom_words(ids.count())
+    likely = in_bloom(rows, F.xxhash64("doc_id"), bloom_of(ids, F.xxhash64("id"), words), words).where("maybe").select(*rows.columns)
+    return likely.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, bytes, bits per byte, perplexity, limit (of bits) and kept of each row."""
     ship(docs.sparkSession)
@@ -277,8 +284,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if MAX_TRUSTED_ROWS is not None:
         trains &= draw < int(min(1.0, MAX_TRUSTED_ROWS / max(good.count(), 1)) * (1 << 20))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of().alias("txt"))
-    trusted = rows.join(good.where(trains), F.col("doc_id") == F.col("id"), "left_semi")
-    model = shards(estimate(keep(count_runs(trusted), "runs")))
+    model = shards(estimate(keep(count_runs(trusted_rows(rows, good.where(trains))), "runs")))
     told = keep(log_perplexity(rows, model), "told")
     unseen = keep(told.join(good.where(~trains), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "bits"), "calibration")
     every = quantiles(unseen.withColumn("all", F.lit(True)), "all", "bits", QUANTILE).first()

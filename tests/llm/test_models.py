@@ -215,6 +215,38 @@ def test_limits_over_all_trusted_rows(spark, monkeypatch):
         assert all(r["limit"] == pytest.approx(np.quantile(over, kn_quality.QUANTILE)) for r in got if r["lang"] == lang)
 
 
+def test_only_trusted_texts_move(spark, monkeypatch):
+    """Texts of rows that aren't trusted stay where they are, however large the table of trusted ids is."""
+    from pyspark.sql import functions as F
+
+    def moved() -> int:
+        store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    grew = []
+
+    def counted(df):
+        before = moved()
+        assert df.count() == half
+        grew.append(moved() - before)
+        return count(df)
+
+    count = kn_quality.count_runs
+    rows = spark.range(4_000)
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.sha2(F.concat(F.col("id"), k).cast("string"), 256)))  # hex of random bytes, 2560 letters
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    labels = rows.select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, 1).otherwise(0).alias("quality"))
+    half = labels.where((F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)) == 0)).count()
+    monkeypatch.setattr(kn_quality, "count_runs", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kn_quality.classify(docs.withColumn("text", F.concat("text", F.lit(" "))), labels)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < half < 400 and grew[0] < 400 * 2560 < 2_000 * 1280
+
+
 def test_every_trusted_row_trains_or_sets_limits(spark, monkeypatch):
     """Far more trusted rows than were once drawn: half of them are counted, the others are the calibration."""
     from pyspark.sql import functions as F
