@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -63,6 +64,27 @@ def test_tree_against_scanning():
         assert bpe.merged(symbols, pairs) == plain_merge(symbols, pairs)
 
 
+def test_rows_of_trees(codec):
+    """Pieces merged together give what each gives alone, whatever their lengths and the table."""
+    rng = random.Random(3)
+    few = {a * bpe.PAIR + b: (rank, 256 + rank) for rank, (a, b) in enumerate([(97, 97), (256, 97), (97, 98), (98, 256), (256, 256), (257, 257), (98, 98), (260, 98)])}
+    for pairs, ids in ((few, list(range(256))), ({}, list(range(256))), (codec.pairs, codec.byte_ids)):
+        pieces = [bytes(rng.choice(b"ab" if rng.random() < 0.7 else b"abcthe \xc3\xa9") for _ in range(n)) for n in [1, 2, 3, 4, 5, 8, 9, 63, 64, 65, bpe.ROW_BYTES] + [rng.randint(1, 40) for _ in range(300)]]
+        assert bpe.merged_rows(pieces, np.array(ids), bpe.Pairs(pairs)) == [tuple(bpe.merged([ids[b] for b in p], pairs)) for p in pieces]
+    assert bpe.merged_rows([], np.array(codec.byte_ids), bpe.Pairs(codec.pairs)) == []
+
+
+def test_new_pieces_are_merged_together(codec, library, monkeypatch):
+    calls = []
+    alone, rows = bpe.merged, bpe.merged_rows
+    monkeypatch.setattr(bpe, "merged", lambda *a: calls.append(1) or alone(*a))
+    monkeypatch.setattr(bpe, "merged_rows", lambda *a: calls.append(len(a[0])) or rows(*a))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß語") for _ in range(rng.randint(1, 12))) for _ in range(50)) for _ in range(60)] + ["", "x<|endoftext|>y", "q" * 999, "né" * bpe.TOGETHER]
+    assert list(codec.encode_each(texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) > 2000 and len(calls) < 20
+
+
 def test_long_piece_is_not_quadratic(codec, library):
     text = "ab" * 100_000
     assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
