@@ -51,6 +51,8 @@ TWICE = 2
 PLACE = 36
 #: Log10 probabilities are quantised to steps of 1 / STEPS.
 STEPS = 4096
+#: What each quantised value stands for.
+_POWERS = 10.0 ** (-np.arange(1 << 16).astype(float) / STEPS)
 #: A shard learns from about so many bytes of text, so more text makes more shards, not larger ones.
 SHARD_BYTES = 16 << 20
 #: Part of the texts from which the words to deal out and the number of shards are told; no count depends on it.
@@ -332,10 +334,10 @@ class Level:
         return np.where(hit, at, -1)
 
     def shares(self, places: np.ndarray) -> np.ndarray:
-        return 10.0 ** (-self.share[places].astype(float) / STEPS)
+        return _POWERS[self.share[places]]
 
     def weights(self, places: np.ndarray) -> np.ndarray:
-        return 10.0 ** (-self.backoff[places].astype(float) / STEPS)
+        return _POWERS[self.backoff[places]]
 
     def is_often(self, places: np.ndarray) -> np.ndarray:
         return (self.often[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)

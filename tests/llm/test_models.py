@@ -215,6 +215,15 @@ def test_limits_over_all_trusted_rows(spark, monkeypatch):
         assert all(r["limit"] == pytest.approx(np.quantile(over, kn_quality.QUANTILE)) for r in got if r["lang"] == lang)
 
 
+def test_quantised_values_are_looked_up():
+    level = object.__new__(lm_trie.Level)
+    level.share = level.backoff = np.arange(1 << 16).astype(np.uint16)
+    places = np.arange(1 << 16)[::-1]
+    want = 10.0 ** (-places.astype(float) / lm_trie.STEPS)
+    assert (level.shares(places) == want).all() and (level.weights(places) == want).all()
+    assert level.shares(places[:0]).dtype == float and len(level.shares(places[:0])) == 0
+
+
 def test_only_trusted_texts_move(spark, monkeypatch):
     """Texts of rows that aren't trusted stay where they are, however large the table of trusted ids is."""
     from pyspark.sql import functions as F
