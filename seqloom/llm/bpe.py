@@ -23,7 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import bound_batches, ship
+from .textnum import caches
 
 #: The pattern that parts a text before merging: a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -299,6 +300,7 @@ class Codec:
 
 
 _codecs: dict[int, Codec] = {}
+caches.append(_codecs)
 
 
 def codec(spec: str) -> Codec:
@@ -315,6 +317,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool
     import pyarrow as pa
 
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())  # one vocabulary, some MB
     schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship  # noqa: F401 - the operators take them from here
+from ..session import bound_batches, shared_dir, ship  # noqa: F401 - the operators take them from here
 
 #: Code points that part words: blank and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, bloom_words, components, in_bloom, keep, salted, ship, text_of
+from .common import bloom_of, bloom_words, bound_batches, components, in_bloom, keep, salted, ship, text_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -85,8 +85,9 @@ def _keyed(batches):
     import pyarrow as pa
 
     from .textnum import batches as parts
-    from .textnum import column_bytes, release
+    from .textnum import column_bytes, forget, release
 
+    forget()
     for batch in batches:
         texts = column_bytes(batch["txt"])
         for a, b in parts(texts):
@@ -171,8 +172,9 @@ def _judged(batches):
     """Rows (comp, a, b, block, node, txt) sorted by comp, a, b to (node, links, low); a unit may span batches."""
     import pyarrow as pa
 
-    from .textnum import column_bytes, release
+    from .textnum import column_bytes, forget, release
 
+    forget()
     least = least_agreeing()
     unit, nodes, blocks, texts = None, [], [], []
 
@@ -207,6 +209,7 @@ def stars(keyed: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (node, comp) of the texts that have links; node is the text's hash. ``docs``: node and txt."""
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     keyed = keep(docs.mapInArrow(_keyed, "node long, keys array<long>"), "keys")
     sets = components(keep(stars(keyed), "stars"))
     many = bloom_words(sets.count())

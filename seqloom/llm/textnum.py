@@ -119,6 +119,18 @@ def release() -> None:
         return
 
 
+#: What operators keep in this worker for their own next task.
+caches: list[dict] = []
+
+
+def forget() -> None:
+    """Let go of what tasks of other operators have kept in this worker: stages follow each other in the same workers."""
+    if any(caches):
+        for cache in caches:
+            cache.clear()
+        release()
+
+
 def column_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null is empty."""
     import pyarrow as pa

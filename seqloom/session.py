@@ -27,6 +27,17 @@ def ship(spark: SparkSession) -> None:
     sc._seqloom_shipped = True
 
 
+#: Bytes of rows that go to Python at once, where nothing else is set: Spark's own bound lets 10,000 texts or 64 MB through,
+#: which both the executor's buffers (twice that while they grow) and the worker hold for each core.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES in this session, unless it says otherwise; no result depends on it."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, where all is one machine, gets a folder of its own if that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -155,3 +155,35 @@ def test_salted_join_is_whole(spark):
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     assert common.salted(big, small, ["k"], "inner", F.col("id")).count() == 667
     assert common.salted(big, small, ["k"], "left", F.col("id")).count() == 1000
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Near dedup and the encoder take texts some megabytes at a time, however long they are."""
+    from seqloom import session
+    from seqloom.llm import bpe
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 1 << 18).alias("text"))
+    for operator in (lambda: bpe.encode(docs, bpe.vocabulary()), lambda: ngram_jaccard.dedup(docs.limit(2))):
+        spark.conf.unset(session.BATCH)
+        operator()
+        got = [r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert max(got) < 10 << 20 < sum(got)
+    spark.conf.set(session.BATCH, "1m")
+    session.bound_batches(spark)
+    assert spark.conf.get(session.BATCH) == "1m"  # what a session says holds
+    spark.conf.unset(session.BATCH)
+
+
+def test_near_dedup_lets_go_of_the_encoder():
+    from seqloom.llm import bpe
+
+    for task in (ngram_jaccard._keyed, ngram_jaccard._judged):
+        bpe._codecs[1] = object()
+        assert list(task(iter([]))) == []
+        assert not bpe._codecs
