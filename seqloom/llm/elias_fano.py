@@ -10,6 +10,9 @@ for _i in range(256):
     for _j, _at in enumerate([b for b in range(8) if _i >> b & 1]):
         _SELECT[_i, _j] = _at
 _ONE = np.uint64(1)
+#: The low bit of each byte, the top one, and every other bit, two bits, four bits.
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_PAIRS, _FOURS, _EIGHTS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 #: Values with one high part that are looked at in turn; of more the right one is found by halving.
 _STEPS = 12
 
@@ -34,6 +37,21 @@ def _add(out: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
         out[word[first]] += np.add.reduceat(value, first)
 
 
+def _select_in(raw: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """In each word, the place of the one before which ``left`` others come; the word has more than ``left`` ones.
+
+    Eight bytes are counted at once in the bytes of one number: their ones, the running sums of these,
+    and which sums don't exceed ``left``.
+    """
+    sums = raw - ((raw >> _ONE) & _PAIRS)
+    sums = (sums & _FOURS) + ((sums >> np.uint64(2)) & _FOURS)
+    sums = ((sums + (sums >> np.uint64(4))) & _EIGHTS) * _EACH
+    full = ((left * _EACH | _TOPS) - sums) & _TOPS  # a byte's top bit stays if its sum, 64 at most, isn't above
+    at = ((full >> np.uint64(7)) * _EACH >> np.uint64(56)) << np.uint64(3)
+    left = left - ((sums << np.uint64(8)) >> at & np.uint64(255))
+    return (at + _SELECT[(raw >> at & np.uint64(255)).astype(np.int64), left.astype(np.int64)]).astype(np.int64)
+
+
 class EliasFano:
     """A rising sequence (equal neighbours allowed): low bits packed, high parts in unary.
 
@@ -68,19 +86,14 @@ class EliasFano:
         if of_ones:
             word = np.searchsorted(self.ones, j, side="right") - 1
             left = j - self.ones[word].astype(np.int64)
-            raw = self.bytes[word]
+            raw = self.high[word]
         else:
             if not hasattr(self, "zeros"):
                 self.zeros = (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)).astype(np.uint64)
             word = np.searchsorted(self.zeros, j, side="right") - 1
             left = j - self.zeros[word].astype(np.int64)
-            raw = ~self.bytes[word]
-        cum = _POP[raw].cumsum(1, dtype=np.uint8)  # 64 at most
-        left = left.astype(np.uint8)
-        byte = (cum <= left[:, None]).sum(1, dtype=np.int64)
-        rows = np.arange(len(j))
-        left = left - np.where(byte > 0, cum[rows, np.maximum(byte - 1, 0)], np.uint8(0))
-        return word * 64 + byte * 8 + _SELECT[raw[rows, byte], left]
+            raw = ~self.high[word]
+        return word * 64 + _select_in(raw, left.astype(np.uint64))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -99,7 +112,8 @@ class EliasFano:
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first value that isn't below each key (n if none), and whether it equals the key."""
-        keys = keys.astype(np.uint64)
+        order = np.argsort(keys)  # in order, neighbours' words lie side by side in memory
+        keys = keys[order].astype(np.uint64)
         place, equal = np.full(len(keys), self.n, np.int64), np.zeros(len(keys), bool)
         up = keys >> np.uint64(self.width)
         todo = np.flatnonzero(up < np.uint64(len(self.high) * 64 - self.n)) if self.n else np.zeros(0, np.int64)
@@ -131,5 +145,5 @@ class EliasFano:
                 hi[split] = np.where(less, hi[split], mid)
                 split = split[lo[split] < hi[split]]
             at[live], same[live] = lo, self._lows(lo) == key
-        place[todo], equal[todo] = at, same
+        place[order[todo]], equal[order[todo]] = at, same
         return place, equal

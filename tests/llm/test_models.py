@@ -224,6 +224,21 @@ def test_quantised_values_are_looked_up():
     assert level.shares(places[:0]).dtype == float and len(level.shares(places[:0])) == 0
 
 
+def test_bits_are_selected_in_whole_words():
+    """The k-th one of a word, for every k, without taking the word apart."""
+    from seqloom.llm import elias_fano
+
+    rng = random.Random(11)
+    words = [1, 1 << 63, (1 << 64) - 1, 0xFF00FF00FF00FF00, *(rng.getrandbits(64) & rng.getrandbits(64) | 1 << rng.randrange(64) for _ in range(300))]
+    want = [(w, k, bit) for w in words for k, bit in enumerate(b for b in range(64) if w >> b & 1)]
+    got = elias_fano._select_in(np.array([w for w, _, _ in want], np.uint64), np.array([k for _, k, _ in want], np.uint64))
+    assert got.tolist() == [bit for _, _, bit in want] and got.dtype == np.int64
+    values = np.sort(np.array([rng.randrange(5000) << 20 for _ in range(3000)], np.uint64))
+    keys = np.array([rng.randrange(5100) << 20 for _ in range(2000)], np.uint64)
+    at, hit = EliasFano.of(values).successor(keys)  # keys in no order
+    assert (at == np.searchsorted(values, keys)).all() and (hit == np.isin(keys, values)).all()
+
+
 def test_only_trusted_texts_move(spark, monkeypatch):
     """Texts of rows that aren't trusted stay where they are, however large the table of trusted ids is."""
     from pyspark.sql import functions as F
